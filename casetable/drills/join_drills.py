@@ -266,7 +266,7 @@ def _(t: Tables) -> DataFrame:
     return _review(t)[1]
 
 
-@drill("J1_review_cases", f"""{_OWN}, n as (select *, row_number() over (partition by state order by testcase_order) as at from o)
-select testcase_order, quantity, state from n where at <= 15""")
+@drill("J1_review_cases", f"""{_OWN}, n as (select *, row_number() over (partition by state order by testcase_order) as pos from o)
+select testcase_order, quantity, state from n where pos <= 15""")
 def _(t: Tables) -> DataFrame:
     return _review(t)[2].drop("range_validation")

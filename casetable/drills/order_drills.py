@@ -25,24 +25,24 @@ def _(t: Tables) -> DataFrame:
 
 FLAG_KEYS = ["problem_id", *W.FLAG_NAMES]
 DEDUP = f"""
-with f as ({W.FLAGS}), k as (select *, row_number() over (partition by {', '.join(FLAG_KEYS)} order by solution_order) as at from f)"""
+with f as ({W.FLAGS}), k as (select *, row_number() over (partition by {', '.join(FLAG_KEYS)} order by solution_order) as pos from f)"""
 
 
-@drill("G2_dedup_first", f"{DEDUP} select problem_id, solution_order, {', '.join(W.FLAG_NAMES)}, count from k where at = 1")
+@drill("G2_dedup_first", f"{DEDUP} select problem_id, solution_order, {', '.join(W.FLAG_NAMES)}, count from k where pos = 1")
 def _(t: Tables) -> DataFrame:
     return O.dedup_first(t.view(W.FLAGS).drop("shard"), FLAG_KEYS, "solution_order")
 
 
 @drill("F30_dedup_report", f"""{DEDUP}
-select count(*) as before, count(*) filter (where at = 1) as after, count(*) filter (where at > 1) as removed from k""")
+select count(*) as before, count(*) filter (where pos = 1) as after, count(*) filter (where pos > 1) as removed from k""")
 def _(t: Tables) -> DataFrame:
     flags = t.view(W.FLAGS).drop("shard")
     return P.dedup_report(flags, O.dedup_first(flags, FLAG_KEYS, "solution_order"))
 
 
 CHUNKS = """
-with c as (select *, row_number() over (partition by conv_id order by turn) - 1 as at from conversations),
-k as (select conv_id, turn, role, text, at // 2 as chunk_no, at % 2 as item_no from c)"""
+with c as (select *, row_number() over (partition by conv_id order by turn) - 1 as pos from conversations),
+k as (select conv_id, turn, role, text, pos // 2 as chunk_no, pos % 2 as item_no from c)"""
 
 
 def _chunks(t: Tables) -> DataFrame:
@@ -56,8 +56,8 @@ def _(t: Tables) -> DataFrame:
 
 @drill("G6_chunk_rows_by_range", """
 with c as (select l_suppkey, l_orderkey, l_linenumber, l_partkey, l_extendedprice, row_number() over (partition by l_suppkey
-  order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 as at from lineitem)
-select l_suppkey, l_orderkey, l_partkey, at // 10 as chunk_no, at % 10 as item_no from c""")
+  order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 as pos from lineitem)
+select l_suppkey, l_orderkey, l_partkey, pos // 10 as chunk_no, pos % 10 as item_no from c""")
 def _(t: Tables) -> DataFrame:
     """Few large groups without a whole-number order of their own."""
     chunked = O.chunk_rows(
@@ -72,8 +72,8 @@ PLAN = [("system", 1), ("user", 3), ("assistant", 2)]
 
 @drill("G7_renumber_typed", """
 with plan(type, start, n) as (values ('system', 1, 1), ('user', 2, 3), ('assistant', 5, 2)),
-k as (select conv_id, role, text, row_number() over (partition by conv_id, role order by turn) as at from conversations),
-kept as (select k.conv_id as problem_id, type, start + at - 1 as testcase_order, text as input from k join plan on role = type where at <= n),
+k as (select conv_id, role, text, row_number() over (partition by conv_id, role order by turn) as pos from conversations),
+kept as (select k.conv_id as problem_id, type, start + pos - 1 as testcase_order, text as input from k join plan on role = type where pos <= n),
 ids as (select distinct conv_id from conversations)
 select * from kept
 union all select conv_id, type, unnest(range(start, start + n)), '#ERROR' from ids cross join plan
@@ -100,9 +100,9 @@ NATION_BOUND = 1000
 
 
 @drill("H2_sample_k_per_row", """
-with d as (select s_suppkey, n_name, row_number() over (partition by s_suppkey order by md5('11:' || s_suppkey || ':' || n_name), n_name) as at
+with d as (select s_suppkey, n_name, row_number() over (partition by s_suppkey order by md5('11:' || s_suppkey || ':' || n_name), n_name) as pos
   from supplier cross join nation)
-select s_suppkey, string_agg(n_name, ',' order by at) as picked from d where at <= 4 group by s_suppkey""")
+select s_suppkey, string_agg(n_name, ',' order by pos) as picked from d where pos <= 4 group by s_suppkey""")
 def _(t: Tables) -> DataFrame:
     names = [r[0] for r in t.nation.select("n_name").orderBy("n_name").limit(NATION_BOUND + 1).collect()]
     if len(names) > NATION_BOUND:
@@ -153,7 +153,7 @@ def _(t: Tables) -> DataFrame:
 # --- live logs ---------------------------------------------------------------------------
 
 
-def _replay(t: Tables, start, parts: int = 4) -> None:
+def _replay(t: Tables, start, parts: int = 3) -> None:
     """The log arriving in parts: each is written, and the query started again from its checkpoint."""
     path = t.scratch("live")
     seq = F.coalesce(F.get_json_object("value", "$.seq"), F.regexp_extract("value", r"(\d+)$", 1)).cast("bigint")

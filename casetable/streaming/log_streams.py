@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 from casetable.operators.order import dedup_first, every_n_summary, running
@@ -25,7 +25,7 @@ def _batch_dir(path: str, batch: int) -> str:
 
 def _before(spark: SparkSession, path: str, batch: int, schema: StructType) -> DataFrame:
     """What earlier batches wrote; no rows when there are none."""
-    wide = StructType(schema.fields).add(BATCH, "bigint")
+    wide = StructType([*schema.fields, StructField(BATCH, LongType())])
     try:
         held = spark.read.schema(wide).parquet(path)
     except AnalysisException:
@@ -67,7 +67,7 @@ def stream_every_n(
             held = held.where(F.col(BATCH) == batch_id - 1).drop(BATCH)
             totals = _before(
                 spark, f"{path}/totals", batch_id,
-                StructType().add(run, fresh.schema[run].dataType).add("_done", "bigint").add("_ok", "bigint"),
+                StructType().add(run, fresh.schema[run].dataType).add("_done", LongType()).add("_ok", LongType()),
             ).where(F.col(BATCH) == batch_id - 1).drop(BATCH)
 
             placed = running(
@@ -78,7 +78,7 @@ def stream_every_n(
                     "done_so_far": F.col("done_so_far") + F.coalesce("_done", F.lit(0)),
                     "ok_so_far": F.col("ok_so_far") + F.coalesce("_ok", F.lit(0)),
                 }
-            ).drop("_done", "_ok")
+            ).drop("_done", "_ok").persist()
             events = held.select(*state.columns).unionByName(known)
             every_n_summary(events, n, run, order, done=events).write.mode("overwrite").parquet(
                 _batch_dir(f"{path}/summaries", batch_id)
@@ -97,6 +97,7 @@ def stream_every_n(
                 F.col("done_so_far") > F.col("_ended")
             )
             still.drop("_ended").write.mode("overwrite").parquet(_batch_dir(f"{path}/open", batch_id))
+            known.unpersist()
         finally:
             batch.unpersist()
 
