@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from casetable.functions.text import strip_text
+from casetable.functions.text import let, strip_text
 
 IO_SCHEMA = "struct<inputs:array<string>,outputs:array<string>>"
 LIST_SCHEMA = "array<string>"
@@ -22,26 +22,21 @@ def _as_json(col: Column) -> Column:
     return col
 
 
-def parse_as(col: Column, schema: str, opener: str) -> Column:
-    """The value of a JSON cell; a literal with None, True or False is tried second.
+def parse_as(col: Column, schema: str, opener: str, empty=lambda x: x.isNull()) -> Column:
+    """The value of a JSON cell; a literal with None, True or False is tried where that is ``empty``.
 
-    Text that does not start with ``opener`` is not parsed.
+    Text that does not start with ``opener`` is not parsed. The value is bound once: reading
+    its fields one by one would parse the cell once per field.
     """
     text = strip_text(col)
-    first = F.from_json(text, schema)
     second = F.from_json(_as_json(text), schema)
-    if schema.startswith("struct"):
-        # a broken object gives a struct of nulls: the second reading fills what is missing
-        names = [part.split(":")[0] for part in schema[len("struct<"):-1].split(",")]
-        parsed = F.struct(*[F.coalesce(first[n], second[n]).alias(n) for n in names])
-    else:
-        parsed = F.coalesce(first, second)
+    parsed = let(F.from_json(text, schema), lambda x: F.when(empty(x), second).otherwise(x))
     return F.when(text.startswith(opener), parsed)
 
 
 def parse_io(col: Column) -> Column:
     """``inputs`` and ``outputs`` as text lists; both null when the cell is unreadable."""
-    return parse_as(col, IO_SCHEMA, "{")
+    return parse_as(col, IO_SCHEMA, "{", lambda x: x["inputs"].isNull() & x["outputs"].isNull())
 
 
 def parse_list(col: Column) -> Column:
