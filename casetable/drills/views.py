@@ -16,15 +16,14 @@ PROBLEMS = "select o_orderkey as id, o_orderpriority as question, o_orderstatus
 # one result per (order, supplier class, line number): grouped, so that copies of a line and
 # orders with very many lines are summed up before the shuffle
 RESULTS = """
-select l_orderkey as problem_id,
-  cast(l_suppkey % 3 as bigint) + 1 as solution_order,
-  cast(l_linenumber as bigint) as testcase_order,
-  max(l_returnflag) = 'R' and min(l_linestatus) = 'O' as error,
-  max(l_quantity) > 48 as timed_out,
-  min(l_linestatus) as expected_output,
-  concat(' ', case when max(l_returnflag) = 'R' then 'X' else min(l_linestatus) end, ' ') as actual_output,
-  case when max(l_returnflag) = 'R' then false when min(l_quantity) <= 2 then null else true end as validation
-from {lineitem} group by l_orderkey, l_suppkey % 3, l_linenumber"""
+select problem_id, solution_order, testcase_order, has_r and has_o as error, timed_out,
+  case when has_o then 'O' else 'F' end as expected_output,
+  concat(' ', case when has_r then 'X' when has_o then 'O' else 'F' end, ' ') as actual_output,
+  case when has_r then false when has_small then null else true end as validation
+from (select l_orderkey as problem_id, cast(l_suppkey % 3 as bigint) + 1 as solution_order,
+  cast(l_linenumber as bigint) as testcase_order, bool_or(l_returnflag = 'R') as has_r,
+  bool_or(l_linestatus = 'O') as has_o, bool_or(l_quantity > 48) as timed_out, bool_or(l_quantity <= 2) as has_small
+  from {lineitem} group by l_orderkey, l_suppkey % 3, l_linenumber) g"""
 
 FLAG_NAMES = ["tag_a", "tag_r", "tag_o", "tag_big"]
 
@@ -33,8 +32,8 @@ select problem_id, solution_order, shard, tag_a, tag_r, tag_o, tag_big,
   cast(cast(tag_a as int) + cast(tag_r as int) + cast(tag_o as int) + cast(tag_big as int) as bigint) as count
 from (select l_orderkey as problem_id, cast(l_linenumber as bigint) as solution_order,
   cast(min(l_suppkey % 2) as bigint) as shard,
-  min(l_returnflag) = 'A' as tag_a, max(l_returnflag) = 'R' as tag_r,
-  max(l_linestatus) = 'O' as tag_o, max(l_quantity) > 40 as tag_big
+  bool_or(l_returnflag = 'A') as tag_a, bool_or(l_returnflag = 'R') as tag_r,
+  bool_or(l_linestatus = 'O') as tag_o, bool_or(l_quantity > 40) as tag_big
   from {lineitem} group by l_orderkey, l_linenumber) f"""
 
 LOG = """

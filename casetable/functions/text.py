@@ -8,8 +8,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Everything a full strip removes: all Unicode blanks, tabs and line ends.
-BLANK = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
+# Everything a full strip removes: Unicode blanks, tabs and line ends.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 MAX_EXACT = 9.2e18
 
@@ -20,7 +23,7 @@ def let(value: Column, body) -> Column:
 
 
 def strip_text(col: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(col, rf"^{BLANK}+", ""), rf"{BLANK}+\z", "")
+    return F.btrim(col, F.lit(BLANKS))
 
 
 def is_blank(col: Column) -> Column:
@@ -115,11 +118,22 @@ def fold_literals(col: Column, pairs: Sequence[tuple[str, str]]) -> Column:
     return col
 
 
+def _replace_word(old: str, new: str):
+    safe, pattern = new.replace("\\", "\\\\").replace("$", "\\$"), rf"(?U)\b{re.escape(old)}\b"
+
+    def body(text: Column) -> Column:
+        return F.when(F.contains(text, F.lit(old)), F.regexp_replace(text, pattern, safe)).otherwise(text)
+
+    return body
+
+
 def replace_words(col: Column, words: Mapping[str, str]) -> Column:
-    """Whole-word replacements, one after the other; word edges follow Unicode letters."""
+    """Whole-word replacements, one after the other; word edges follow Unicode letters.
+
+    Most texts lack most words, so a plain search comes before each pattern.
+    """
     for old, new in words.items():
-        safe = new.replace("\\", "\\\\").replace("$", "\\$")
-        col = F.regexp_replace(col, rf"(?U)\b{re.escape(old)}\b", safe)
+        col = let(col, _replace_word(old, new))
     return col
 
 

@@ -66,10 +66,11 @@ def replace_literals(
     """Ordered literal replacements in several columns, then further ones for single ids."""
 
     def cell(name: str) -> Column:
-        value = T.fold_literals(F.col(name), pairs)
+        base = T.fold_literals(F.col(name), pairs)
+        picked = F
         for who, more in (overrides or {}).items():
-            value = F.when(F.col(key) == who, T.fold_literals(value, more)).otherwise(value)
-        return value
+            picked = picked.when(F.col(key) == who, T.fold_literals(base, more))
+        return picked.otherwise(base) if overrides else base
 
     return df.withColumns({c: cell(c) for c in cols if c in df.columns})
 

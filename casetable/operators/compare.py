@@ -159,7 +159,8 @@ def set_summary(scored: DataFrame) -> DataFrame:
 
 def lowest_pairs(scored: DataFrame, k: int = 7) -> DataFrame:
     """The ``k`` lowest set scores below 1, ties by key."""
-    below = scored.where(F.col("set_score") < 1).orderBy("set_score", "key").limit(k)
+    # the k lowest first, then those below 1: a filter before would score every pair twice
+    below = scored.orderBy("set_score", "key").limit(k).where(F.col("set_score") < 1)
     return below.select(
         "key", "set_score",
         F.array_join(F.array_sort("set1"), ",").alias("tags1"),

@@ -43,7 +43,9 @@ def explode_cases(df: DataFrame, key: str = "id", io: str = "_io") -> DataFrame:
 
 
 def explode_solutions(df: DataFrame, key: str = "id", col: str = "_solutions") -> DataFrame:
-    return df.select(F.col(key).alias("problem_id"), F.posexplode(col).alias("_at", "solution")).select(
+    # the outer form: for the plain one Spark adds a filter that parses the cell again
+    rows = df.select(F.col(key).alias("problem_id"), F.posexplode_outer(col).alias("_at", "solution"))
+    return rows.where(F.col("_at").isNotNull()).select(
         "problem_id",
         (F.col("_at") + 1).cast("bigint").alias("solution_order"),
         "solution",

@@ -30,18 +30,17 @@ def describe(df: DataFrame, col: str) -> DataFrame:
     values = df.where(F.col(col).isNotNull()).select(F.col(col).alias("_v"))
     counts = values.groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
     placed = running(counts, [], ["_v"], {"_upto": F.col("_n")}, position="_at")
-    last = values.agg(F.count(F.lit(1)) - 1).scalar()
+    last = (placed.agg(F.max("_upto")).first()[0] or 1) - 1  # one number, from settled rows
 
-    def value_at(rank: Column) -> Column:
+    def value_at(rank: int) -> Column:
         return F.min(F.when(F.col("_upto") > rank, F.col("_v")))
 
     ranked, named = [], []
-    for name, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
-        at = last * q
-        ranked += [value_at(F.floor(at)).alias(f"_{name}_lo"), value_at(F.ceil(at)).alias(f"_{name}_hi")]
+    for name, quarter in (("q1", 1), ("median", 2), ("q3", 3)):
+        at, part = divmod(last * quarter, 4)
+        ranked += [value_at(at).alias(f"_{name}_lo"), value_at(at + (part > 0)).alias(f"_{name}_hi")]
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        named.append((lo + (hi - lo) * F.col(f"_{name}_part")).cast("double").alias(name))
-        ranked.append(F.max(at - F.floor(at)).alias(f"_{name}_part"))
+        named.append((lo + (hi - lo) * F.lit(part / 4)).cast("double").alias(name))
     one = placed.agg(
         F.sum("_n").alias("_rows"), F.sum(F.col("_v") * F.col("_n")).alias("_sum"),
         F.min("_v").alias("min"), F.max("_v").alias("max"), *ranked,
