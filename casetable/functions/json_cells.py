@@ -11,6 +11,9 @@ IO_SCHEMA = "struct<inputs:array<string>,outputs:array<string>>"
 LIST_SCHEMA = "array<string>"
 FLAGS_SCHEMA = "array<map<string,string>>"
 
+# cells may hold numbers of very many digits, which are kept as text
+LONG_CELLS = {"maxNumLen": str(2**31 - 1), "maxStringLen": str(2**31 - 1)}
+
 # Fixed value: a Markdown fence around a reply.
 FENCE = r"(?md)^```(?:json)?\s*|\s*```$"
 
@@ -29,8 +32,8 @@ def parse_as(col: Column, schema: str, opener: str, empty=lambda x: x.isNull())
     its fields one by one would parse the cell once per field.
     """
     text = strip_text(col)
-    second = F.from_json(_as_json(text), schema)
-    parsed = let(F.from_json(text, schema), lambda x: F.when(empty(x), second).otherwise(x))
+    second = F.from_json(_as_json(text), schema, LONG_CELLS)
+    parsed = let(F.from_json(text, schema, LONG_CELLS), lambda x: F.when(empty(x), second).otherwise(x))
     return F.when(text.startswith(opener), parsed)
 
 

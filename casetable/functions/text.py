@@ -43,8 +43,9 @@ def number_or_null(col: Column) -> Column:
 
 def canonical_id(col: Column) -> Column:
     """Ids read as text: ``12`` and ``12.0`` are 12, other text is null."""
-    text = F.regexp_replace(strip_text(col.cast("string")), r"\.0$", "")
-    return F.coalesce(text.try_cast("bigint"), number_or_null(text).cast("bigint"))
+    text = strip_text(col.cast("string"))
+    whole = F.regexp_extract(text, r"^([+-]?\d+)(\.0*)?$", 1).try_cast("bigint")
+    return F.coalesce(whole, number_or_null(text).cast("bigint"))
 
 
 def loose_int(col: Column) -> Column:
