@@ -191,7 +191,7 @@ def _(t: Tables) -> DataFrame:
     state, keys = t.scratch("once-state"), ["problem_id", "call_elapsed_cs"]
     _replay(t, lambda log: S.append_once(
         log.where("event = 'chunk_done'").select(*keys, "seq"), path, state, keys, "seq"))
-    return t.spark.read.parquet(path).drop(S.BATCH)
+    return t.spark.read.parquet(path).select(*keys, "seq")
 
 
 @drill("I3_stream_running_totals", f"""

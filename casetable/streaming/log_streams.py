@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 from casetable.operators.order import dedup_first, every_n_summary, running
@@ -46,6 +46,8 @@ def stream_every_n(
 ) -> StreamingQuery:
     """``every_n_summary`` over a live log; lines that are no events go to ``passed`` at once.
 
+    ``path`` and ``checkpoint`` belong together: begin with new ones for both.
+
     Between batches a run keeps its totals and the fewer than ``n`` events that do not make a
     group yet. Within a batch the positions are found as for a table, so one busy run is
     spread over all tasks.
@@ -104,19 +106,34 @@ def stream_every_n(
     return _start(stream, each, checkpoint)
 
 
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id a checkpoint gives its query: kept over restarts, new with a new checkpoint."""
+    return spark.read.json(f"{checkpoint}/metadata").select("id").first()[0]
+
+
 def append_once(
     stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: str
 ) -> StreamingQuery:
     """Append rows whose key is not in the table yet; of equal keys in one batch the lowest order.
 
-    Only the key columns of the table are read back.
+    Folders carry the query's id, so a query with a new checkpoint adds to the table and never
+    writes over what another one left. Only the key columns of the table are read back. One
+    query at a time.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        key_schema = StructType([batch.schema[k] for k in keys])
-        known = _before(batch.sparkSession, path, batch_id, key_schema).select(*keys)
-        fresh = dedup_first(batch, keys, order).join(known, list(keys), "left_anti")
-        fresh.write.mode("overwrite").parquet(_batch_dir(path, batch_id))
+        spark = batch.sparkSession
+        me = _query_id(spark, checkpoint)
+        held = StructType([*[batch.schema[k] for k in keys], StructField("query", StringType()), StructField(BATCH, LongType())])
+        fresh = dedup_first(batch, keys, order)
+        try:
+            known = spark.read.schema(held).parquet(path)
+        except AnalysisException:
+            known = None
+        if known is not None:
+            known = known.where((F.col("query") != me) | (F.col(BATCH) < batch_id)).select(*keys)
+            fresh = fresh.join(known, list(keys), "left_anti")
+        fresh.write.mode("overwrite").parquet(_batch_dir(f"{path}/query={me}", batch_id))
 
     return _start(stream, each, checkpoint)
 
