@@ -1,7 +1,7 @@
 """Joins by equal keys: semi, anti, lookups, overlays, coverage, grids and reply alignment.
 
 No side is broadcast by hint. Spark broadcasts by measured size, and splits a hot key of a
-sort-merge join at run time (`spark.sql.adaptive.skewJoin.enabled`).
+sort-merge join at run time (`spark.sql.adaptive.skewJoin.enabled`), see ``join_spread``.
 """
 
 from __future__ import annotations
@@ -16,6 +16,19 @@ from casetable.functions.json_cells import is_list_literal, strip_fence
 from casetable.functions.text import fill_status, loose_int, number_or_null
 
 
+def join_spread(df: DataFrame, grouped: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join rows with a table that was grouped by the same keys, however many rows a key has.
+
+    Spark splits a hot key only where both sides are shuffled by the join itself. A grouped side
+    is not: it comes partitioned by its keys already. A hash of the keys as one more key makes
+    the join shuffle it once more; it is the small side, one row per key.
+    """
+    spread = F.hash(*keys)
+    return df.withColumn("_spread", spread).join(
+        grouped.withColumn("_spread", spread), [*keys, "_spread"], how
+    ).drop("_spread")
+
+
 def semi_by_id(df: DataFrame, ids: DataFrame, key: str, id_col: str | None = None) -> DataFrame:
     return df.join(ids.select(F.col(id_col or key).alias(key)), key, "left_semi")
 
@@ -48,13 +61,12 @@ def overlay(base: DataFrame, over: DataFrame, keys: Sequence[str]) -> DataFrame:
     once = F.when(F.count(F.lit(1)) == 1, F.lit(True)).otherwise(
         F.raise_error(F.lit("overlay key is not unique")).cast("boolean")
     )
-    # one shuffle by key, which the join uses as well
     unique = (
         over.groupBy(*keys)
         .agg(*[F.min(c).alias(f"_over_{c}") for c in shared], once.alias("_once"))
         .where(F.col("_once"))
     )
-    joined = base.join(unique, list(keys), "left")
+    joined = join_spread(base, unique, keys, "left")
     return joined.select(
         *[F.coalesce(F.col(f"_over_{c}"), F.col(c)).alias(c) if c in shared else F.col(c) for c in base.columns]
     )
@@ -65,7 +77,7 @@ def overlay_replace(
 ) -> DataFrame:
     """The overlay's named columns always win, nulls included; its last row by ``order`` counts."""
     last = over.groupBy(*keys).agg(F.max(F.struct(order, *cols)).alias("_last"))
-    joined = base.join(last, list(keys), "left")
+    joined = join_spread(base, last, keys, "left")
     hit = F.col("_last").isNotNull()
     return joined.select(
         *[F.when(hit, F.col(f"_last.{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c) for c in base.columns]
@@ -130,7 +142,8 @@ def first_filled(
 def execution_grid(sols: DataFrame, cases: DataFrame, max_order: int = 5) -> DataFrame:
     """What to run: every case of a problem with each of its first ``max_order`` solutions.
 
-    Problems without solutions or without cases drop out. The grid is at most ``max_order``
+    Problems without solutions or without cases drop out. Columns come along as given: hand in
+    keys only where texts can be looked up later. The grid is at most ``max_order``
     times the cases, as the filter goes below the join.
     """
     first = sols.where(F.col("solution_order") <= max_order)

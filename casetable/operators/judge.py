@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casetable.functions.text import blank_if_null, strip_text, tri_state
+from casetable.operators.joins import join_spread
 
 SOLUTION = ["problem_id", "solution_order"]
 
@@ -24,7 +25,7 @@ def all_pass(
     if cases is None:
         raise ValueError("require_complete needs the case table")
     total = cases.groupBy("problem_id").agg(F.count(F.lit(1)).alias("_total"))
-    return passing.join(total, "problem_id").where(F.col("case_count") == F.col("_total")).drop("_total")
+    return join_spread(passing, total, ["problem_id"]).where(F.col("case_count") == F.col("_total")).drop("_total")
 
 
 def first_passing(
@@ -56,7 +57,7 @@ def until_first_failure(results: DataFrame, order: str = "testcase_order") -> Da
     failed = ~F.coalesce(F.col("validation"), F.lit(False))
     stops = results.where(failed).groupBy(*SOLUTION).agg(F.min(order).alias("_stop"))
     return (
-        results.join(stops, SOLUTION, "left")
+        join_spread(results, stops, SOLUTION, "left")
         .where(F.col("_stop").isNull() | (F.col(order) <= F.col("_stop")))
         .drop("_stop")
     )

@@ -35,11 +35,17 @@ def read_replies(
     requests: DataFrame, replies: DataFrame, tags: Sequence[str] = V.SCORE_TAGS,
     broad: Mapping[str, Sequence[str]] = V.BROAD_CANDIDATES,
 ) -> dict[str, DataFrame]:
-    """Score rows, recheck rows and chunk status from ``requests`` and one reply text per chunk."""
+    """Score rows, recheck rows and chunk status from ``requests`` and one reply text per chunk.
+
+    ``rows``, the matched items, is marked for caching so that replies are parsed once for
+    both tables; unpersist it when they have been written.
+    """
     sizes = requests.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("asked"))
     told = replies.join(sizes, "chunk_id")
     rows, status = J.align_reply(requests, S.parse_items(told, broad, asked="asked"))
+    rows = rows.persist()
     return {
+        "rows": rows,
         "scores": S.score_rows(rows, tags),
         "recheck": S.recheck_rows(rows, tags, broad),
         "status": status,

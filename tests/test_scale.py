@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from casetable.drills import all_queries
 from casetable.drills.base import Tables
-from casetable.operators import keys as K, order as O
+from casetable.operators import joins, judge, keys as K, order as O
 from casetable.session import settle, shared_dir
 
 SF = "/root/testdata/sf0.001"
@@ -56,6 +56,52 @@ def test_blocks_split_the_hot_group(spark, skewed):
     assert max(sizes) < 0.3 * 30_000  # one group holds more than a third
 
 
+@pytest.fixture
+def tiny_limits(spark):
+    """Run-time limits small enough for a test table to count as large and skewed."""
+    limits = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8",
+    }
+    old = {k: spark.conf.get(k, None) for k in limits}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _hot_results(spark):
+    hot = F.col("id") % 3 == 0
+    return spark.range(60_000, numPartitions=6).select(
+        F.when(hot, 0).otherwise(F.col("id") % 499 + 1).alias("problem_id"), F.lit(1).alias("solution_order"),
+        F.col("id").alias("testcase_order"), (F.col("id") != 59_001).alias("validation"),
+    )
+
+
+def _final_plan(df):
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_solution_is_split_at_run_time(spark, tiny_limits):
+    got = judge.until_first_failure(_hot_results(spark))
+    assert "skew=true" in _final_plan(got)
+    assert got.where("problem_id = 0").count() == 59_001 // 3 + 1
+
+
+def test_hot_overlay_key_is_split_at_run_time(spark, tiny_limits):
+    base = _hot_results(spark).withColumn("t", F.lit("old"))
+    over = base.select("problem_id").distinct().withColumn("t", F.lit("new"))
+    got = joins.overlay(base, over, ["problem_id"])
+    assert "skew=true" in _final_plan(got)
+    assert got.where("t = 'new'").count() == 60_000
+
+
 def test_carried_rows_do_not_grow_with_the_table(skewed):
     plan = O.running(skewed, ["g"], ["ts", "id"])._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan

@@ -110,6 +110,7 @@ def test_requests_to_rows_plan(spark):
         "8_solution_2": (60, "UNKNOWN", 0, "UNKNOWN", False, "LOW"),
     }
     assert {(r.problem_solution_key, r.source_broad_tag) for r in out["recheck"].collect()} == {("7_solution_1", "DP"), ("8_solution_2", "DP")}
+    out["rows"].unpersist()
 
 
 def test_short_reply_keeps_its_rows_but_is_not_ok(spark):
