@@ -13,6 +13,7 @@ from casetable.operators.nested import score_pivot
 from casetable.operators.scoring import recheck_rows, score_rows
 from casetable.sources import sinks, tables as S
 
+TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 PART_SCHEMA = "id string, name string, size bigint"
 
 
@@ -86,7 +87,7 @@ def log_lines(t: Tables) -> DataFrame:
     fields = ["event", "run", "seq", "ts", "problem_id", "ok", "call_elapsed_cs", "error"]
     return log.select(
         F.when(plain, F.concat(F.lit("Traceback at "), F.col("seq").cast("string"))).otherwise(
-            F.to_json(F.struct(*fields), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+            F.to_json(F.struct(*fields), {"timestampNTZFormat": TS_FORMAT})
         ).alias("value")
     )
 
@@ -95,13 +96,13 @@ LOG_CHECK = f"with log as ({W.LOG}), kept as (select * from log where event <> '
 
 
 @drill("A5_read_event_log", f"""{LOG_CHECK}
-select event, run, seq, problem_id, ok, call_elapsed_cs, error, epoch_us(ts) as ts_us, null::varchar as raw from kept
+select event, run, seq, problem_id, ok, call_elapsed_cs, error, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') as ts, null::varchar as raw from kept
 union all select null, null, null, null, null, null, null, null, 'Traceback at ' || seq from log
 where event = 'start' and seq % 7 = 0""")
 def _(t: Tables) -> DataFrame:
     path = t.scratch("log")
     log_lines(t).write.text(path)
-    return S.read_log(t.spark, path).withColumn("ts_us", F.unix_micros(F.col("ts").cast("timestamp"))).drop("ts")
+    return S.read_log(t.spark, path).withColumn("ts", F.date_format("ts", TS_FORMAT))
 
 
 @drill("A6_read_results", f"""

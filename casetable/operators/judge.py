@@ -45,7 +45,7 @@ def validated(
     """Problems with a passing solution and its code; their cases, labelled with its order."""
     kept = problems.join(passing.select(F.col("problem_id").alias("id"), "solution"), "id")
     labels = passing.select("problem_id", F.col("solution_order").cast("bigint").alias("validation"))
-    return kept, cases.drop("validation").join(labels, "problem_id")
+    return kept, join_spread(cases.drop("validation"), labels, ["problem_id"])
 
 
 def until_first_failure(results: DataFrame, order: str = "testcase_order") -> DataFrame:

@@ -30,7 +30,7 @@ def public_cases(cases: DataFrame, over: DataFrame, problems: DataFrame, order:
         return df.withColumns(ids).na.drop(subset=list(ids))
 
     updated = J.overlay_replace(keyed(cases), keyed(over), ["problem_id", "testcase_order"], ["input", "output"], order)
-    known = problems.select(canonical_id(F.col("id")).alias("problem_id")).na.drop().distinct()
+    known = problems.select(canonical_id(F.col("id")).alias("problem_id")).na.drop()
     return C.to_public_cases(J.semi_by_id(updated, known, "problem_id"))
 
 

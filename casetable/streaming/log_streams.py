@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
+from casetable.operators.joins import join_spread
 from casetable.operators.order import dedup_first, every_n_summary, running
 
 BATCH = "batch_id"
@@ -95,7 +96,7 @@ def stream_every_n(
             )
             now.write.mode("overwrite").parquet(_batch_dir(f"{path}/totals", batch_id))
             ended = F.floor(F.col("_done") / n) * n
-            still = events.join(now.select(run, ended.alias("_ended")), run).where(
+            still = join_spread(events, now.select(run, ended.alias("_ended")), [run]).where(
                 F.col("done_so_far") > F.col("_ended")
             )
             still.drop("_ended").write.mode("overwrite").parquet(_batch_dir(f"{path}/open", batch_id))
