@@ -132,8 +132,10 @@ def append_once(
         except AnalysisException:
             known = None
         if known is not None:
-            known = known.where((F.col("query") != me) | (F.col(BATCH) < batch_id)).select(*keys)
-            fresh = fresh.join(known, list(keys), "left_anti")
+            known = known.where((F.col("query") != me) | (F.col(BATCH) < batch_id))
+            known = known.select(*[F.col(k).alias(f"_known_{k}") for k in keys])
+            same = [F.col(k).eqNullSafe(F.col(f"_known_{k}")) for k in keys]
+            fresh = fresh.join(known, same, "left_anti")
         fresh.write.mode("overwrite").parquet(_batch_dir(f"{path}/query={me}", batch_id))
 
     return _start(stream, each, checkpoint)

@@ -64,6 +64,14 @@ def test_append_once_over_restarts_and_repeats(spark, tmp_path):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_null_keys_are_kept_once(spark, tmp_path):
+    logs, out = tmp_path / "logs", str(tmp_path / "out")
+    for i in range(2):
+        write(logs, f"{i}", [{"event": "chunk_done", "seq": i}, {"event": "chunk_done", "seq": 9, "problem_id": 1}])
+        S.append_once(live(spark, logs).select("problem_id", "seq"), out, str(tmp_path / "state"), ["problem_id"], "seq").awaitTermination()
+    assert sorted(((r.problem_id or 0), r.seq) for r in spark.read.parquet(out).collect()) == [(0, 0), (1, 9)]
+
+
 def test_totals(spark, tmp_path):
     logs, out, state = tmp_path / "logs", str(tmp_path / "out"), str(tmp_path / "state")
     for i in range(2):
