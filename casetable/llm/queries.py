@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from casetable.llm import exact_dedup, hilbert_shards
+from casetable.llm import exact_dedup, hilbert_shards, packing, warc
+from casetable.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -42,3 +44,36 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 """)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"))
+
+
+def vocabulary(name: str) -> str:
+    """A vocabulary file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op7_warc_salvage", """
+    with p as (
+        select page_id, coalesce(html, '') as html from pages
+    ), f as (
+        select html, min(page_id) as first from p where strlen(html) >= 100 group by html
+    )
+    select page_id, strlen(p.html)::bigint as payload_bytes, sha256(p.html) as payload_digest,
+        case when first is null or first = page_id then 'response' else 'revisit' end as record_type,
+        case when first <> page_id then first end as refers_to
+    from p left join f on p.html = f.html
+""")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write_archives(warc.page_records(table(spark, folder, "pages")), path, torn_every=50)
+    return warc.resolve_pages(warc.read_archives(spark, path))
+
+
+@query("op8_packing")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+    return packed.select(
+        "doc_id", "start", packing.piece_length(F.col("ids")).alias("length"), F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens", "sequence_id", "offset",
+    )
