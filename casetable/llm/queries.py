@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casetable.llm import exact_dedup, hilbert_shards, packing, warc
+from casetable.llm import exact_dedup, hilbert_shards, jaccard_join, packing, warc
 from casetable.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "start", packing.piece_length(F.col("ids")).alias("length"), F.crc32("ids").alias("ids_crc32"),
         "doc_tokens", "sequence_id", "offset",
     )
+
+
+@query("op9_jaccard_join")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, folder, "documents"))
