@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casetable.llm import exact_dedup, hilbert_shards, jaccard_join, packing, warc
+from casetable.llm import exact_dedup, hilbert_shards, jaccard_join, ordinal, packing, topk, warc
 from casetable.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,26 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_jaccard_join")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, folder, "documents"))
+
+
+@query("op4_ordinal_quality")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    graded = ordinal.select_by_grade(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return graded.select("doc_id", "graded.*")
+
+
+@query("op5_exact_top_k", """
+    with v as (
+        select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as cells from embeddings
+        where embedding is not null and list_count(embedding) = len(embedding)
+            and len(list_filter(embedding, lambda x: not isfinite(x))) = 0
+    ), s as (
+        select q.vec_id as query_id, c.vec_id, list_inner_product(q.cells::double[], c.cells::double[])::bigint as score
+        from v q join v c on q.vec_id <> c.vec_id and len(q.cells) = len(c.cells) where q.vec_id % 20 = 0
+    ), r as (
+        select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s
+    )
+    select query_id, rank, vec_id, score from r where rank <= 20
+""")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"))
