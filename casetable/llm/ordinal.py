@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator, Sequence
+from itertools import groupby
 from operator import eq
 
 import numpy as np
@@ -22,9 +23,11 @@ from pyspark.sql import functions as F
 
 #: Rated texts the model is fitted on, at most.
 SAMPLE = 16_000
-BITS = 18
+BITS = 20
 GRADES = 3
 ROUNDS = 120
+#: Features in fewer texts of the sample get no weight: a rare word marks one text and teaches nothing.
+LEAST_TEXTS = 8
 #: Weight of the squared weights in the loss.
 DECAY = 2e-5
 
@@ -40,21 +43,26 @@ def _share(part: int, whole: int) -> int:
 
 
 def features(text: str | None, bits: int = BITS) -> np.ndarray:
-    """Hashed features: the distinct words, and shares of capitals, marks, digits and repeats."""
+    """Hashed features: the distinct words, and rough shares of capitals, each mark, digits and repeats."""
     raw = (text or "").encode()
     plain = raw.translate(_WORDS).split()
     tokens = raw.split()
     distinct = set(plain)
     lines = raw.split(b"\n")
+    twins = sum(map(eq, plain, plain[1:]))
+    marks = len(raw) - len(raw.translate(None, _MARKS))
     kinds = [
         b"capitals %d" % _share(len(raw) - len(raw.translate(None, _UPPER)), len(raw)),
-        b"marks %d" % _share(len(raw) - len(raw.translate(None, _MARKS)), len(raw)),
+        b"marks %d" % _share(marks, len(raw)),
         b"digits %d" % _share(len(raw) - len(raw.translate(None, _DIGITS)), len(raw)),
-        b"twins %d" % _share(sum(map(eq, plain, plain[1:])), len(plain)),
+        b"twins %d" % _share(twins, len(plain)),
+        b"run %d" % (max(sum(1 for _ in same) for _, same in groupby(plain)) if twins else 0).bit_length(),
+        b"distinct %d %d" % (len(plain).bit_length(), _share(len(distinct), len(plain))),
         b"lines %d" % _share(len(lines) - len(set(lines)), len(lines)),
         b"bare %d" % _share(len(tokens) - min(len(tokens), len(plain)), len(tokens)),
         b"length %d" % len(plain).bit_length(),
     ]
+    kinds += [b"mark %d %d" % (m, _share(n, len(raw))) for m in _MARKS if marks and (n := raw.count(m))]
     names = [b"w " + w for w in distinct] + [b"k " + k for k in kinds]
     return np.unique(np.fromiter(map(zlib.crc32, names), np.uint32, len(names)) & np.uint32((1 << bits) - 1))
 
@@ -72,6 +80,9 @@ def fit(rows: Sequence[np.ndarray], grades: np.ndarray, n_grades: int, bits: int
     thresholds = -np.log(above / (1 - above))
     if not len(rows):
         return weights, thresholds
+    texts_of = np.bincount(np.concatenate(rows), minlength=1 << bits)
+    rows = [r[texts_of[r] >= LEAST_TEXTS] for r in rows]
+    rows = [np.append(r, 1 << bits) for r in rows]  # a place of no weight, so that no row is empty
     flat = np.concatenate(rows).astype(np.int64)
     sizes = np.array([len(r) for r in rows])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -82,7 +93,7 @@ def fit(rows: Sequence[np.ndarray], grades: np.ndarray, n_grades: int, bits: int
     at = np.arange(len(grades))
     for step in range(1, rounds + 1):
         thresholds = thresholds[0] + np.concatenate([[0], np.cumsum(np.exp(gaps))])
-        score = np.add.reduceat(weights[flat], starts)
+        score = np.add.reduceat(np.append(weights, 0)[flat], starts)
         tail = np.pad(link(score, thresholds), ((0, 0), (1, 1)), constant_values=((0, 0), (1, 0)))
         p = np.maximum(tail[at, grades] - tail[at, grades + 1], 1e-9)
         slope = tail * (1 - tail)
@@ -91,7 +102,7 @@ def fit(rows: Sequence[np.ndarray], grades: np.ndarray, n_grades: int, bits: int
         d_tail[at, grades] += slope[at, grades] / p
         d_tail[at, grades + 1] -= slope[at, grades + 1] / p
         d_threshold = d_tail[:, 1:-1].sum(0) / len(grades)  # tail falls as its threshold rises
-        grad = np.bincount(flat, np.repeat(d_score, sizes), 1 << bits) + decay * weights
+        grad = np.bincount(flat, np.repeat(d_score, sizes), (1 << bits) + 1)[:-1] + decay * weights
         moment = 0.9 * moment + 0.1 * grad
         square = 0.99 * square + 0.01 * grad * grad
         weights -= 0.05 * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-6)
@@ -137,13 +148,13 @@ def fit_grades(
         group = group.sort_by([("id", "ascending"), ("grade", "ascending")])
         rows = [np.array(r, np.int64) for r in group["places"].to_pylist()]
         weights, thresholds = fit(rows, group["grade"].to_numpy().astype(np.int64), n_grades, bits)
-        return pa.table({"weights": [weights.tobytes()], "thresholds": [thresholds.tobytes()]})
+        return pa.table({"weights": [weights.astype(np.float32).tobytes()], "thresholds": [thresholds.tobytes()]})
 
     encoded = rated.select("_id", "grade", "_text").mapInArrow(encode, "id long, grade int, places array<int>")
-    model = encoded.groupBy(F.lit(0)).applyInArrow(learn, "weights binary, thresholds binary").first()
+    model = encoded.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(learn, "weights binary, thresholds binary").first()
     if model is None:
         return fit([], np.zeros(0, np.int64), n_grades, bits)
-    return np.frombuffer(bytes(model[0])), np.frombuffer(bytes(model[1]))
+    return np.frombuffer(bytes(model[0]), np.float32), np.frombuffer(bytes(model[1]))
 
 
 def grade_column(df: DataFrame, text_col: str, weights: np.ndarray, thresholds: np.ndarray, tail: int) -> Column:
