@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casetable.llm import exact_dedup, hilbert_shards, jaccard_join, ordinal, packing, topk, warc
+from casetable.llm import exact_dedup, hilbert_shards, jaccard_join, mixing, ordinal, packing, topk, warc
 from casetable.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 """)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"))
+
+
+@query("op10_context_mixing")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.score_documents(table(spark, folder, "documents"))
