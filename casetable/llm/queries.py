@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casetable.llm import exact_dedup, hilbert_shards, jaccard_join, mixing, ordinal, packing, topk, warc
+from casetable.llm import exact_dedup, hilbert_shards, jaccard_join, mixing, ordinal, packing, sentence_pieces, topk, warc
 from casetable.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,10 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_context_mixing")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.score_documents(table(spark, folder, "documents"))
+
+
+@query("op1_sentence_pieces")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    encoded = sentence_pieces.encode(docs, vocabulary("piece_bpe_32k.model"), check=True)
+    return encoded.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), "round_trip")
