@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casetable.llm import exact_dedup, hilbert_shards, jaccard_join, mixing, ordinal, packing, sentence_pieces, topk, warc
+from casetable.llm import exact_dedup, hilbert_shards, jaccard_join, mixing, ordinal, packing, sentence_pieces, tool_calls, topk, warc
 from casetable.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,67 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     encoded = sentence_pieces.encode(docs, vocabulary("piece_bpe_32k.model"), check=True)
     return encoded.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), "round_trip")
+
+
+#: Fields of the two tools that turns are read as.
+TOOL_FIELDS = """
+    select * from values
+        ('user', 'text', 'string', true, null, null, null), ('user', 'turn', 'integer', true, null, 0.0D, null),
+        ('user', 'characters', 'integer', true, null, 1.0D, 500.0D),
+        ('system', 'text', 'string', true, null, null, null), ('system', 'turn', 'integer', true, null, 0.0D, 0.0D)
+    as t(name, field, kind, required, choices, least, most)
+"""
+
+
+@query("op2_tool_calls", """
+    with recursive c as (
+        select conv_id, turn, role, text, case role when 'user' then turn - 2 else turn + 1 end as dep
+        from conversations where role in ('user', 'system')
+    ), e as (
+        select c.conv_id, c.turn, c.dep from c join c d on c.conv_id = d.conv_id and c.dep = d.turn
+    ), late as (
+        select distinct conv_id from e where dep >= turn
+    ), p as (
+        select conv_id, turn, 0 as depth from c where conv_id in (from late)
+        union all
+        select e.conv_id, e.turn, p.depth + 1 from p join e on p.conv_id = e.conv_id and p.turn = e.dep
+    ), deep as (
+        select conv_id, turn, max(depth) as depth from p group by all
+    ), a as (
+        select * from conversations where role not in ('user', 'system')
+    ), rows as (
+        select c.conv_id, c.turn as place, coalesce(depth, 0)::int as depth, c.role as name,
+            case when c.role = 'system' then 'unknown:characters' || case when c.turn <> 0 then ',range:turn' else '' end
+                when length(c.text) not between 1 and 500 then 'range:characters' else '' end as broken,
+            a.conv_id is not null as met, c.turn as id, coalesce(a.text, '') as answer,
+            '{"characters":' || length(c.text) || ',"text":' || to_json(c.text) || ',"turn":' || c.turn || '}' as given
+        from c left join deep using (conv_id, turn) left join a on a.conv_id = c.conv_id and a.turn = c.turn + 1
+        union all
+        select a.conv_id, a.turn, 0, null, '', false, a.turn - 1, coalesce(a.text, ''), 'null'
+        from a where not exists (select 1 from c where c.conv_id = a.conv_id and c.turn = a.turn - 1)
+    )
+    select conv_id, id::varchar as call_id, place, depth, name,
+        case when name is null then 'orphan' when broken <> '' then 'invalid' when met then 'answered' else 'open' end as status,
+        array_to_string(list_sort(string_split(broken, ',')), ',') as violations,
+        '{"arguments":' || given || ',"call_id":"' || id || '","name":' || coalesce(to_json(name), 'null') || ',"result":'
+            || case when met or name is null then to_json(answer) else 'null' end || '}' as record
+    from rows
+""")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """User and system turns as calls; any other turn is the result of the turn before it.
+
+    A user turn depends on the one two turns before; a system turn on the turn after it.
+    """
+    turns = table(spark, folder, "conversations")
+    called = F.col("role").isin("user", "system")
+    on = F.when(F.col("role") == "user", F.col("turn") - 2).otherwise(F.col("turn") + 1)
+    calls = turns.where(called).select(
+        "conv_id", F.col("turn").cast("string").alias("call_id"), F.col("turn").alias("place"), F.col("role").alias("name"),
+        F.to_json(F.struct("text", "turn", F.char_length("text").alias("characters"))).alias("arguments"),
+        F.array(on.cast("string")).alias("depends_on"),
+    )
+    results = turns.where(~F.coalesce(called, F.lit(False))).select(
+        "conv_id", (F.col("turn") - 1).cast("string").alias("call_id"), F.col("turn").alias("place"), F.col("text").alias("content")
+    )
+    linked = tool_calls.link_tool_calls(calls, results, spark.sql(TOOL_FIELDS))
+    return linked.withColumn("violations", F.array_join("violations", ","))
