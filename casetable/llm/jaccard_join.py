@@ -39,6 +39,8 @@ WORDS = 5
 NUM, DEN = 4, 5
 #: Sets in a chunk of a neighbourhood.
 CHUNK = 512
+#: Bits of the map of open texts, 4 MB; more open texts only let more others through.
+FILTER_BITS = 25
 #: The share of the long lists grows with this (a constant of the DivideSkip rule).
 MU = 0.01
 
@@ -49,8 +51,12 @@ def needed(a, b):
 
 
 def sample_limit(n: int) -> int:
-    """Hashes below this are looked at in the first step, falling with the size of the set."""
-    share = (DEN - NUM) / DEN + 1.5 / n**0.5
+    """Hashes below this are looked at in the first step, falling with the size of the set.
+
+    A set is shown to be alone by more than a fifth of its shingles; half as many again are
+    looked at, so that large sets that share up to a third with others are settled here too.
+    """
+    share = 1.5 * (DEN - NUM) / DEN + 1.5 / n**0.5
     return (1 << 64) - 1 if share >= 1 else int(share * 2.0**64)
 
 
@@ -150,21 +156,51 @@ def open_sets(sets: DataFrame, sent: DataFrame) -> DataFrame:
     )
 
 
+def marked_bits(opened: DataFrame) -> np.ndarray:
+    """A bit map of fixed size in which the bits of the open sets' text keys are set."""
+    bit = F.pmod("text_key", F.lit(1 << FILTER_BITS))
+    parts = opened.select(F.floor(bit / 32768).alias("part"), (bit % 32768).alias("bit")).groupBy("part").agg(
+        F.bitmap_construct_agg("bit").alias("bits")
+    )
+    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for r in parts.toLocalIterator():  # bounded: 2 ** FILTER_BITS bits in all
+        out[r.part * 4096:(r.part + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out
+
+
 def open_shingles(docs: DataFrame, opened: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
-    """``set_key, n, shingles`` of the open sets, read from one of their texts."""
+    """``set_key, n, shingles`` of the open sets, read from one of their texts.
+
+    The bit map passes over most other texts where they are read, so that texts are not moved; those
+    that it lets through by chance go in the join.
+    """
     schema = pa.schema([("set_key", pa.int64()), ("n", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    shared = docs.sparkSession.sparkContext.broadcast(marked_bits(opened))  # bounded by FILTER_BITS
 
     def build(batches):
+        def wanted():
+            for batch in batches:
+                bit = batch.column(0).to_numpy() & ((1 << FILTER_BITS) - 1)
+                yield batch.filter(pa.array((shared.value[bit >> 3] >> (bit & 7) & 1).astype(bool)))
+
         def rows():
-            for (key,), s in _sets(batches, words):
-                if len(s) and set_key(s) == key:
-                    yield key, len(s), s.view(np.int64)
+            done: set[int] = set()
+            for _, s in _sets(wanted(), words):
+                if not len(s):
+                    continue
+                key = set_key(s)
+                if key in done:
+                    continue
+                if len(done) >= 100_000:
+                    done.clear()
+                done.add(key)
+                yield key, len(s), s.view(np.int64)
 
         return _batches(rows(), schema)
 
     texts = _keyed(docs, id_col, text_col).select("text_key", "text")
-    wanted = join_spread(texts, opened.select("text_key", "set_key"), ["text_key"]).select("set_key", "text")
-    return wanted.mapInArrow(build, "set_key long, n long, shingles array<long>").dropDuplicates(["set_key"])
+    read = texts.mapInArrow(build, "set_key long, n long, shingles array<long>")
+    return read.join(opened.select("set_key"), "set_key", "left_semi").dropDuplicates(["set_key"])
 
 
 def neighbourhoods(shingled: DataFrame) -> DataFrame:
