@@ -34,37 +34,52 @@ def _(t: Tables) -> DataFrame:
     return S.read_csv(t.spark, path, PART_SCHEMA)
 
 
-@drill("A2_read_nested_parquet", "select doc_id, source, n_chars from documents where lang = 'en' and n_chars > 1000")
+@drill("A2_read_nested_parquet", "select doc_id, source, text, n_chars from documents")
 def _(t: Tables) -> DataFrame:
-    df = S.read_corpus(t.spark, f"{t.folder}/documents.parquet", ["doc_id", "source", "lang", "n_chars", "absent"])
-    return df.where((F.col("lang") == "en") & (F.col("n_chars") > 1000)).select("doc_id", "source", "n_chars")
+    return S.read_corpus(t.spark, f"{t.folder}/documents.parquet", ["doc_id", "source", "text", "n_chars", "absent"])
 
 
 def _faulty_csv(t: Tables) -> tuple[DataFrame, DataFrame]:
     key = F.col("p_partkey")
+    size = F.when(key % 17 == 8, "bad").otherwise(F.col("p_size").cast("string"))
+    name = F.when(key % 11 == 5, "").when(
+        key % 19 == 9, F.concat(F.lit('"say \\"'), F.col("p_name"), F.lit(', you\\" now"'))
+    ).otherwise(F.col("p_name"))
     line = F.concat(
         F.when(key % 50 == 0, "x").otherwise(""), key.cast("string"),
-        F.when(key % 3 == 0, ".0").otherwise(""), F.lit(","), F.col("p_size").cast("string"),
-        F.when(key % 7 == 3, "").otherwise(F.concat(F.lit(","), F.col("p_name"))),
+        F.when(key % 3 == 0, ".0").otherwise(""), F.lit(","), size,
+        F.when(key % 7 == 3, "").otherwise(F.concat(F.lit(","), name)),
+        F.when((key % 13 == 6) & (key % 7 != 3), ",extra").otherwise(""),
     )
     path = t.scratch("tolerant")
     t.part.select(line).write.text(path)
-    return S.read_csv_tolerant(t.spark, path, "id string, size bigint, name string", ["id"], header=False)
+    return S.read_csv_tolerant(t.spark, path, "id string, size bigint, name string", ["id"], header=False, escape="\\")
 
 
-@drill("A3_read_csv_tolerant_good", """
-select p_partkey as id, cast(p_size as bigint) as size, p_name as name from part
-where p_partkey % 50 <> 0 and p_partkey % 7 <> 3""")
+FAULTY_CHECK = r"""
+with p as (
+  select p_partkey as key, p_partkey % 7 = 3 as short, p_partkey % 13 = 6 and p_partkey % 7 <> 3 as long, p_partkey % 50 = 0 as unkeyed,
+    p_partkey % 17 = 8 as misfit, p_size,
+    case when p_partkey % 11 = 5 then null when p_partkey % 19 = 9 then 'say "' || p_name || ', you" now' else p_name end as name,
+    case when p_partkey % 11 = 5 then '' when p_partkey % 19 = 9 then '"say \"' || p_name || ', you\" now"' else p_name end as cell
+  from part
+), r as (
+  select *, case when unkeyed then 'x' else '' end || key || case when key % 3 = 0 then '.0' else '' end as id,
+    case when misfit then 'bad' else p_size::varchar end as size,
+    case when short then 'short' when long then 'long' when unkeyed then 'key' when misfit then 'type' end as reason from p
+)"""
+
+
+@drill("A3_read_csv_tolerant_good", FAULTY_CHECK + """
+select key as id, cast(size as bigint) as size, name from r where reason is null""")
 def _(t: Tables) -> DataFrame:
     return _faulty_csv(t)[0]
 
 
-@drill("A3_read_csv_tolerant_rejected", """
-select case when p_partkey % 50 = 0 then 'x' else '' end || cast(p_partkey as varchar)
-    || case when p_partkey % 3 = 0 then '.0' else '' end as id,
-  cast(p_size as bigint) as size, case when p_partkey % 7 <> 3 then p_name end as name,
-  case when p_partkey % 7 = 3 then 'short' else 'key' end as reason
-from part where p_partkey % 50 = 0 or p_partkey % 7 = 3""")
+@drill("A3_read_csv_tolerant_rejected", FAULTY_CHECK + """
+select id, size, case when not short then name end as name, reason,
+  case when short then id || ',' || size when long then id || ',' || size || ',' || cell || ',extra' end as record
+from r where reason is not null""")
 def _(t: Tables) -> DataFrame:
     return _faulty_csv(t)[1]
 

@@ -139,14 +139,14 @@ def first_filled(
     return kept.select(*shards.columns), outcome.where(F.col("reason").isNotNull()).select(key, "reason")
 
 
-def execution_grid(sols: DataFrame, cases: DataFrame, max_order: int = 5) -> DataFrame:
-    """What to run: every case of a problem with each of its first ``max_order`` solutions.
+def execution_grid(sols: DataFrame, cases: DataFrame, max_order: int | None = None) -> DataFrame:
+    """What to run: every case of a problem with each of its solutions, or the first ``max_order``.
 
     Problems without solutions or without cases drop out. Columns come along as given: hand in
-    keys only where texts can be looked up later. The grid is at most ``max_order``
-    times the cases, as the filter goes below the join.
+    keys only where texts can be looked up later. With ``max_order`` the grid is at
+    most that many times the cases, as the filter goes below the join.
     """
-    first = sols.where(F.col("solution_order") <= max_order)
+    first = sols if max_order is None else sols.where(F.col("solution_order") <= max_order)
     return first.join(cases, "problem_id")
 
 
@@ -181,4 +181,4 @@ def scatter_vector(
     )
     value = F.get(F.col("_values"), F.col(pos).cast("int"))
     told = F.when(F.col("_values").isNull(), "ERROR").when(value == "true", "true").otherwise("false")
-    return rows.join(answers, batch, "left").withColumn(name, told).drop("_values")
+    return join_spread(rows, answers, [batch], "left").withColumn(name, told).drop("_values")

@@ -48,11 +48,10 @@ def preview(df: DataFrame, n: int, row: str = "row_no") -> DataFrame:
 def sample_after(
     df: DataFrame, offset: int, n: int, seed: int, key: str, row: str = "row_no"
 ) -> DataFrame:
-    """A repeatable sample of up to ``n`` rows after row ``offset``; of all rows in a smaller table."""
-    size = df.agg(F.count(F.lit(1))).scalar()
+    """A repeatable sample of up to ``n`` rows after row ``offset``."""
     lot = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     return (
-        df.where((F.col(row) > offset) | (size <= offset))
+        df.where(F.col(row) > offset)
         .withColumn("_lot", lot)
         .orderBy("_lot", key)
         .limit(n)

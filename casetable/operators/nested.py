@@ -78,14 +78,17 @@ def split_corpus(
     return front_columns(problems, PROBLEM_FRONT_COLUMNS), cases, sols
 
 
-def unpivot_solutions(
-    df: DataFrame, keys: Sequence[str], n: int = 20, prefix: str = "solution_"
-) -> DataFrame:
-    """solution_1 .. solution_n as rows, trimmed, blank ones left out."""
+def solution_columns(columns: Sequence[str], prefix: str = "solution_") -> dict[int, str]:
+    """The columns named by the prefix and a number, by that number."""
+    found = {c: c.removeprefix(prefix) for c in columns if c.startswith(prefix)}
+    return dict(sorted((int(n), c) for c, n in found.items() if n.isascii() and n.isdigit()))
+
+
+def unpivot_solutions(df: DataFrame, keys: Sequence[str], prefix: str = "solution_") -> DataFrame:
+    """All numbered solution columns as rows, trimmed, blank ones left out."""
     cells = [
-        F.struct(F.lit(i).cast("bigint").alias("solution_index"), strip_text(F.col(f"{prefix}{i}")).alias("code"))
-        for i in range(1, n + 1)
-        if f"{prefix}{i}" in df.columns
+        F.struct(F.lit(i).cast("bigint").alias("solution_index"), strip_text(F.col(c)).alias("code"))
+        for i, c in solution_columns(df.columns, prefix).items()
     ]
     return df.select(*keys, F.inline(F.array(*cells))).where(F.col("code") != "")
 

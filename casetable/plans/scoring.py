@@ -14,19 +14,20 @@ from casetable.operators import joins as J, nested as N, order as O, requests as
 
 def plan_requests(
     problems: DataFrame, done: DataFrame, per_request: int, header: Column, item: Column,
-    footer: Column | None = None, n: int = 20,
+    footer: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Solutions that have no score row yet, in chunks of one problem: rows asked for, and texts.
 
     ``header`` and ``item`` are built from problem columns, ``solution_index`` and ``code``.
     """
-    keep = [c for c in problems.columns if not c.startswith("solution_")]
-    sols = N.unpivot_solutions(problems, keep, n).withColumn(
+    numbered = N.solution_columns(problems.columns)
+    keep = [c for c in problems.columns if c not in numbered.values()]
+    sols = N.unpivot_solutions(problems, keep).withColumn(
         "problem_solution_key", solution_key(F.col("id"), F.col("solution_index"))
     )
     todo = J.pending(sols, done, ["problem_solution_key"])
-    # a problem has at most n solutions, so one block holds them all
-    chunks = O.chunk_rows(todo, ["id"], ["solution_index"], per_request, width=n + 1)
+    # one block holds all solutions of a problem
+    chunks = O.chunk_rows(todo, ["id"], ["solution_index"], per_request, width=max(numbered, default=0) + 1)
     chunks = chunks.withColumn("chunk_id", F.concat_ws(":", F.col("id").cast("string"), F.col("chunk_no").cast("string")))
     return chunks, Q.render_requests(chunks, ["chunk_id"], "item_no", header, item, footer)
 

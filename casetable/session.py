@@ -30,10 +30,12 @@ def local_session(app: str = "casetable", cpus: str | int = "*", partitions: int
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by the session.
 
-    Only where the session names none (tests) is a local temporary folder set.
+    Only a local session that names none (tests) is given a temporary folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that all executors reach in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="casetable-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

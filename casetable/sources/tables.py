@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,11 +23,11 @@ RESULT_SCHEMA = (
 )
 
 
-def _csv(spark: SparkSession, schema: str | T.StructType):
+def _csv(spark: SparkSession, schema: str | T.StructType, escape: str = '"'):
     return (
         spark.read.schema(schema)
         .option("multiLine", True)
-        .option("escape", '"')
+        .option("escape", escape)
         .option("encoding", "UTF-8")
     )
 
@@ -40,29 +41,45 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> Data
     return _csv(spark, schema).option("header", True).csv(path)
 
 
+def cell_count(record: Column, escape: str = '"') -> Column:
+    """The number of cells in the text of a CSV record."""
+    inner = r'(?:[^"]|"")*' if escape == '"' else rf'(?:[^"{re.escape(escape)}]|{re.escape(escape)}.)*'
+    bare = F.regexp_replace(record, rf'(?s)(^|,)\s*"{inner}"', "$1")
+    return F.length(bare) - F.length(F.translate(bare, ",", "")) + 1
+
+
 def read_csv_tolerant(
-    spark: SparkSession, path: str, schema: str | T.StructType, key_cols: Sequence[str], header: bool = True
+    spark: SparkSession, path: str, schema: str | T.StructType, key_cols: Sequence[str], header: bool = True,
+    escape: str = '"',
 ) -> tuple[DataFrame, DataFrame]:
-    """Good rows, and rows that are too short or whose keys are no numbers.
+    """Good rows, and rejected rows as text with a ``reason``.
 
-    Keys are declared as text in ``schema`` and come back as whole numbers.
+    Reasons: ``short`` or ``long`` for another number of cells than columns, ``key`` where a key is
+    no number in the long range, ``type`` where a cell does not have its declared type. Keys are
+    declared as text in ``schema`` and come back as whole numbers. An empty cell is null.
+    ``record`` holds the whole text of rows that are short or long.
     """
-    fields = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    last = fields.fields[-1].name
-    wide = T.StructType([*fields.fields, T.StructField(CORRUPT, T.StringType())])
+    fields = (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).fields
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in fields] + [T.StructField(CORRUPT, T.StringType())])
     raw = (
-        _csv(spark, wide).option("header", header).option("mode", "PERMISSIVE")
+        _csv(spark, texts, escape).option("header", header).option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT).csv(path)
     )
-    short = F.col(CORRUPT).isNotNull() & F.col(last).isNull()
-    unkeyed = F.lit(False)
-    for c in key_cols:
-        unkeyed = unkeyed | canonical_id(F.col(c)).isNull()
-    marked = raw.withColumn("reason", F.when(short, "short").when(unkeyed, "key"))
-    good = marked.where(F.col("reason").isNull()).select(
-        *[canonical_id(F.col(f.name)).alias(f.name) if f.name in key_cols else F.col(f.name) for f in fields.fields]
-    )
-    return good, marked.where(F.col("reason").isNotNull()).select(*[f.name for f in fields.fields], "reason")
+    typed = {
+        f.name: canonical_id(F.col(f.name)) if f.name in key_cols else F.col(f.name).try_cast(f.dataType) for f in fields
+    }
+    unkeyed, misfit = F.lit(False), F.lit(False)
+    for name, value in typed.items():
+        if name in key_cols:
+            unkeyed = unkeyed | value.isNull()
+        else:
+            misfit = misfit | (F.col(name).isNotNull() & value.isNull())
+    cells = cell_count(F.col(CORRUPT), escape)
+    reason = F.when(cells < len(fields), "short").when(cells > len(fields), "long").when(unkeyed, "key").when(misfit, "type")
+    marked = raw.withColumn("reason", reason)
+    good = marked.where(F.col("reason").isNull()).select(*[v.alias(n) for n, v in typed.items()])
+    record = F.rtrim(F.col(CORRUPT), F.lit("\r\n")).alias("record")
+    return good, marked.where(F.col("reason").isNotNull()).select(*typed, "reason", record)
 
 
 def read_corpus(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:

@@ -24,8 +24,18 @@ def test_tolerant_reading_splits_rows(spark, tmp_path):
     path = tmp_path / "a.csv"
     path.write_text("id,n,text\n1,1,a\n2\n3.0,x,b\n nan,1,c\n4,2,\"d\ne\"\n5,1,f,extra\n")
     good, bad = S.read_csv_tolerant(spark, str(path), "id string, n string, text string", ["id", "n"])
-    assert [tuple(r) for r in good.orderBy("id").collect()] == [(1, 1, "a"), (4, 2, "d\ne"), (5, 1, "f")]
-    assert sorted((r.id.strip(), r.reason) for r in bad.collect()) == [("2", "short"), ("3.0", "key"), ("nan", "key")]
+    assert [tuple(r) for r in good.orderBy("id").collect()] == [(1, 1, "a"), (4, 2, "d\ne")]
+    assert sorted((r.id.strip(), r.reason, r.record) for r in bad.collect()) == [
+        ("2", "short", "2"), ("3.0", "key", None), ("5", "long", "5,1,f,extra"), ("nan", "key", None)
+    ]
+
+
+def test_tolerant_reading_counts_cells_not_values(spark, tmp_path):
+    path = tmp_path / "b.csv"
+    path.write_text('1,5,\n2,5,"say \\"hi, you\\" now"\n3,5,"a, b",more\n4,bad,\n5,,x\n')
+    good, bad = S.read_csv_tolerant(spark, str(path), "id string, size long, name string", ["id"], False, "\\")
+    assert [tuple(r) for r in good.orderBy("id").collect()] == [(1, 5, None), (2, 5, 'say "hi, you" now'), (5, None, "x")]
+    assert sorted((r.id, r.size, r.name, r.reason) for r in bad.collect()) == [("3", "5", "a, b", "long"), ("4", "bad", None, "type")]
 
 
 def test_log_lines_that_are_no_events_pass_through(spark, tmp_path):

@@ -97,7 +97,7 @@ def test_requests_to_rows_plan(spark):
     data = [(7, "p7", "1", "print(1)\n", " ", "#include"), (8, "p8", "x", "a", "b", None)]
     problems = spark.createDataFrame(data, "id long, title string, selected_submission_index string, solution_1 string, solution_2 string, solution_3 string")
     done = spark.createDataFrame([("8_solution_1",)], "problem_solution_key string")
-    asked, texts = PS.plan_requests(problems, done, 2, F.col("title"), F.col("code"), n=3)
+    asked, texts = PS.plan_requests(problems, done, 2, F.col("title"), F.col("code"))
     assert {(r.id, r.solution_index, r.chunk_id) for r in asked.collect()} == {(7, 1, "7:0"), (7, 3, "7:0"), (8, 2, "8:0")}
     assert {r.chunk_id: (r.item_count, r.request) for r in texts.collect()} == {"7:0": (2, "p7\nprint(1)\n#include"), "8:0": (1, "p8\nb")}
     replies = [("7:0", json.dumps({"solutions": [reply(1, {"DP": 85.7}, "DP"), reply(3, {"DP": True})]})), ("8:0", json.dumps(reply(2, {"MATH": None, "DP": "60"})))]

@@ -57,7 +57,7 @@ def test_ids_and_slices(spark):
     sample = lambda seed: {r.id for r in K.sample_after(numbered, 900, 30, seed, "id").collect()}
     late = {r.id for r in numbered.where("row_no > 900").collect()}
     assert sample(1) == sample(1) and len(sample(1)) == 30 and sample(1) <= late and sample(1) != sample(2)
-    assert K.sample_after(numbered, 5000, 30, 1, "id").count() == 30  # a smaller table is sampled whole
+    assert K.sample_after(numbered, 5000, 30, 1, "id").count() == 0  # no switch by size
 
 
 def test_dedup_keeps_lowest_order_and_groups_nulls(spark):
@@ -181,7 +181,14 @@ def test_renumber_fills_failed_types_only(spark):
 def test_grid_keeps_first_solutions_only(spark):
     sols = spark.createDataFrame([(1, i, "c") for i in range(1, 9)] + [(2, 1, "c")], "problem_id int, solution_order int, solution string")
     cases = spark.createDataFrame([(1, 1), (1, 2), (3, 1)], "problem_id int, testcase_order int")
-    assert J.execution_grid(sols, cases).count() == 10
+    assert J.execution_grid(sols, cases, 5).count() == 10
+    assert J.execution_grid(sols, cases).count() == 16  # all of them unless asked otherwise
+
+
+def test_unpivot_takes_every_numbered_column(spark):
+    wide = spark.range(1).select("id", *[F.lit(f"c{i}").alias(f"solution_{i}") for i in range(1, 23)], F.lit("x").alias("solution_note"))
+    got = rows(N.unpivot_solutions(wide, ["id"]).select("solution_index", "code"), "solution_index")
+    assert got == [(i, f"c{i}") for i in range(1, 23)]
 
 
 def test_flag_vector_without_usable_order(spark):
