@@ -211,8 +211,8 @@ select doc_id as id, 'text' as kind, doc_id % 3 = 0 as is_list from documents
 union all select event_id, 'props', event_id % 2 = 1 from events""")
 def _(t: Tables) -> DataFrame:
     text = F.when(F.col("doc_id") % 3 == 0, F.to_json(F.array("text", F.lit("x")))).when(
-        F.col("doc_id") % 3 == 1, F.concat(F.lit("["), F.col("text"), F.lit("]"))
-    ).otherwise(F.col("text"))
+        (F.col("doc_id") % 3 == 1) & (F.col("doc_id") % 2 == 0), F.concat(F.to_json(F.array("text")), F.lit(" x]"))
+    ).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("["), F.col("text"), F.lit("]"))).otherwise(F.col("text"))
     docs = t.documents.select(F.col("doc_id").alias("id"), F.lit("text").alias("kind"), text.alias("cell"))
     wrapped = F.when(F.col("event_id") % 2 == 1, F.concat(F.lit(" ["), F.col("props"), F.lit(", None, 'a']\n"))).otherwise(F.col("props"))
     events = t.events.select(F.col("event_id").alias("id"), F.lit("props").alias("kind"), wrapped.alias("cell"))

@@ -98,14 +98,20 @@ def _level(score):
 
 def corpus(t: Tables) -> DataFrame:
     """A nested corpus, one problem per document: lines as inputs, comma parts as outputs,
-    sentences as solutions. Every ninth cell is cut short and unreadable."""
+    sentences as solutions. Every ninth cell is unreadable: no JSON,
+    cut short, with text behind its end, or with one bad element."""
     text = F.col("text")
     packed = F.to_json(F.struct(F.split(text, "\n").alias("inputs"), F.split(text, ", ").alias("outputs")))
+    form = F.floor(F.col("doc_id") / 9) % 4
+    broken = (
+        F.when(form == 0, "broken{").when(form == 1, F.substring(packed, 1, 25))
+        .when(form == 2, F.concat(packed, F.lit(" as asked"))).otherwise('{"inputs":["a","b"],"outputs":["x", y]}')
+    )
     return t.documents.select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("question"),
         F.col("lang").alias("difficulty"),
-        F.when(F.col("doc_id") % 9 == 4, "broken{").otherwise(packed).alias("input_output"),
+        F.when(F.col("doc_id") % 9 == 4, broken).otherwise(packed).alias("input_output"),
         F.to_json(F.split(text, r"\. ")).alias("solutions"),
         F.col("n_chars").alias("others"),
     )

@@ -25,6 +25,23 @@ def _as_json(col: Column) -> Column:
     return col
 
 
+def whole_json(text: Column, schema: str, options=LONG_CELLS, strict: bool = False) -> Column:
+    """The value of a text that is JSON from its first character to its last, else null.
+
+    Spark stops reading behind the first value and keeps what it read before an error; as a part of
+    a larger object the value only counts where what follows it is reached. With ``strict`` a
+    part that does not have its declared type makes the whole text unreadable.
+    """
+    kind = f"struct<v:{schema},end:int" + (",_corrupt_record:string>" if strict else ">")
+    read = F.from_json(F.concat(F.lit('{"v":'), text, F.lit(',"end":1}')), kind, options)
+
+    def value(x: Column) -> Column:
+        reached = x["end"].isNotNull()
+        return F.when(reached & x["_corrupt_record"].isNull() if strict else reached, x["v"])
+
+    return let(read, value)
+
+
 def parse_as(col: Column, schema: str, opener: str, empty=lambda x: x.isNull()) -> Column:
     """The value of a JSON cell; a literal with None, True or False is tried where that is ``empty``.
 
@@ -32,8 +49,8 @@ def parse_as(col: Column, schema: str, opener: str, empty=lambda x: x.isNull())
     its fields one by one would parse the cell once per field.
     """
     text = strip_text(col)
-    second = F.from_json(_as_json(text), schema, LONG_CELLS)
-    parsed = let(F.from_json(text, schema, LONG_CELLS), lambda x: F.when(empty(x), second).otherwise(x))
+    second = whole_json(_as_json(text), schema, strict=True)
+    parsed = let(whole_json(text, schema, strict=True), lambda x: F.when(empty(x), second).otherwise(x))
     return F.when(text.startswith(opener), parsed)
 
 

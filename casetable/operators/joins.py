@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from casetable.functions.json_cells import is_list_literal, strip_fence
+from casetable.functions.json_cells import is_list_literal, strip_fence, whole_json
 from casetable.functions.text import fill_status, loose_int, number_or_null
 
 
@@ -175,7 +175,7 @@ def scatter_vector(
     """The i-th value of a batch's reply to the i-th row (from 0): true, false, or ERROR for
     every row of a batch whose reply is missing, unreadable or of another length."""
     sizes = rows.groupBy(batch).agg(F.count(F.lit(1)).alias("_n"))
-    values = replies.select(batch, F.from_json(strip_fence(F.col(reply)), "array<string>").alias("_values"))
+    values = replies.select(batch, whole_json(strip_fence(F.col(reply)), "array<string>", {}).alias("_values"))
     answers = sizes.join(values, batch, "left").select(
         batch, F.when(F.size("_values") == F.col("_n"), F.col("_values")).alias("_values")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casetable.functions.json_cells import (
-    FLAGS_SCHEMA, parse_io, parse_list, size_or_zero, strip_fence, truthy,
+    FLAGS_SCHEMA, parse_io, parse_list, size_or_zero, strip_fence, truthy, whole_json,
 )
 from casetable.functions.score_sets import score_map, score_vector
 from casetable.functions.text import loose_int, strip_text
@@ -102,7 +102,7 @@ def flag_vector(
     Numbered by ``position`` in the reply from 1, or by the object's own ``field``; objects
     without a usable number are then left out.
     """
-    flags = F.from_json(strip_fence(F.col(reply)), FLAGS_SCHEMA)
+    flags = whole_json(strip_fence(F.col(reply)), FLAGS_SCHEMA, {})
     items = df.select(key, F.posexplode(flags).alias("_at", "_flags")).where(F.col("_flags").isNotNull())
     if order == "position":
         number = (F.col("_at") + 1).cast("bigint")
@@ -140,7 +140,7 @@ def parse_reply(
 
     UNREADABLE, EMPTY, or LENGTH when the list is not as long as the ``expect`` column says.
     """
-    parsed = df.withColumn(name, F.from_json(strip_fence(F.col(reply)), schema))
+    parsed = df.withColumn(name, whole_json(strip_fence(F.col(reply)), schema, {}))
     n = F.size(name)
     reason = F.when(F.col(name).isNull(), "UNREADABLE").when(n == 0, "EMPTY")
     if expect is not None:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casetable import vocab as V
-from casetable.functions.json_cells import strip_fence, truthy
+from casetable.functions.json_cells import strip_fence, truthy, whole_json
 from casetable.functions.score_sets import first_highest, score_vector
 from casetable.functions.text import (
     equals_number, first_match_label, join_list, join_pairs, line_count, loose_int, solution_key,
@@ -45,9 +45,9 @@ def parse_items(
 ) -> DataFrame:
     """One row per reply item. Where ``asked`` is 1 the reply may be the bare item itself."""
     item, text = item_schema(broad), strip_fence(F.col(reply))
-    items = F.from_json(text, f"struct<solutions:array<{item}>>")["solutions"]
+    items = whole_json(text, f"struct<solutions:array<{item}>>", {})["solutions"]
     if asked is not None:
-        items = F.when(F.col(asked) == 1, F.coalesce(items, F.array(F.from_json(text, item)))).otherwise(items)
+        items = F.when(F.col(asked) == 1, F.coalesce(items, F.array(whole_json(text, item, {})))).otherwise(items)
     return replies.select(chunk, F.explode(items).alias("_item")).where(F.col("_item").isNotNull()).select(
         chunk, "_item.*"
     )

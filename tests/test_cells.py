@@ -115,3 +115,15 @@ def test_fence(one):
 def test_truthy(one):
     cells = ["true", "false", "0", "1", "", None, "yes", "False"]
     assert one(cells, "string", J.truthy) == [True, False, False, True, False, False, True, False]
+
+
+def test_only_whole_cells_are_read(spark, one):
+    cells = ['["a", null]', "['a', None]", '["a"] x', '["a"] x]', '["a"', '["a"]}', "[]", None]
+    assert one(cells, "string", J.parse_list) == [["a", None], ["a", None], None, None, None, None, [], None]
+    assert one(cells, "string", J.is_list_literal) == [True, True, False, False, False, False, True, False]
+    pairs = ['{"inputs":["a"],"outputs":["b"]}', '{"inputs":["a"],"outputs":["b"]} junk', '{"inputs":["a"],"outputs":["x", y]}',
+             '{"inputs":["a"],"outputs":5}', '{"inputs":["a"]}', '{"inputs":["a"],"outputs":null}', '{"inputs":["a"],"outp']
+    got = [None if r is None else (r.inputs, r.outputs) for r in one(pairs, "string", J.parse_io)]
+    assert got == [(["a"], ["b"]), None, None, None, (["a"], None), (["a"], None), None]
+    flags = one(["[true, false]", "[true, false] hope this helps"], "string", lambda c: J.whole_json(c, "array<string>", {}))
+    assert flags == [["true", "false"], None]
