@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casetable.llm import exact_dedup, hilbert_shards, jaccard_join, mixing, ordinal, packing, sentence_pieces, tool_calls, topk, warc
+from casetable.llm import (
+    divergence, exact_dedup, hilbert_shards, jaccard_join, mixing, ordinal, packing, resample, sentence_pieces, tool_calls, topk, warc,
+)
 from casetable.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,3 +183,95 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     )
     linked = tool_calls.link_tool_calls(calls, results, spark.sql(TOOL_FIELDS))
     return linked.withColumn("violations", F.array_join("violations", ","))
+
+
+@query("op12_source_divergence", r"""
+    with d as (
+        select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source,
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
+        from documents
+    ), w as (
+        select row, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d
+    ), k as (
+        select lang, term from w group by lang, term having count(distinct row) >= 10
+    ), c as (
+        select lang, source, term, count(*) as n from w join k using (lang, term) group by all
+    ), v as (
+        select lang, count(*) as v from k group by lang
+    ), g as (
+        select lang, source, coalesce(sum(n), 0) as total from (select distinct lang, source from d) left join c using (lang, source)
+        group by all
+    ), l as (
+        select lang, term, sum(n) as n from c group by all
+    ), lt as (
+        select lang, sum(total) as total from g group by lang
+    ), p as (
+        select lang, source, term, coalesce(n, 0)::bigint as n,
+            1 + 1000000000::hugeint * (coalesce(n, 0) + 2) // (total + 2 * v)::hugeint as p
+        from g join v using (lang) join k using (lang) left join c using (lang, source, term)
+    ), q as (
+        select lang, term, 1 + 1000000000::hugeint * (n + 2)::hugeint // (total + 2 * v)::hugeint as q
+        from l join lt using (lang) join v using (lang)
+    ), s as (
+        select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::bigint as value
+        from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+    ), pairs as (
+        select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+        from g a join g b on a.lang = b.lang and a.source <> b.source
+        left join s on s.lang = a.lang and s.source = a.source and s.item = b.source
+    ), terms as (
+        select lang, source, 'term' as part, term as item, ((p - q) * (p - q) // (p + q))::bigint as value
+        from p join q using (lang, term) where n > 0 and p > q
+    ), r as (
+        select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank
+        from (select * from pairs union all select * from terms)
+    )
+    select lang, source, part, item, value, rank from r where part = 'pair' or rank <= 10
+""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, folder, "documents"))
+
+
+@query("op13_resample_target", r"""
+    with step as (
+        select list(list_reduce([b::bigint] || list_transform(range(8), lambda i: i::bigint),
+            lambda x, i: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end) order by b) as crc
+        from range(256) t(b)
+    ), w as (
+        select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words, row_number() over () as row from documents
+    ), tw as (
+        select unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word from benchmark
+    ), dw as (
+        select row, unnest(words) as word from w
+    ), h as (
+        select word, xor(list_reduce([4294967295::bigint] || list_transform(range(strlen(word)),
+            lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::bigint),
+            lambda x, b: xor(x // 256, crc[xor(x % 256, b) + 1])), 4294967295) % 10000 as bucket
+        from (select word from dw union select word from tw), step
+    ), s as (
+        select bucket, count(*) as n from dw join h using (word) group by bucket
+    ), t as (
+        select bucket, count(*) as n from tw join h using (word) group by bucket
+    ), gain as (
+        select b as bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::double * ((select coalesce(sum(n), 0) from s) + 10000)::double
+            / ((coalesce(s.n, 0) + 1)::double * ((select coalesce(sum(n), 0) from t) + 10000)::double)))::bigint as gain
+        from range(10000) r(b) left join s on s.bucket = b left join t on t.bucket = b
+    ), f as (
+        select row, count(*) as n, floor(sum(gain)::double / count(*))::bigint as weight
+        from dw join h using (word) join gain using (bucket) group by row
+    ), x as (
+        select doc_id, coalesce(n, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+            coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint
+                + 0.5::double) / 4294967296::double)))::bigint as score
+        from w left join f using (row)
+    ), r as (
+        select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id) as place from x
+    )
+    select doc_id, n_features, weight, score,
+        case when n_features >= 20 and place <= (select count(*) * 10 // 100 from x where n_features >= 20) then place end as rank
+    from r
+""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return resample.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
