@@ -391,6 +391,43 @@ def similar_links(tasks: DataFrame) -> DataFrame:
     return tasks.groupBy("place", "low", "high").applyInArrow(run, "a long, b long")
 
 
+def similar_classes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, chunk: int = CHUNK
+) -> DataFrame:
+    """``doc_id, text_key, n, component`` per row: equal components are linked; a text without words has none."""
+    sets = stored(document_sets(docs, id_col, text_col, words), "sets")
+    opened = stored(open_sets(sets, looked_at(docs, id_col, text_col, words)), "open")
+    shingled = stored(open_shingles(docs, opened, id_col, text_col, words), "shingles")
+    tasks = chunk_pairs(shingled, neighbourhoods(shingled), chunk)
+    linked = components(stored(similar_links(tasks), "links"))
+    return join_spread(sets, linked.withColumnRenamed("node", "set_key"), ["set_key"], "left").select(
+        "doc_id", "text_key", "n", F.coalesce("component", "set_key").alias("component")
+    )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, chunk: int = CHUNK) -> DataFrame:
+    """The rows without those that are similar to a kept one: of each group the row with the smallest id stays.
+
+    A row is known by its id and its text, so rows that share an id are told apart; of rows repeated
+    whole one stays. A null id comes after all others, ties go by a hash of the text. Texts without words
+    all stay.
+    """
+    classes = stored(similar_classes(docs, id_col, text_col, words=words, chunk=chunk).where("component is not null"), "classes")
+    row = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_key")
+    firsts = classes.groupBy("component").agg(F.min(row).alias("first"))
+    gone = join_spread(classes, firsts, ["component"]).where(row != F.col("first")).select(
+        F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_text")
+    )
+    gone = stored(gone.distinct(), "near")  # written first: Spark then knows the size, and broadcasts only few
+    if not classes.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():  # rows repeated whole; usually there are none
+        wordy = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        docs = docs.where(wordy).dropDuplicates([id_col, text_col]).unionByName(docs.where(~wordy))
+    same = F.col(id_col).cast("bigint").eqNullSafe(F.col("_gone_id")) & (
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_gone_text")
+    )
+    return docs.join(gone, same, "left_anti")
+
+
 def jaccard_join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, chunk: int = CHUNK
 ) -> DataFrame:
@@ -402,16 +439,9 @@ def jaccard_join(
     their own; a null id is never a component's id unless all its ids are null. An empty table
     gives no rows. Other columns are not looked at.
     """
-    sets = stored(document_sets(docs, id_col, text_col, words), "sets")
-    opened = stored(open_sets(sets, looked_at(docs, id_col, text_col, words)), "open")
-    shingled = stored(open_shingles(docs, opened, id_col, text_col, words), "shingles")
-    tasks = chunk_pairs(shingled, neighbourhoods(shingled), chunk)
-    linked = components(stored(similar_links(tasks), "links"))
-    joined = join_spread(sets, linked.withColumnRenamed("node", "set_key"), ["set_key"], "left").select(
-        "doc_id", "n", "set_key", F.coalesce("component", "set_key").alias("component")
-    )
-    firsts = joined.where("set_key is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    joined = similar_classes(docs, id_col, text_col, words=words, chunk=chunk)
+    firsts = joined.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return join_spread(joined, firsts, ["component"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )

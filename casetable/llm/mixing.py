@@ -7,10 +7,11 @@ two and three bytes before it in the word, and with the whole word so far. A pre
 holds how often each branch was taken in the training texts.
 
 Their predictions are mixed in the logistic domain by weights that a gate, the byte's place in
-the word, selects. The weights start equal and follow the coding error after every decision of a
-byte, while the text is read; a last adaptive stage corrects the mixed probability by what has
-happened at about that probability so far. Both start anew every ``SEGMENT`` words, so segments
-of many texts are read side by side in one task.
+the word, selects. The weights start equal and follow the coding error after every word, while the
+text is read; a last adaptive stage corrects the mixed probability by what has happened at about
+that probability so far. Both start anew every ``SEGMENT`` words, so segments of many texts are
+read side by side in one task. Before each decision the probabilities of its two branches add to 1,
+so a text's score is the log10 of a probability over all texts.
 
 Training counts come from the table of all training words with their counts. Texts are held as
 blocks of word numbers with a vocabulary of their own; the corpus counts of a block's words reach it
@@ -246,46 +247,55 @@ def _add(total: np.ndarray, words: list[bytes], n: np.ndarray, tree, slot_bits:
 # ---------------------------------------------------------------- scoring
 
 
-def mix(lanes: np.ndarray, first: np.ndarray, steps: np.ndarray, odds: np.ndarray, gate: np.ndarray) -> np.ndarray:
-    """Bits of each lane. ``lanes``: word numbers side by side, -1 past a lane's end, longest lanes first.
+def mix(
+    stream: np.ndarray, begin: np.ndarray, length: np.ndarray, first: np.ndarray, steps: np.ndarray, odds: np.ndarray,
+    branch: np.ndarray, gate: np.ndarray,
+) -> np.ndarray:
+    """Bits of each lane, a run of words in the stream; longest lanes come first.
 
     ``first`` and ``steps`` say where a word's decisions stand in ``odds``, the predictors' log odds of
-    the branch that the word takes, and in ``gate``. The weights of a lane follow after each word.
+    the second branch, in ``branch``, whether it is taken, and in ``gate``. What is known before a
+    decision gives the probability of the second branch; the first branch has the rest of 1. The
+    weights and corrections of a lane follow after each word.
     """
-    n = len(lanes)
+    n = len(begin)
     bits = np.zeros(n)
     weights = np.tile(START, (n * GATES, 1))
     fixes = np.zeros(n * BUCKETS, np.float32)
-    alive = (lanes >= 0).sum(axis=0)
-    for column in range(lanes.shape[1]):
-        words = lanes[:alive[column], column]
+    for column in range(int(length.max(initial=0))):
+        alive = int(np.searchsorted(-length, -column, "left"))
+        words = stream[begin[:alive] + column]
         count = steps[words]
         begins = np.cumsum(count) - count
-        row = np.repeat(np.arange(len(words)), count)
+        row = np.repeat(np.arange(alive), count)
         at = np.arange(len(row)) + np.repeat(first[words] - begins, count)
-        x = odds.take(at, axis=0)
+        x, taken = odds.take(at, axis=0), branch.take(at)
         key = row * GATES + gate.take(at)
         z = np.einsum("ij,ij->i", x, weights.take(key, axis=0))
-        spot = row * BUCKETS + np.clip(z + np.float32(BUCKETS / 2 - 1), 0, BUCKETS - 1).astype(np.int64)
-        e = np.exp(-np.clip(z + fixes.take(spot), -14, 14))
-        bits[:len(words)] += np.add.reduceat(np.log1p(e), begins)
-        miss = e / (1 + e)  # 1 minus the probability of the branch taken
+        spot = row * BUCKETS + np.clip(z + np.float32(BUCKETS / 2), 0, BUCKETS - 1).astype(np.int64)
+        z = np.clip(z + fixes.take(spot), -14, 14)
+        e = np.exp(-z)
+        # taken: log2(1 + e); not taken: the same with z added, as 1 - 1 / (1 + e) = e / (1 + e)
+        bits[:alive] += np.add.reduceat(np.log1p(e) + np.where(taken, 0, z), begins)
+        error = taken - 1 / (1 + e)
         runs = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
-        weights[key[runs]] += RATE * np.add.reduceat(miss[:, None] * x, runs, axis=0)
-        fixes[:len(words) * BUCKETS] += FIX_RATE * np.bincount(spot, miss, len(words) * BUCKETS).astype(np.float32)
+        weights[key[runs]] += RATE * np.add.reduceat(error[:, None] * x, runs, axis=0)
+        fixes[:alive * BUCKETS] += FIX_RATE * np.bincount(spot, error, alive * BUCKETS).astype(np.float32)
     return bits / math.log(2)
 
 
-def score_block(n_words: np.ndarray, numbers: np.ndarray, words: list[bytes], tables: np.ndarray, tree, segment: int = SEGMENT) -> np.ndarray:
+def score_block(
+    n_words: np.ndarray, numbers: np.ndarray, words: list[bytes], tables: np.ndarray, tree, segment: int | None = SEGMENT
+) -> np.ndarray:
     """Bits of each text of a block, the end included."""
-    odds, gate, steps = [], [], []
+    odds, branch, gate, steps = [], [], [], []
     for at in range(0, len(words) + 1, PORTION):
         d = Decisions((words + [b""])[at:at + PORTION], tree, tables.shape[1].bit_length() - 1)
-        sign = (2 * d.branch - 1).astype(np.float32)
-        odds.append(np.stack([tables[k][d.slots[k]] * sign for k in range(CONTEXTS)], axis=1))
+        odds.append(np.stack([tables[k][d.slots[k]] for k in range(CONTEXTS)], axis=1))
+        branch.append(d.branch > 0.5)
         gate.append(d.gate)
         steps.append(d.per_word)
-    odds, gate, steps = map(np.concatenate, (odds, gate, steps))
+    odds, branch, gate, steps = map(np.concatenate, (odds, branch, gate, steps))
     first = np.cumsum(steps) - steps
     end = len(words)
     sizes = n_words + 1
@@ -294,31 +304,29 @@ def score_block(n_words: np.ndarray, numbers: np.ndarray, words: list[bytes], ta
     keep = np.ones(len(with_end), bool)
     keep[starts + n_words] = False
     with_end[keep] = numbers
-    parts = -(-sizes // segment)
+    most = segment or int(sizes.max(initial=1))
+    parts = -(-sizes // most)
     text_of = np.repeat(np.arange(len(sizes)), parts)
     part = np.arange(len(text_of)) - np.repeat(np.cumsum(parts) - parts, parts)
-    begin = starts[text_of] + part * segment
-    length = np.minimum(segment, starts[text_of] + sizes[text_of] - begin)
+    begin = starts[text_of] + part * most
+    length = np.minimum(most, starts[text_of] + sizes[text_of] - begin)
     order = np.argsort(-length, kind="stable")
     total = np.zeros(len(sizes))
     for at in range(0, len(order), LANES):
         some = order[at:at + LANES]
-        lanes = np.full((len(some), int(length[some[0]])), -1, np.int64)
-        columns = np.arange(lanes.shape[1])[None, :]
-        inside = columns < length[some][:, None]
-        lanes[inside] = with_end[(begin[some][:, None] + columns)[inside]]
-        np.add.at(total, text_of[some], mix(lanes, first, steps, odds, gate))
+        np.add.at(total, text_of[some], mix(with_end, begin[some], length[some], first, steps, odds, branch, gate))
     return total
 
 
 def score_documents(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES,
-    slot_bits: int = SLOT_BITS,
+    slot_bits: int = SLOT_BITS, segment: int | None = SEGMENT,
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte`` per row.
 
     Training texts are those with crc32(id as text) mod 7 other than 2; all are scored. Tokens are
-    the words, lower-cased in A-Z, and one end. ``base_score`` is the add-one unigram log10
+    the words, lower-cased in A-Z, and one end. The mixing weights start anew after ``segment`` words,
+    the same for texts of any length; None lets them follow through the whole text, at more cost. ``base_score`` is the add-one unigram log10
     probability, ``score`` that of the mixing model over the words with their ends. A null or
     empty text is the end alone. A null id counts as an empty text in the choice of training texts;
     repeated ids are rows of their own. Without training texts all counts are 0. An empty table gives
@@ -367,7 +375,7 @@ def score_documents(
                 begins = ends_at - n_words
                 whole = np.array([math.fsum(logs[numbers[a:b]]) for a, b in zip(begins, ends_at)])
                 base_score = whole + (math.log10(ends + 1.0) - base)
-                bits = score_block(n_words, numbers, words, tables, tree)
+                bits = score_block(n_words, numbers, words, tables, tree, segment)
                 n_bytes = per_size[ends_at] - per_size[begins] + 1
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(n_words + 1),

@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Callable, Iterator, Sequence
+import json
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -79,15 +80,32 @@ def split_pool(sizes: Sequence[int], capacity: int) -> list[list[int]]:
         parts += 1
 
 
-def byte_level_encoder(rank_file: str) -> Callable[[str], np.ndarray]:
-    """Ids of a byte-level vocabulary in rank form; strings of special tokens are ordinary text."""
-    import public_tokenizers
-    import tiktoken
+def added_tokens(tokenizer_file: str) -> dict[str, int]:
+    """The strings that a tokenizer file adds to its vocabulary, which are one id wherever they stand in a text."""
+    with open(tokenizer_file, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]  # a vocabulary file is bounded
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+        raise ValueError("only added tokens that stand for themselves are supported")
+    return {t["content"]: t["id"] for t in added}
 
-    with open(rank_file, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    encoding = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: encoding.encode_to_numpy(text, disallowed_special=())
+
+def byte_level_encoder(rank_file: str, added: Mapping[str, int]) -> Callable[[str], np.ndarray]:
+    """Ids of a byte-level vocabulary in rank form, and of the strings added to it."""
+    known = _ENCODINGS.get((rank_file, *added.items()))
+    if known is None:
+        import public_tokenizers
+        import tiktoken
+
+        with open(rank_file, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        known = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict(added))
+        _ENCODINGS.clear()
+        _ENCODINGS[(rank_file, *added.items())] = known
+    return lambda text: known.encode_to_numpy(text, allowed_special="all")
+
+
+#: The encoding that a Python worker used last; it is kept from task to task.
+_ENCODINGS: dict = {}
 
 
 class Packer:
@@ -128,12 +146,13 @@ class Packer:
 
 
 def pack_documents(
-    docs: DataFrame, rank_file: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
+    docs: DataFrame, rank_file: str, added: Mapping[str, int] | None = None, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
     piece: int = PIECE, pool: int = POOL,
 ) -> DataFrame:
     """One row per piece: ``doc_id, start, ids, doc_tokens, sequence_id, offset``.
 
-    ``ids`` are little-endian unsigned 32-bit token ids; every document ends with id 0. A null or
+    ``ids`` are little-endian unsigned 32-bit token ids; strings in ``added`` have one id of their own,
+    and every document ends with id 0. A null or
     empty text is that one id. A document longer than a window fills whole windows first. Rows
     with null or repeated ids are packed each on its own; an empty table gives no rows. Sequence
     ids are unique, rising inside a task; the input's other columns are not looked at.
@@ -143,7 +162,7 @@ def pack_documents(
         packer = Packer(TaskContext.get().partitionId() << 33, capacity, piece, pool)
         encode = None
         for batch in batches:
-            encode = encode or byte_level_encoder(rank_file)
+            encode = encode or byte_level_encoder(rank_file, added or {})
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 ids = encode(text.as_py() or "")
                 packer.add(doc_id.as_py(), np.append(ids, END).astype("<u4"))

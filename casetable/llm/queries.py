@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casetable.llm import (
-    divergence, exact_dedup, hilbert_shards, jaccard_join, mixing, ordinal, packing, resample, sentence_pieces, tool_calls, topk, warc,
+    divergence, exact_dedup, hilbert_shards, jaccard_join, mixing, ordinal, packing, resample, sentence_pieces, simhash, tool_calls,
+    topk, warc,
 )
+from casetable.llm.common import stored
 from casetable.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,12 +71,13 @@ def vocabulary(name: str) -> str:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_archives(warc.page_records(table(spark, folder, "pages")), path, torn_every=50)
-    return warc.resolve_pages(warc.read_archives(spark, path))
+    return warc.resolve_pages(stored(warc.read_archives(spark, path, payloads=False), "records"))
 
 
 @query("op8_packing")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
-    packed = packing.pack_documents(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+    added = packing.added_tokens(vocabulary("byte_bpe_50k.json"))
+    packed = packing.pack_documents(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.tiktoken"), added)
     return packed.select(
         "doc_id", "start", packing.piece_length(F.col("ids")).alias("length"), F.crc32("ids").alias("ids_crc32"),
         "doc_tokens", "sequence_id", "offset",
@@ -185,6 +188,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return linked.withColumn("violations", F.array_join("violations", ","))
 
 
+@query("op11_simhash")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.fingerprint_documents(table(spark, folder, "documents"))
+
+
 @query("op12_source_divergence", r"""
     with d as (
         select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source,

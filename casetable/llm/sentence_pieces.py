@@ -9,6 +9,7 @@ The state of a prefix depends on the model. For a unigram model it is the best t
 start of its last piece. For a merge (BPE) model a split is right exactly if every two neighbouring
 pieces, merged on their own, stay as they are; the state is then the last piece of the one split of
 the prefix that is right, and a piece is added where it stands beside the last one of its start.
+Only words that begin with two marks are merged directly, as pieces of marks alone all score the same.
 """
 
 from __future__ import annotations
@@ -52,7 +53,12 @@ class Model:
         self.scores = [p.score for p in proto.pieces]
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == _UNKNOWN)
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == _BYTE}
-        self.longest = max(map(len, self.ids), default=1)
+        self.tails: dict = {}  # the pieces as a trie from their last character back; "" marks where one begins
+        for piece in self.ids:
+            node = self.tails
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[""] = True
         self.letters = {c for p in self.ids for c in p}
         self.low = min((self.scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN_PENALTY
         self.raw = [self._raw(p) for p in proto.pieces]
@@ -144,18 +150,20 @@ class Model:
         """Start and state of the last piece of the prefix up to ``end``."""
         if word[end - 1] not in self.letters:
             return end - 1, (states[end - 1] + self.low if self.kind == UNIGRAM else "")
-        first = max(0, end - self.longest)
+        starts, at, node = [], end - 1, self.tails.get(word[end - 1])
+        while node is not None:
+            if "" in node or at == end - 1:
+                starts.append(at)
+            at -= 1
+            node = node.get(word[at]) if at >= 0 else None
         if self.kind == BPE:
-            for start in range(first, end):
-                piece = word[start:end]
-                if (piece in self.ids or end - start == 1) and states[start] is not None and self.fits(states[start], piece):
-                    return start, piece
+            for start in reversed(starts):
+                if self.fits(states[start], word[start:end]):
+                    return start, word[start:end]
             raise AssertionError(f"no right split of {word[:end]!r}")
         best, place = None, end - 1
-        for start in range(first, end):
+        for start in reversed(starts):
             i = self.ids.get(word[start:end])
-            if i is None and end - start > 1:
-                continue
             score = states[start] + (self.low if i is None else self.scores[i])
             if best is None or score > best:
                 best, place = score, start
@@ -197,6 +205,17 @@ class Encoder:
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
+#: The encoder that a Python worker used last: what it remembers lives from task to task.
+_ENCODERS: dict[bytes, Encoder] = {}
+
+
+def _encoder(data: bytes) -> Encoder:
+    if data not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[data] = Encoder(Model(data))
+    return _ENCODERS[data]
+
+
 def encode(
     docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text", check: bool = False
 ) -> DataFrame:
@@ -212,7 +231,7 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in batches:
-            encoder = encoder or Encoder(Model(data))
+            encoder = encoder or _encoder(data)
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 texts = part.column(1).to_pylist()

@@ -26,19 +26,19 @@ from casetable.operators.joins import join_spread
 
 #: Smaller payloads are always stored, never revisited.
 REVISIT_BYTES = 100
-#: Files are cut after so many records, so that a reader can hold one file.
-RECORDS_PER_FILE = 4096
+#: Files are cut after so many bytes, or one longer record, so that a reader can hold one file.
+FILE_BYTES = 32 << 20
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 
 RECORD_SCHEMA = (
     "path string, begins long, ends long, record_id string, record_type string, refers_to string, uri string, "
-    "payload_digest string, payload binary, after_gap boolean, gap_reason string"
+    "payload_digest string, payload_bytes long, block_digest string, payload binary, after_gap boolean, gap_reason string"
 )
 _ARROW = pa.schema([
     ("path", pa.string()), ("begins", pa.int64()), ("ends", pa.int64()), ("record_id", pa.string()),
     ("record_type", pa.string()), ("refers_to", pa.string()), ("uri", pa.string()), ("payload_digest", pa.string()),
-    ("payload", pa.binary()), ("after_gap", pa.bool_()), ("gap_reason", pa.string()),
+    ("payload_bytes", pa.int64()), ("block_digest", pa.string()), ("payload", pa.binary()), ("after_gap", pa.bool_()), ("gap_reason", pa.string()),
 ])
 
 
@@ -100,15 +100,19 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
 
 
 def read_member(data: bytes, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at a place, and where it ends."""
+    """The content of the gzip member at a place, and where it ends. Reads on in growing steps, never the whole rest."""
     stream = zlib.decompressobj(wbits=31)
+    view, content, step = memoryview(data), [], 4096
     try:
-        content = stream.decompress(memoryview(data)[at:])
+        while not stream.eof and at < len(data):
+            content.append(stream.decompress(view[at:at + step]))
+            at += step
+            step = min(2 * step, 1 << 20)
     except zlib.error as e:
         raise Damaged(f"member: {e}") from None
     if not stream.eof:
         raise Damaged("member cut")
-    return content, len(data) - len(stream.unused_data)
+    return b"".join(content), min(at, len(data)) - len(stream.unused_data)
 
 
 def read_at(data: bytes, at: int) -> tuple[dict[str, str] | None, bytes, int]:
@@ -174,38 +178,42 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     )
 
 
-def write_archives(records: DataFrame, path: str, *, level: int = 6, torn_every: int | None = None) -> None:
-    """Write records as ``.txt`` parts of gzip members, each a WARC file of its own.
+def write_archives(
+    records: DataFrame, path: str, *, level: int = 6, torn_every: int | None = None, file_bytes: int = FILE_BYTES
+) -> None:
+    """Write records as ``.txt`` parts of gzip members, each a WARC file of its own of about ``file_bytes``.
 
     ``torn_every=n`` writes the first half of every n-th record of a task once more before it,
     as an interrupted writer leaves it; the reader has to pass over these.
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
+        n, out, held = 0, [], 0
+
+        def file() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(out)[:-1]], pa.binary())], ["value"])
+
         for batch in batches:
-            out, held = [], 0
             for i in range(batch.num_rows):
                 record_id, kind, payload, digest, uri, refers_to = (c[i].as_py() for c in batch.columns)
                 packed = member(record_bytes(record_id, kind, payload.encode(), digest, uri, refers_to), level)
                 n += 1
                 if torn_every and n % torn_every == 0:
                     packed = packed[:len(packed) // 2] + packed
-                out.append(packed[:-1])
+                out.append(packed)
                 held += len(packed)
-                if held >= 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                if held >= file_bytes:
+                    yield file()
                     out, held = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+        if out:
+            yield file()
 
     rows = records.select("record_id", "kind", "payload", "digest", "uri", "refers_to").mapInArrow(build, "value binary")
-    rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option(
-        "maxRecordsPerFile", RECORDS_PER_FILE
-    ).text(path)
+    rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """All records and gaps of the files below a path.
+def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """All records and gaps of the files below a path; without ``payloads`` only their sizes and digests.
 
     A gap is a row with a ``gap_reason`` and no record fields. One file is held at a time in a task,
     at most 2 GB by Spark's own limit. No file or an empty file gives no rows.
@@ -218,16 +226,16 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 name = batch.column(0)[k].as_py()
                 for begins, ends, fields, block, reason in salvage(batch.column(1)[k].as_py()):
                     if fields is None:
-                        rows.append((name, begins, ends, None, None, None, None, None, None, None, reason))
+                        rows.append((name, begins, ends, *[None] * 9, reason))
                         after_gap = True
                         continue
                     rows.append((
                         name, begins, ends, fields.get("warc-record-id", "").strip("<>"), fields.get("warc-type"),
                         fields["warc-refers-to"].strip("<>") if "warc-refers-to" in fields else None,
                         fields.get("warc-target-uri"), fields.get("warc-payload-digest", "").partition(":")[2] or None,
-                        block, after_gap, None,
+                        len(block), hashlib.sha256(block).hexdigest(), block if payloads else None, after_gap, None,
                     ))
-                    after_gap, held = False, held + len(block)
+                    after_gap, held = False, held + len(block) * payloads
                     if held >= 8 << 20:
                         yield _batch(rows)
                         rows, held = [], 0
@@ -243,7 +251,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def resolve_pages(records: DataFrame) -> DataFrame:
-    """Payload size and digest per record; a revisit takes them from the record it refers to."""
+    """Payload size and digest per record; a revisit takes them from the record it refers to.
+
+    The records are read several times: hand in a written table, without payloads.
+    """
 
     def page(urn):
         return F.nullif(F.split_part(urn, F.lit(":"), F.lit(3)), F.lit("none")).cast("bigint")
@@ -251,7 +262,7 @@ def resolve_pages(records: DataFrame) -> DataFrame:
     found = records.where(F.col("gap_reason").isNull())
     stored = found.where("record_type = 'response'").select(
         F.col("record_id"), F.lit(None).cast("string").alias("refers_to"),
-        F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"),
+        "payload_bytes", F.col("block_digest").alias("payload_digest"),
     )
     firsts = stored.groupBy(F.col("record_id").alias("refers_to")).agg(
         F.max("payload_bytes").alias("payload_bytes"), F.max("payload_digest").alias("payload_digest")

@@ -8,12 +8,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Text bytes worked on at once.
-SLICE_BYTES = 4 << 20
+from casetable.llm.spans import LOWER, buffers, runs
+
+#: Text bytes worked on at once, and of these, bytes hashed at once.
+SLICE_BYTES = 1 << 20
+PORTION = 1 << 18
 _BASE = 0x2545F4914F6CDD1D | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -40,35 +41,40 @@ def text_slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[pa.Array]:
         at = to
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse."""
+    both = []
+    for factor in (_BASE, _BASE_INVERSE):
+        power = np.full(n, factor, np.uint64)
+        power[0] = 1
+        both.append(np.cumprod(power, out=power))
+    return both[0], both[1]
+
+
+_PORTION_POWERS = _powers(PORTION)
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, A-Z lower-cased and cut at ASCII white space, and each text's first word (one more at the end)."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
-    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
-    offsets = offsets - offsets[0]
-    n = len(raw)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    solid = ~_SPACE[raw]
-    cut = np.zeros(n + 1, bool)  # places where a text begins
-    cut[offsets] = True
-    begins = solid.copy()
-    begins[1:] &= ~solid[:-1] | cut[1:n]
-    ends = solid.copy()
-    ends[:-1] &= ~solid[1:] | cut[1:n]
-    start, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    power = np.full(n, _BASE, np.uint64)
-    power[0] = 1
-    np.cumprod(power, out=power)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
-    inverse = np.full(n, _BASE_INVERSE, np.uint64)
-    inverse[0] = 1
-    np.cumprod(inverse, out=inverse)
-    words = spread_bits((total[stop] - total[start]) * inverse[start])
-    return words, np.searchsorted(start, offsets)
+    """Hashes of all words, A-Z lower-cased and cut at ASCII white space, and each text's first word (one more at the end).
+
+    Words are hashed in portions of bounded size, also those of one long text.
+    """
+    raw, offsets = buffers(texts)
+    start, stop, first = runs(raw, offsets, ~_SPACE)
+    words = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        base = start[at]
+        to = max(at + 1, int(np.searchsorted(stop, base + PORTION, "right")))
+        part = LOWER[raw[base:stop[to - 1]]].astype(np.uint64) + np.uint64(1)
+        power, inverse = _PORTION_POWERS if len(part) <= PORTION else _powers(len(part))  # else one long word
+        part *= power[:len(part)]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part, out=total[1:])
+        begins = start[at:to] - base
+        words[at:to] = spread_bits((total[stop[at:to] - base] - total[begins]) * inverse[begins])
+        at = to
+    return words, first
 
 
 def shingle_hashes(texts: pa.Array, size: int) -> Iterator[np.ndarray]:

@@ -64,26 +64,27 @@ def test_odd_rows(spark):
     assert {r.train_tokens for r in M.score_documents(only, slot_bits=12).collect()} == {0}
 
 
-def one_by_one(words, tables, tree):
-    """The model read word by word and decision by decision in plain Python, one text."""
+def one_by_one(words, tables, tree, segment):
+    """The model read word by word and decision by decision in plain Python, one text: bits, and the probability of each branch 1."""
     d = M.Decisions(words, tree, tables.shape[1].bit_length() - 1)
-    bits, at = 0.0, 0
+    bits, at, seen = 0.0, 0, []
     for number, steps in enumerate(d.per_word):
-        if number % M.SEGMENT == 0:
+        if number == 0 or segment and number % segment == 0:
             weights = [[float(w) for w in M.START] for _ in range(M.GATES)]
             fix = [0.0] * M.BUCKETS
         change, change_fix = [[0.0] * M.CONTEXTS for _ in range(M.GATES)], [0.0] * M.BUCKETS
         for i in range(at, at + steps):
-            sign = 1 if d.branch[i] > 0.5 else -1
-            x = [float(tables[k][d.slots[k][i]]) * sign for k in range(M.CONTEXTS)]
+            x = [float(tables[k][d.slots[k][i]]) for k in range(M.CONTEXTS)]
             g = int(d.gate[i])
             z = sum(a * b for a, b in zip(x, weights[g]))
-            b = int(min(max(z + M.BUCKETS / 2 - 1, 0), M.BUCKETS - 1))
+            b = int(min(max(z + M.BUCKETS / 2, 0), M.BUCKETS - 1))
             p = 1 / (1 + math.exp(-min(max(z + fix[b], -14), 14)))
-            bits -= math.log2(p)
+            seen.append(p)
+            taken = d.branch[i] > 0.5
+            bits -= math.log2(p if taken else 1 - p)
             for k in range(M.CONTEXTS):
-                change[g][k] += (1 - p) * x[k]
-            change_fix[b] += 1 - p
+                change[g][k] += (taken - p) * x[k]
+            change_fix[b] += taken - p
         for g in range(M.GATES):
             for k in range(M.CONTEXTS):
                 weights[g][k] += float(M.RATE) * change[g][k]
@@ -93,7 +94,8 @@ def one_by_one(words, tables, tree):
     return bits
 
 
-def test_lanes_equal_reading_one_by_one():
+@pytest.mark.parametrize("segment", [M.SEGMENT, 3, None])
+def test_lanes_equal_reading_one_by_one(segment):
     rng = np.random.default_rng(3)
     vocabulary = [bytes(rng.integers(97, 123, rng.integers(1, 9)).tolist()) for _ in range(60)]
     tree = M.byte_tree(np.bincount(np.frombuffer(b"".join(vocabulary), np.uint8), minlength=256))
@@ -101,9 +103,34 @@ def test_lanes_equal_reading_one_by_one():
     M._add(tables, vocabulary + [b""], np.arange(1.0, 62.0), tree, 10)
     odds = np.log((tables[:, 1] + 0.4) / (tables[:, 0] + 0.4)).astype(np.float32)
     texts = [rng.integers(0, 60, n).tolist() for n in (0, 1, 5, 255, 256, 300, 700)]
-    bits = M.score_block(np.array([len(t) for t in texts]), np.array(sum(texts, [])), vocabulary, odds, tree)
+    bits = M.score_block(np.array([len(t) for t in texts]), np.array(sum(texts, [])), vocabulary, odds, tree, segment)
     for t, b in zip(texts, bits):
-        assert b == pytest.approx(one_by_one([vocabulary[i] for i in t] + [b""], odds, tree), rel=2e-4)
+        assert b == pytest.approx(one_by_one([vocabulary[i] for i in t] + [b""], odds, tree, segment), rel=2e-4)
+
+
+def outcomes(n, x, steps):
+    """Bits of every way that ``n`` words of so many decisions may go, the evidence being the same for all."""
+    bits = []
+    for way in range(1 << n * steps):
+        branch = np.array([way >> i & 1 for i in range(n * steps)], bool)
+        bits.append(M.mix(
+            np.arange(n), np.array([0]), np.array([n]), np.arange(n) * steps, np.full(n, steps), x, branch,
+            (np.arange(n * steps) % M.GATES).astype(np.int8),
+        )[0])
+    return np.array(bits)
+
+
+def test_the_probabilities_of_all_outcomes_add_to_one(monkeypatch):
+    for rate in ("RATE", "FIX_RATE"):
+        monkeypatch.setattr(M, rate, np.float32(0.3))  # so that what is learned would show
+    x = np.random.default_rng(1).normal(0, 2, (10, M.CONTEXTS))
+    assert (2.0 ** -outcomes(5, x, 2)).sum() == pytest.approx(1, abs=1e-6)
+
+
+def test_fair_coins_cost_a_bit_each_on_average():
+    none = np.zeros((8, M.CONTEXTS), np.float32)
+    bits = outcomes(4, none, 2)
+    assert bits.mean() >= 8 and bits.mean() == pytest.approx(8, abs=1e-3)
 
 
 def test_the_tree_holds_every_byte():

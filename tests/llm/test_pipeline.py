@@ -115,3 +115,19 @@ def test_stages_of_an_empty_table(spark):
     docs = spark.createDataFrame([], COLUMNS)
     for _, stage in P.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    base = [f"w{i}" for i in range(60)]
+    one, two, three = (" ".join(base[:n] + [f"end{n}"]) for n in (57, 58, 59))  # near copies of each other
+    rows = [(0, one), (1, two), (1, "some other text"), (None, three), (None, "yet another text"), (2, None), (2, None), (3, one)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], COLUMNS)
+    got = sorted(((r.doc_id, r.text) for r in P.near(spark, docs, SF).collect()), key=repr)
+    assert got == sorted([(0, one), (1, "some other text"), (None, "yet another text"), (2, None), (2, None)], key=repr)
+
+
+def test_equal_texts_of_one_id_leave_one_row(spark):
+    rows = [(1, "a b"), (1, "a  b"), (1, "a b"), (1, "other"), (None, "a\tb"), (None, "c d"), (None, "c  d"), (2, None), (2, "")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], COLUMNS)
+    got = sorted(((r.doc_id, space(r.text)) for r in P.exact(spark, docs, SF).collect()), key=repr)
+    assert got == sorted([(1, "a b"), (1, "other"), (None, "c d"), (2, "")], key=repr)

@@ -13,10 +13,10 @@ from casetable.llm.queries import CHECKS, QUERIES, vocabulary
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op5_exact_top_k", "op6_exact_dedup", "op7_warc_salvage"])
+@pytest.mark.parametrize("name", sorted(CHECKS))
 def test_agrees_with_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "conversations"):
         con.execute(f"create view {t} as from '{SF}/{t}.parquet'")
     want = con.sql(CHECKS[name])
     got = QUERIES[name](spark, SF).select(*want.columns).collect()
