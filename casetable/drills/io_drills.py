@@ -97,9 +97,9 @@ def _(t: Tables) -> DataFrame:
 
 def log_lines(t: Tables) -> DataFrame:
     """The log as JSON lines; every seventh start event is a plain text line instead."""
-    log = t.view(W.LOG)
+    log = W.log(t)
     plain = (F.col("event") == "start") & (F.col("seq") % 7 == 0)
-    fields = ["event", "run", "seq", "ts", "problem_id", "ok", "call_elapsed_cs", "error"]
+    fields = ["event", "run", "seq", "ts", "problem_id", "ok", "call_elapsed_cs", "error", "solution_indices", "progress", "total_elapsed_cs"]
     return log.select(
         F.when(plain, F.concat(F.lit("Traceback at "), F.col("seq").cast("string"))).otherwise(
             F.to_json(F.struct(*fields), {"timestampNTZFormat": TS_FORMAT})
@@ -111,13 +111,15 @@ LOG_CHECK = f"with log as ({W.LOG}), kept as (select * from log where event <> '
 
 
 @drill("A5_read_event_log", f"""{LOG_CHECK}
-select event, run, seq, problem_id, ok, call_elapsed_cs, error, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') as ts, null::varchar as raw from kept
-union all select null, null, null, null, null, null, null, null, 'Traceback at ' || seq from log
+select event, run, seq, problem_id, ok, call_elapsed_cs, error, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') as ts, null::varchar as raw,
+  indices as solution_indices, progress, total_elapsed_cs from kept
+union all select null, null, null, null, null, null, null, null, 'Traceback at ' || seq, null, null, null from log
 where event = 'start' and seq % 7 = 0""")
 def _(t: Tables) -> DataFrame:
     path = t.scratch("log")
     log_lines(t).write.text(path)
-    return S.read_log(t.spark, path).withColumn("ts", F.date_format("ts", TS_FORMAT))
+    indices = F.array_join(F.col("solution_indices").cast("array<string>"), ", ")
+    return S.read_log(t.spark, path).withColumns({"ts": F.date_format("ts", TS_FORMAT), "solution_indices": indices})
 
 
 @drill("A6_read_results", f"""

@@ -131,13 +131,15 @@ def _every_sql(totals: str) -> str:
     return f"""{totals}
 select run, (done_so_far - 1) // {EVERY} as group_no, max(done_so_far) as done_so_far, max(ok_so_far) as ok_so_far,
   count(*) filter (where ok) as ok_count, sum(call_elapsed_cs)::bigint / {EVERY} / 100.0::double as mean_s,
-  coalesce(string_agg(problem_id, ',' order by done_so_far) filter (where not ok), '') as failed
+  max(progress) filter (where done_so_far % {EVERY} = 0) as progress,
+  max(total_elapsed_cs) filter (where done_so_far % {EVERY} = 0) / 6000.0::double as elapsed_min,
+  coalesce(string_agg(problem_id || '#[' || indices || ']', ', ' order by done_so_far) filter (where not ok), '') as failed
 from w group by 1, 2 having count(*) = {EVERY}"""
 
 
 @drill("G9_every_n_summary", _every_sql(TOTALS))
 def _(t: Tables) -> DataFrame:
-    return O.every_n_summary(t.view(W.LOG), EVERY)
+    return O.every_n_summary(W.log(t), EVERY)
 
 
 @drill("F31_log_stats", f"""
@@ -167,20 +169,18 @@ def _replay(t: Tables, start, parts: int = 3) -> None:
 
 @drill("I1_stream_every_n", _every_sql(TOTALS))
 def _(t: Tables) -> DataFrame:
-    path = t.scratch("every")
-    state = t.scratch("every-state")
+    path, state = t.scratch("every"), t.scratch("every-state")
     _replay(t, lambda log: S.stream_every_n(log, path, state, EVERY))
-    return t.spark.read.parquet(f"{path}/summaries").drop(S.BATCH)
+    return t.spark.read.parquet(path)
 
 
 @drill("I1_stream_passed", f"""{LOG_CHECK}
 select event, seq, null::varchar as raw from kept where event <> 'chunk_done'
 union all select null, null, 'Traceback at ' || seq from log where event = 'start' and seq % 7 = 0""")
 def _(t: Tables) -> DataFrame:
-    path = t.scratch("every")
-    state = t.scratch("every-state")
-    _replay(t, lambda log: S.stream_every_n(log, path, state, EVERY))
-    return t.spark.read.parquet(f"{path}/passed").select("event", "seq", "raw")
+    path, state = t.scratch("passed"), t.scratch("passed-state")
+    _replay(t, lambda log: S.stream_passed(log, path, state))
+    return t.spark.read.parquet(path).select("event", "seq", "raw")
 
 
 @drill("I2_stream_append_once", f"""
@@ -190,14 +190,13 @@ def _(t: Tables) -> DataFrame:
     path = t.scratch("once")
     state, keys = t.scratch("once-state"), ["problem_id", "call_elapsed_cs"]
     _replay(t, lambda log: S.append_once(
-        log.where("event = 'chunk_done'").select(*keys, "seq"), path, state, keys, "seq"))
-    return t.spark.read.parquet(path).select(*keys, "seq")
+        log.where("event = 'chunk_done'").select(*keys, "seq"), path, state, keys, "seq", buckets=16))
+    return S.read_appended(t.spark, path).select(*keys, "seq")
 
 
 @drill("I3_stream_running_totals", f"""
 with log as ({W.LOG}) select run, count(*) as done, count(*) filter (where ok) as ok_count from log where event = 'chunk_done' group by run""")
 def _(t: Tables) -> DataFrame:
-    path = t.scratch("totals")
-    state = t.scratch("totals-state")
+    path, state = t.scratch("totals"), t.scratch("totals-state")
     _replay(t, lambda log: S.stream_totals(log, path, state))
     return S.read_totals(t.spark, path)

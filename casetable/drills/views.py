@@ -45,7 +45,10 @@ select concat('run', cast(user_id % 3 as string)) as run, event_id as seq, ts,
        when event_id % 4 = 0 then 'ClientError: 429 RESOURCE_EXHAUSTED'
        when event_id % 4 = 1 then 'JSON_DECODE_ERROR: line 1'
        when event_id % 4 = 2 then 'KEY_WAIT_TIMEOUT'
-       else 'ServerError: 500' end as error
+       else 'ServerError: 500' end as error,
+  concat(cast(event_id % 5 as string), case when event_id % 3 = 0 then '' else ', 9' end) as indices,
+  case when event_id % 6 <> 5 then concat(cast(event_id as string), '/', cast(event_id + user_id as string)) end as progress,
+  case when event_id % 8 <> 7 then cast(event_id * 7 as bigint) end as total_elapsed_cs
 from {events}"""
 
 RUNS_SMALL = """
@@ -96,6 +99,13 @@ def _level(score):
     return F.when(score >= 90, "HIGH").when(score >= 60, "MEDIUM").otherwise("LOW")
 
 
+def log(t: Tables) -> DataFrame:
+    """The log with its index lists as lists."""
+    held = t.view(LOG)
+    lists = F.split("indices", ", ").cast("array<bigint>")
+    return held.withColumn("solution_indices", lists).drop("indices")
+
+
 def corpus(t: Tables) -> DataFrame:
     """A nested corpus, one problem per document: lines as inputs, comma parts as outputs,
     sentences as solutions. Every ninth cell is unreadable: no JSON,

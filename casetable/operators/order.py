@@ -176,20 +176,31 @@ def running_totals(log: DataFrame, run: str = "run", order: Sequence[str] = ("ts
     )
 
 
-def every_n_summary(
-    log: DataFrame, n: int, run: str = "run", order: Sequence[str] = ("ts", "seq"),
-    done: DataFrame | None = None,
-) -> DataFrame:
-    """One row per ``n`` finished events of a run; a last group below ``n`` gives none."""
-    placed = done if done is not None else running_totals(log, run, order)
-    failed = F.when(~F.col("ok"), F.struct("done_so_far", "problem_id"))
+#: What an every-n summary tells, for tables and streams alike.
+SUMMARY_SCHEMA = (
+    "group_no bigint, done_so_far bigint, ok_so_far bigint, ok_count bigint, mean_s double, progress string, "
+    "elapsed_min double, failed string"
+)
+
+
+def every_n_summary(log: DataFrame, n: int, run: str = "run", order: Sequence[str] = ("ts", "seq")) -> DataFrame:
+    """One row per ``n`` finished events of a run; a last group below ``n`` gives none.
+
+    ``progress`` and ``elapsed_min`` are those of the group's last event, ``failed`` names the failed
+    events of the group in order, each as ``problem#[indices]``.
+    """
+    placed = running_totals(log, run, order).withColumn("group_no", F.floor((F.col("done_so_far") - 1) / n).cast("bigint"))
+    named = F.concat(
+        F.col("problem_id").cast("string"), F.lit("#["),
+        F.array_join(F.transform("solution_indices", lambda i: i.cast("string")), ", "), F.lit("]"),
+    )
+    failed = F.when(~F.col("ok"), F.struct("done_so_far", F.coalesce(named, F.lit("")).alias("name")))
+    last = F.max(F.struct("done_so_far", "progress", "total_elapsed_cs"))
     # at most n rows of a group by construction, so the list of failures is bounded
     return (
-        placed.withColumn("group_no", F.floor((F.col("done_so_far") - 1) / n).cast("bigint"))
-        .groupBy(run, "group_no")
+        placed.groupBy(run, "group_no")
         .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.max("done_so_far").alias("done_so_far"),
+            F.count(F.lit(1)).alias("_n"), last.alias("_last"),
             F.max("ok_so_far").alias("ok_so_far"),
             F.sum(F.col("ok").cast("bigint")).alias("ok_count"),
             F.sum("call_elapsed_cs").alias("_cs"),
@@ -197,8 +208,9 @@ def every_n_summary(
         )
         .where(F.col("_n") == n)
         .select(
-            run, "group_no", "done_so_far", "ok_so_far", "ok_count",
-            (F.col("_cs") / F.lit(n) / F.lit(100.0)).alias("mean_s"),
-            F.array_join(F.transform("_failed", lambda x: x["problem_id"].cast("string")), ",").alias("failed"),
+            run, "group_no", "_last.done_so_far", "ok_so_far", "ok_count",
+            (F.col("_cs") / F.lit(n) / F.lit(100.0)).alias("mean_s"), "_last.progress",
+            (F.col("_last.total_elapsed_cs") / F.lit(6000.0)).alias("elapsed_min"),
+            F.array_join(F.transform("_failed", lambda x: x["name"]), ", ").alias("failed"),
         )
     )

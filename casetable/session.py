@@ -57,3 +57,24 @@ def settle(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
     return df.checkpoint(eager=True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def children(spark: SparkSession, path: str, finished: bool = False) -> list[str]:
+    """The folders below a path in any store that Spark reaches, by name; with ``finished`` those of ended writes."""
+    at, files = _file_system(spark, path)
+    if not files.exists(at):
+        return []
+    found = [s.getPath() for s in files.listStatus(at) if s.isDirectory() and not s.getPath().getName().startswith(("_", "."))]
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(p.toString() for p in found if not finished or files.exists(done(p, "_SUCCESS")))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote."""
+    at, files = _file_system(spark, path)
+    files.delete(at, True)
