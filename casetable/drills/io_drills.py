@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from casetable import vocab as V
 from casetable.drills import views as W
 from casetable.drills.base import Tables, drill
-from casetable.drills.scoring_drills import matched
+from casetable.drills.scoring_drills import RECHECK_CHECK, SCORE_CHECK, matched
 from casetable.operators.nested import score_pivot
 from casetable.operators.scoring import recheck_rows, score_rows
+from casetable.session import children
 from casetable.sources import sinks, tables as S
 
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
@@ -92,7 +93,7 @@ def _(t: Tables) -> DataFrame:
     for i, rank in enumerate((0, 1, 2, 5)):  # shards 3 and 4 are missing
         cols = ["doc_id", "source"] + (["n_chars"] if i < 2 else [])
         sinks.write_table(t.documents.where(F.col("doc_id") % 4 == i).select(*cols), f"{path}/shard-{rank}")
-    return S.read_shards(t.spark, f"{path}/shard-*", r"shard-(\d+)").select("doc_id", "source", "n_chars", "rank")
+    return S.read_shards(t.spark, f"{path}/shard-*", r"shard-(\d+)", "doc_id bigint, source string, n_chars bigint")
 
 
 def log_lines(t: Tables) -> DataFrame:
@@ -144,41 +145,35 @@ def _(t: Tables) -> DataFrame:
 
 
 def _report(t: Tables) -> str:
-    path, rows, tags = t.scratch("report"), matched(t), W.TAGS["small"]
+    path, rows, tags = t.scratch("report"), matched(t).persist(), W.TAGS
     scores = score_pivot(score_rows(rows, tags), tags)
     sinks.write_report(
         scores, recheck_rows(rows, tags, W.BROAD), path, V.score_columns(tags), V.recheck_columns(W.BROAD)
     )
+    rows.unpersist()
     return path
 
 
-@drill("A8_write_report_scores", f"""{W.REPLY_CHECK}
-select chunk_id || '_solution_' || solution_index as problem_solution_key, '' as source_url,
-  cast(41 as bigint) as n_columns, 'about ' || key as solution_summary
-from good""")
+_BLANK = [c for c in V.PROBLEM_COLUMNS if c not in ("id", "title", "selected_submission_index")]
+
+
+@drill("A8_write_report_scores", f"""select *, {', '.join(f"'' as {c}" for c in _BLANK)} from ({SCORE_CHECK})""")
 def _(t: Tables) -> DataFrame:
-    df = t.spark.read.parquet(f"{_report(t)}/scores")
-    return df.select(
-        "problem_solution_key", "source_url", F.lit(len(df.columns)).cast("bigint").alias("n_columns"),
-        "solution_summary",
-    )
+    return t.spark.read.parquet(f"{_report(t)}/scores")
 
 
-@drill("A8_write_report_recheck", f"""{W.REPLY_CHECK}
-select g.chunk_id || '_solution_' || g.solution_index as problem_solution_key, b.tag as source_broad_tag,
-  b.s as source_broad_score
-from good g join grid b on b.key = g.key join tops on tops.key = g.key
-where b.tag in ('click', 'view', 'purchase') and (b.s >= 60 or (tops.top = b.tag and g.key % 8 <> 5))""")
+@drill("A8_write_report_recheck", RECHECK_CHECK)
 def _(t: Tables) -> DataFrame:
-    return t.spark.read.parquet(f"{_report(t)}/recheck").select(
-        "problem_solution_key", "source_broad_tag", "source_broad_score"
-    )
+    return t.spark.read.parquet(f"{_report(t)}/recheck")
 
 
-@drill("A9_publish_snapshot", "select s_suppkey, s_name from supplier where s_acctbal >= 0")
+@drill("A9_publish_snapshot", "select s_suppkey, s_name, s_acctbal, 3::bigint as version, 2::bigint as kept from supplier")
 def _(t: Tables) -> DataFrame:
     path = t.scratch("snapshot")
     supplier = t.supplier.select("s_suppkey", "s_name", "s_acctbal")
-    sinks.publish(supplier, path)
-    sinks.publish(supplier.where("s_acctbal >= 0").drop("s_acctbal"), path)
-    return sinks.read_snapshot(t.spark, path)
+    for version in (supplier.select("s_suppkey"), supplier.withColumn("s_name", F.upper("s_name")), supplier):
+        newest = sinks.publish(version, path)
+    kept = len(children(t.spark, path)) - 1  # beside the folder of the versions themselves
+    return sinks.read_snapshot(t.spark, path).select(
+        "*", F.lit(newest).cast("bigint").alias("version"), F.lit(kept).cast("bigint").alias("kept")
+    )

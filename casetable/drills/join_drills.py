@@ -108,10 +108,13 @@ def _(t: Tables) -> DataFrame:
 
 
 @drill("G3_union_shards", """
-select doc_id, r as rank, 'x' as tags from documents cross join (values (0::bigint), (1), (2)) s(r)""")
+with d as (select *, doc_id % 12 as k from documents cross join (values (0::bigint), (1), (2)) s(r))
+select doc_id, r as rank, case when doc_id % 7 = 0 and r = 0 then '[''cut' else '[''a'', ''b'']' end as tags,
+  case when k >= 9 - 3 * r then lang end as title, case when k >= 9 - 3 * r or (k = 1 and r < 2) then 's' || r || ' ' || source end as body,
+  case when k >= 9 - 3 * r then n_chars::varchar else ' ' || chr(10) end as example from d""")
 def _(t: Tables) -> DataFrame:
     whole = O.union_shards([_shard(t, r) for r in range(3)])
-    return whole.select("doc_id", F.col("rank").cast("bigint").alias("rank"), F.lit("x").alias("tags"))
+    return whole.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 # --- judging -----------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from casetable.drills import views as W
 from casetable.drills.base import Tables, drill
 from casetable.drills.io_drills import LOG_CHECK, log_lines
-from casetable.operators import order as O, profile as P, requests as Q
+from casetable.operators import keys as K, order as O, profile as P, requests as Q
 from casetable.sources.tables import parse_log
 from casetable.streaming import log_streams as S
 
@@ -16,11 +16,12 @@ from casetable.streaming import log_streams as S
 
 
 @drill("G1_sort_numeric", """
-select c_custkey, case c_custkey % 4 when 0 then c_custkey::varchar when 1 then c_custkey || '.0' when 2 then 'x' end as id from customer""")
+select c_custkey, case c_custkey % 4 when 0 then c_custkey::varchar when 1 then c_custkey || '.0' when 2 then 'x' end as id,
+  row_number() over (order by case when c_custkey % 4 < 2 then c_custkey end nulls last, c_custkey) as position from customer""")
 def _(t: Tables) -> DataFrame:
     key = F.col("c_custkey")
     text = F.when(key % 4 == 0, key.cast("string")).when(key % 4 == 1, F.concat(key.cast("string"), F.lit(".0"))).when(key % 4 == 2, "x")
-    return O.sort_numeric(t.customer.select("c_custkey", text.alias("id")), ["id", "c_custkey"])
+    return K.number_rows(O.sort_numeric(t.customer.select("c_custkey", text.alias("id")), ["id", "c_custkey"]), "position")
 
 
 FLAG_KEYS = ["problem_id", *W.FLAG_NAMES]
@@ -37,7 +38,7 @@ def _(t: Tables) -> DataFrame:
 select count(*) as before, count(*) filter (where pos = 1) as after, count(*) filter (where pos > 1) as removed from k""")
 def _(t: Tables) -> DataFrame:
     flags = t.view(W.FLAGS).drop("shard")
-    return P.dedup_report(flags, O.dedup_first(flags, FLAG_KEYS, "solution_order"))
+    return P.dedup_report(flags, FLAG_KEYS)
 
 
 CHUNKS = """
@@ -87,27 +88,28 @@ def _(t: Tables) -> DataFrame:
 
 @drill("H1_render_requests", f"""{CHUNKS}
 select conv_id, chunk_no, count(*) as item_count,
-  'conversation ' || conv_id || chr(10) || string_agg('--- turn_' || turn || ' (' || role || ') ---' || chr(10) || text, chr(10) order by item_no)
+  'conversation ' || conv_id || chr(10) || string_agg(role || ' at ' || turn || ' said: ' || text, chr(10) order by item_no)
     || chr(10) || 'answer as JSON' as request
 from k group by conv_id, chunk_no""")
 def _(t: Tables) -> DataFrame:
-    item = F.concat(F.lit("--- turn_"), F.col("turn").cast("string"), F.lit(" ("), F.col("role"), F.lit(") ---\n"), F.col("text"))
+    item = F.concat(F.col("role"), F.lit(" at "), F.col("turn").cast("string"), F.lit(" said: "), F.col("text"))
     header = F.concat(F.lit("conversation "), F.col("conv_id").cast("string"))
     return Q.render_requests(_chunks(t), ["conv_id", "chunk_no"], "item_no", header, item, F.lit("answer as JSON"))
 
 
-NATION_BOUND = 1000
-
-
 @drill("H2_sample_k_per_row", """
-with d as (select s_suppkey, n_name, row_number() over (partition by s_suppkey order by md5('11:' || s_suppkey || ':' || n_name), n_name) as pos
-  from supplier cross join nation)
-select s_suppkey, string_agg(n_name, ',' order by pos) as picked from d where pos <= 4 group by s_suppkey""")
+with n as (select n_name, row_number() over (order by n_name) - 1 as slot from (select distinct n_name from nation)),
+p as (select min(x) as prime, (select count(*) from n) as m from range(2, 2000) r(x)
+  where x >= (select count(*) from n) and not exists (select 1 from range(2, 50) d(d) where d < x and x % d = 0)),
+s as (select s_suppkey, ('0x' || substr(md5('11:start:' || s_suppkey), 1, 8))::bigint % prime as start,
+  ('0x' || substr(md5('11:stride:' || s_suppkey), 1, 8))::bigint % (prime - 1) + 1 as stride, prime, m from supplier cross join p),
+v as (select s_suppkey, start, stride, prime, unnest(range(4 + prime - m)) as j from s),
+k as (select s_suppkey, j, n_name, row_number() over (partition by s_suppkey order by j) as pos
+  from v join n on n.slot = (start + j * stride) % prime)
+select s_suppkey, string_agg(n_name, ',' order by j) as picked from k where pos <= 4 group by s_suppkey""")
 def _(t: Tables) -> DataFrame:
-    names = [r[0] for r in t.nation.select("n_name").orderBy("n_name").limit(NATION_BOUND + 1).collect()]
-    if len(names) > NATION_BOUND:
-        raise ValueError("the item list of a sample must be short")
-    return Q.sample_k(t.supplier, names, 4, 11, "s_suppkey").select("s_suppkey", F.array_join("picked", ",").alias("picked"))
+    picked = Q.sample_k(t.supplier, t.nation, 4, 11, "s_suppkey", "n_name")
+    return picked.select("s_suppkey", F.array_join("picked", ",").alias("picked"))
 
 
 # --- logs --------------------------------------------------------------------------------

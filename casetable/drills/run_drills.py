@@ -35,23 +35,30 @@ def _(t: Tables) -> DataFrame:
     return J.coverage_counts(J.key_coverage(_run(t, 1), _run(t, 2), ["key", "tag"]))
 
 
-def _best(t: Tables, n: int) -> DataFrame:
-    best = F.max(F.struct("score", F.col("tag").alias("tag")))
-    return _run(t, n).groupBy("key").agg(best.alias("b")).select("key", "b.tag", "b.score")
+def _rows(t: Tables, n: int) -> DataFrame:
+    """One run with a key per row and not per tag: a key comes again with every tag it scored, in tag order."""
+    runs = t.view(W.RUNS_LARGE)
+    return runs.where(F.col(f"score{n}") > 0).select("key", "tag", F.col(f"score{n}").alias("score"), F.col("place").alias("row_no"))
 
 
-@drill("E7_pair_runs", f"""{RUN_CHECK},
-b1 as (select key, max(score) as score, arg_max(tag, score * 100 + right(tag, 2)::bigint) as tag from r1 group by key),
-b2 as (select key, max(score) as score, arg_max(tag, score * 100 + right(tag, 2)::bigint) as tag from r2 group by key)
+@drill("E7_pair_runs", f"""{RUN_CHECK}, tags as (select * from {W.TAG_ROWS}),
+b1 as (select key, arg_max(score, i) as score, arg_max(tag, i) as tag from r1 join tags using (tag) group by key),
+b2 as (select key, arg_max(score, i) as score, arg_max(tag, i) as tag from r2 join tags using (tag) group by key)
 select b1.key, b1.tag as tag1, b1.score as score1, b2.tag as tag2, b2.score as score2 from b1 join b2 on b1.key = b2.key""")
 def _(t: Tables) -> DataFrame:
-    return J.pair_runs(_best(t, 1), _best(t, 2), ["key"])
+    return J.pair_runs(_rows(t, 1), _rows(t, 2), ["key"], "row_no")
 
 
 @drill("E8_pair_runs_by_tag", f"""{RUN_CHECK}
 select r1.key, r1.tag, r1.score as score1, r2.score as score2 from r1 join r2 on r1.key = r2.key and r1.tag = r2.tag""")
 def _(t: Tables) -> DataFrame:
-    return J.pair_runs(_run(t, 1), _run(t, 2), ["key", "tag"])
+    """Every row comes twice, the first time with another score."""
+
+    def twice(run: DataFrame) -> DataFrame:
+        older = run.withColumns({"score": F.lit(-1).cast("bigint"), "row_no": F.lit(1)})
+        return older.unionByName(run.withColumn("row_no", F.lit(2)))
+
+    return J.pair_runs(twice(_run(t, 1)), twice(_run(t, 2)), ["key", "tag"], "row_no")
 
 
 @drill("G4_key_intersect", f"{RUN_CHECK} select key, tag from r1 intersect select key, tag from r2")
@@ -97,25 +104,25 @@ def _(t: Tables) -> DataFrame:
 
 
 @drill("F20_tag_drift", f"""{LARGE}
-select tag, sum(abs(s1 - s2))::bigint / count(*) as mean_diff from grid group by tag, i order by 2 desc, i limit 5""")
+select tag, sum(abs(s1 - s2))::bigint / count(*) as mean_diff from grid group by tag, i order by 2 desc, i limit 15""")
 def _(t: Tables) -> DataFrame:
-    return C.tag_drift(W.pairs(t, "large"), W.TAGS["large"], 5)
+    return C.tag_drift(W.pairs(t, "large"), W.TAGS)
 
 
 @drill("F20_tag_drift_overall", f"{LARGE} select sum(abs(s1 - s2))::bigint / count(*) as mean_diff from grid")
 def _(t: Tables) -> DataFrame:
-    return C.overall_drift(W.pairs(t, "large"), W.TAGS["large"])
+    return C.overall_drift(W.pairs(t, "large"), W.TAGS)
 
 
 @drill("F21_row_diff", f"""{LARGE},
-d as (select key, max(abs(s1 - s2)) as max_tag_diff, arg_max(tag, abs(s1 - s2) * 100 - i) as max_tag_diff_tag,
+d as (select key, max(abs(s1 - s2)) as max_tag_diff, arg_max(tag, abs(s1 - s2) * 1000 - i) as max_tag_diff_tag,
   sum(abs(s1 - s2))::bigint / count(*) as avg_tag_diff from grid group by key)
 select p.key, primary1, primary2, primary1 = primary2 as primary_match, confidence1, confidence2, max_tag_diff,
   max_tag_diff_tag, avg_tag_diff, coalesce(contains(note1, '{W.MARKER}'), false) as boilerplate1,
   coalesce(contains(note2, '{W.MARKER}'), false) as boilerplate2
 from pairs p join d on d.key = p.key""")
 def _(t: Tables) -> DataFrame:
-    return C.row_diff(W.pairs(t, "large"), W.TAGS["large"], W.MARKER)
+    return C.row_diff(W.pairs(t, "large"), W.TAGS, W.MARKER)
 
 
 @drill("F22_boilerplate_share", f"""{LARGE}
@@ -142,7 +149,7 @@ scored as (select s.*, p.primary1, p.primary2, case when n1 = 0 and n2 = 0 then
 
 
 def _scored(t: Tables, size: str = "large") -> DataFrame:
-    return C.with_q3_sets(W.pairs(t, size), W.TAGS[size])
+    return C.with_q3_sets(W.pairs(t, size), W.TAGS)
 
 
 for _size in ("small", "large"):
@@ -151,7 +158,7 @@ for _size in ("small", "large"):
     def _(t: Tables, size: str = _size) -> DataFrame:
         picked = W.pairs(t, size)
         return picked.select(
-            "key", *[F.array_join(F.array_sort(q3_tags(F.col(f"scores{r}"), W.TAGS[size])), ",").alias(f"tags{r}") for r in (1, 2)]
+            "key", *[F.array_join(F.array_sort(q3_tags(F.col(f"scores{r}"), W.TAGS)), ",").alias(f"tags{r}") for r in (1, 2)]
         )
 
     @drill(f"F24_set_score_{_size}", f"{sets_check(_size)} select key, set_score from scored")

@@ -9,7 +9,7 @@ from casetable.drills import views as W
 from casetable.drills.base import Tables, drill
 from casetable.operators import joins as J, nested as N, scoring as S
 
-TAGS = W.TAGS["small"]
+TAGS = W.TAGS
 
 
 def items(t: Tables) -> DataFrame:
@@ -21,7 +21,7 @@ def matched(t: Tables) -> DataFrame:
 
 
 def _pivot(value: str) -> str:
-    return ", ".join(f"max(case when g.tag = '{tag}' then g.{value} end) as {tag}" for tag in TAGS)
+    return ", ".join(f"max(case when g.tag = '{tag}' then g.{value} end) as \"{tag}\"" for tag in TAGS)
 
 
 @drill("D10_score_vector", f"""{W.REPLY_CHECK}
@@ -75,14 +75,15 @@ BROAD_ROWS = " union all ".join(
 )
 CANDIDATES = sorted({c for cs in W.BROAD.values() for c in cs})
 _GIVEN = ", ".join(
-    f"max(case when c.candidate = '{c}' and g.key % 13 <> 1 and m.key is not null then m.score2::varchar end) as {c}"
+    f"max(case when c.candidate = '{c}' and g.key % 13 <> 1 then case when m.key is not null then m.score2::varchar"
+    + (" when g.key % 59 = 10 then '120' when g.key % 61 = 11 then '7.5'" if c == "GRAPH" else "")
+    + f" when g.key % 6 = 0 then '0' end end) as \"{c}\""
     for c in CANDIDATES
 )
-
-
-@drill("F14_recheck_rows", f"""{W.REPLY_CHECK}, cands as ({BROAD_ROWS}),
-cand as (select u.key, c.broad, c.candidate, c.place, case when u.key % 13 = 1 then 0 else g.s2 end as v
-  from users u cross join cands c join grid g on g.key = u.key and g.tag = c.candidate)
+RECHECK_CHECK = f"""{W.REPLY_CHECK}, cands as ({BROAD_ROWS}),
+cand as (select u.key, c.broad, c.candidate, c.place, case when u.key % 13 = 1 then 0 when c.candidate <> 'GRAPH' then g.s2
+    when u.key % 59 = 10 then 120 when u.key % 61 = 11 then 7 else 0 end as v
+  from users u cross join cands c left join grid g on g.key = u.key and g.tag = c.candidate)
 select g.chunk_id || '_solution_' || g.solution_index as problem_solution_key, g.chunk_id as id,
   'problem ' || g.chunk_id as title, 'solution_' || g.solution_index as solution_column, g.solution_index,
   b.tag as source_broad_tag, b.s as source_broad_score, {_GIVEN},
@@ -93,13 +94,16 @@ select g.chunk_id || '_solution_' || g.solution_index as problem_solution_key, g
 from good g join grid b on b.key = g.key join tops on tops.key = g.key
 join cand c on c.key = g.key and c.broad = b.tag left join m on m.key = g.key and m.tag = c.candidate
 where b.s >= 60 or (tops.top = b.tag and g.key % 8 <> 5)
-group by g.key, g.chunk_id, g.solution_index, b.tag, b.s, b.raw""")
+group by g.key, g.chunk_id, g.solution_index, b.tag, b.s, b.raw"""
+
+
+@drill("F14_recheck_rows", RECHECK_CHECK)
 def _(t: Tables) -> DataFrame:
     return S.recheck_rows(matched(t), TAGS, W.BROAD)
 
 
-@drill("F15_score_rows", f"""{W.REPLY_CHECK},
-thirds as (select key, string_agg(tag || ':' || case when key % 37 = 0 then 'None' else score1::varchar end, ' | ' order by rk) as t3
+SCORE_CHECK = f"""{W.REPLY_CHECK},
+thirds as (select key, string_agg(case when key % 53 = 9 and rk = 1 then 'BOGUS' else tag end || ':' || case when key % 37 = 0 then 'None' else score1::varchar end, ' | ' order by rk) as t3
   from m where rk <= case when key % 31 = 0 then 2 else 3 end group by key),
 p as (select u.*, tops.top, tops.top_score, second, split_part(coalesce(second, ''), ' | ', 1) as s1, t3
   from good u join tops on tops.key = u.key left join seconds on seconds.key = u.key join thirds on thirds.key = u.key)
@@ -121,24 +125,40 @@ select p.chunk_id || '_solution_' || p.solution_index as problem_solution_key, p
   case when p.key % 23 = 0 then 'SURE' when p.key % 7 = 2 then 'LOW' else {W.level_sql('p.top_score')} end as confidence,
   'told' as uncertain_points, 'told' as compared_with_other_solutions
 from p join grid g on g.key = p.key
-group by p.key, p.chunk_id, p.solution_index, p.top, p.top_score, p.second, p.s1, p.t3""")
+group by p.key, p.chunk_id, p.solution_index, p.top, p.top_score, p.second, p.s1, p.t3"""
+
+
+@drill("F15_score_rows", SCORE_CHECK)
 def _(t: Tables) -> DataFrame:
     return N.score_pivot(S.score_rows(matched(t), TAGS), TAGS)
 
 
 @drill("F32_contract_check", f"""{W.REPLY_CHECK},
 tops3 as (select key, count(*) as n from m where rk <= 3 group by key),
-i as (select s.key, seconds.second is not null as two, tops3.n as n3 from sent s
-  left join seconds on seconds.key = s.key left join tops3 on tops3.key = s.key)
-select 'score_range' as rule, 0::bigint as violations
-union all select 'tag_vocabulary', count(*) from i where two and key % 29 = 0
-union all select 'top_three', count(*) from i where least(n3, case when key % 31 = 0 then 2 else 3 end) <> 3
-union all select 'decision_list', count(*) from i where key % 13 <> 1 and key % 41 = 0
-union all select 'confidence_list', count(*) from i where key % 23 = 0
-union all select 'fields_present', count(*) from i where key % 8 = 5 or (key % 7 = 2 and key % 23 <> 0) or key % 5 = 1 or key % 13 = 1
-union all select 'combination_size', count(*) from i where two and key % 29 = 0
+i as (select s.key, s.copies, seconds.second is not null as two, tops3.n as n3 from sent s
+  left join seconds on seconds.key = s.key left join tops3 on tops3.key = s.key),
+r as (select key, copies, unnest([
+  struct_pack(rule := 'field_missing', broken := key % 8 = 5 or (key % 7 = 2 and key % 23 <> 0) or key % 5 = 1 or key % 13 = 1),
+  struct_pack(rule := 'field_type', broken := key % 11 = 3 or key % 19 = 5 or key % 10 = 1),
+  struct_pack(rule := 'score_missing', broken := key % 4 <> 0),
+  struct_pack(rule := 'score_type', broken := key % 5 = 0 or key % 7 = 0),
+  struct_pack(rule := 'score_whole', broken := key % 47 = 8),
+  struct_pack(rule := 'score_range', broken := key % 43 = 6),
+  struct_pack(rule := 'tag_vocabulary', broken := two and key % 29 = 0),
+  struct_pack(rule := 'top_three_size', broken := least(n3, case when key % 31 = 0 then 2 else 3 end) <> 3),
+  struct_pack(rule := 'top_three_tag', broken := key % 53 = 9),
+  struct_pack(rule := 'top_three_score', broken := key % 37 = 0),
+  struct_pack(rule := 'confidence_list', broken := key % 23 = 0),
+  struct_pack(rule := 'combination_size', broken := two and key % 29 = 0),
+  struct_pack(rule := 'decision_list', broken := key % 13 <> 1 and key % 41 = 0),
+  struct_pack(rule := 'candidate_missing', broken := key % 13 <> 1 and key % 6 <> 0),
+  struct_pack(rule := 'candidate_type', broken := false),
+  struct_pack(rule := 'candidate_whole', broken := key % 13 <> 1 and key % 59 <> 10 and key % 61 = 11),
+  struct_pack(rule := 'candidate_range', broken := key % 13 <> 1 and key % 59 = 10),
+  struct_pack(rule := 'reason_missing', broken := key % 13 <> 1 and key % 3 = 0)], recursive := true) from i)
+select rule, coalesce(sum(copies) filter (where broken), 0)::bigint as violations from r group by rule
+union all select 'unreadable', count(distinct chunk_id) from users where chunk_id % 13 = 0
 union all select 'reply_length', count(*) from (select u.chunk_id from users u left join good g on g.key = u.key
   group by u.chunk_id having count(*) <> count(g.key))""")
 def _(t: Tables) -> DataFrame:
-    found = items(t)
-    return S.contract_check(found, J.align_reply(W.requests(t), found)[1], TAGS, W.BROAD)
+    return S.contract_check(W.replies(t), J.align_reply(W.requests(t), items(t))[1], TAGS, W.BROAD)

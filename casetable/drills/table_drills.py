@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from casetable.drills import views as W
 from casetable.drills.base import Tables, drill
-from casetable.functions.json_cells import is_list_literal, parse_io
+from casetable.functions.json_cells import is_list_literal, parse_io, parse_list
 from casetable.operators import cleaning, columns as C, keys as K, nested as N, profile as P
 
 NUMBERED = """
@@ -163,7 +163,7 @@ select id as problem_id, i as solution_order, solutions[i] as solution, null::bo
 
 @drill("D4_explode_solutions", SOLUTIONS)
 def _(t: Tables) -> DataFrame:
-    return N.split_corpus(W.corpus(t))[2]
+    return N.explode_solutions(W.corpus(t).select("id", parse_list(F.col("solutions")).alias("_solutions")))
 
 
 @drill("D5_count_solutions", f"{COUNTED} select id, count_solutions from n")

@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casetable import vocab as V
 from casetable.drills.base import Tables
 from casetable.functions.score_sets import first_highest
+from casetable.operators.scoring import recheck_field
 
 PROBLEMS = "select o_orderkey as id, o_orderpriority as question, o_orderstatus as difficulty from {orders}"
 
@@ -51,17 +53,21 @@ select concat('run', cast(user_id % 3 as string)) as run, event_id as seq, ts,
   case when event_id % 8 <> 7 then cast(event_id * 7 as bigint) end as total_elapsed_cs
 from {events}"""
 
-RUNS_SMALL = """
-select user_id as key, event_type as tag,
-  cast(least(100, 10 * sum(case when ts < timestamp '2024-01-16 00:00:00' then 1 else 0 end)) as bigint) as score1,
-  cast(least(100, 10 * sum(case when ts >= timestamp '2024-01-16 00:00:00' then 1 else 0 end)) as bigint) as score2
-from {events} group by user_id, event_type"""
+#: The scored tags with their places, as a table that both engines read.
+TAG_ROWS = "(values " + ", ".join(f"('{tag}', {i})" for i, tag in enumerate(V.SCORE_TAGS)) + ") v(tag, i)"
 
-RUNS_LARGE = """
-select l_partkey as key, concat('m', lpad(cast(extract(month from l_shipdate) as string), 2, '0')) as tag,
-  cast(least(100, 20 * sum(case when l_suppkey % 2 = 0 then 1 else 0 end)) as bigint) as score1,
-  cast(least(100, 20 * sum(case when l_suppkey % 2 = 1 then 1 else 0 end)) as bigint) as score2
-from {lineitem} group by l_partkey, extract(month from l_shipdate)"""
+# the last tag is given to nobody: replies use it for scores that break the rules
+RUNS_SMALL = f"""
+select user_id as key, v.tag as tag, v.i as place,
+  cast(coalesce(max(case when ts < timestamp '2024-01-16 00:00:00' then (event_id * 37 + 11) % 101 end), 0) as bigint) as score1,
+  cast(coalesce(max(case when ts >= timestamp '2024-01-16 00:00:00' then (event_id * 53 + 7) % 101 end), 0) as bigint) as score2
+from {{events}} join {TAG_ROWS} on v.i = (event_id * 7 + user_id) % 119 group by user_id, v.tag, v.i"""
+
+RUNS_LARGE = f"""
+select l_partkey as key, v.tag as tag, v.i as place,
+  cast(least(100, sum(case when l_suppkey % 2 = 0 then 20 + cast(l_quantity as bigint) else 0 end)) as bigint) as score1,
+  cast(least(100, sum(case when l_suppkey % 2 = 1 then 20 + cast(l_quantity as bigint) else 0 end)) as bigint) as score2
+from {{lineitem}} join {TAG_ROWS} on v.i = (l_orderkey * 7 + l_linenumber) % 120 group by l_partkey, v.tag, v.i"""
 
 LIMITS = """
 select p_partkey as id,
@@ -77,19 +83,11 @@ select p_partkey as id,
     when 5 then 'unlimited' end as memory_limit
 from {part}"""
 
-TAGS = {
-    "small": ["click", "error", "purchase", "signup", "view"],
-    "large": [f"m{m:02d}" for m in range(1, 13)],
-}
+TAGS = V.SCORE_TAGS
+BROAD = V.BROAD_CANDIDATES
 RUNS = {"small": RUNS_SMALL, "large": RUNS_LARGE}
 MARKER = "no peer"
 
-BROAD = {
-    "click": ["error", "purchase", "view"],
-    "view": ["click", "signup"],
-    "purchase": ["error", "click", "signup"],
-}
-
 
 def level_sql(score: str) -> str:
     return f"case when {score} >= 90 then 'HIGH' when {score} >= 60 then 'MEDIUM' else 'LOW' end"
@@ -138,16 +136,17 @@ from documents"""
 
 def pairs(t: Tables, size: str) -> DataFrame:
     """Two score runs side by side, one row per key, scores in tag order, 0 where absent."""
-    tags = TAGS[size]
+    tags = TAGS
+    # a key has a row for each of its tags, so at most as many as there are tags
     scored = t.view(RUNS[size]).groupBy("key").agg(
-        *[
-            F.coalesce(F.max(F.when(F.col("tag") == tag, F.col(f"score{r}"))), F.lit(0)).alias(f"_{r}_{tag}")
-            for r in (1, 2) for tag in tags
-        ]
-    )
-    arrays = scored.select(
-        "key", *[F.array(*[F.col(f"_{r}_{tag}") for tag in tags]).alias(f"scores{r}") for r in (1, 2)]
+        *[F.map_from_entries(F.collect_list(F.struct("place", f"score{r}"))).alias(f"_{r}") for r in (1, 2)]
     )
+
+    def in_order(held):
+        places = F.sequence(F.lit(0), F.lit(len(tags) - 1))
+        return F.transform(places, lambda i: F.coalesce(F.try_element_at(held, i), F.lit(0).cast("bigint")))
+
+    arrays = scored.select("key", *[in_order(F.col(f"_{r}")).alias(f"scores{r}") for r in (1, 2)])
     tops = arrays.withColumns({f"_top{r}": first_highest(F.col(f"scores{r}"), tags) for r in (1, 2)})
     return tops.select(
         "key", "scores1", "scores2",
@@ -160,9 +159,8 @@ def pairs(t: Tables, size: str) -> DataFrame:
 
 def pairs_check(size: str) -> str:
     """CTEs ``grid`` (key, tag, i, s1, s2) and ``pairs``, for the checks."""
-    tags = ", ".join(f"('{t}', {i})" for i, t in enumerate(TAGS[size]))
     return f"""
-with runs as ({RUNS[size]}), tags(tag, i) as (values {tags}),
+with runs as ({RUNS[size]}), tags as (select * from {TAG_ROWS}),
 grid as (select k.key, t.tag, t.i, coalesce(r.score1, 0) as s1, coalesce(r.score2, 0) as s2
   from (select distinct key from runs) k cross join tags t left join runs r on r.key = k.key and r.tag = t.tag),
 tops as (select key, arg_max(tag, s1 * 1000 - i) as primary1, arg_max(tag, s2 * 1000 - i) as primary2,
@@ -183,12 +181,17 @@ def requests(t: Tables) -> DataFrame:
     )
 
 
+def _entry(tag, value):
+    """A part of a JSON object."""
+    return F.concat(F.lit('"'), tag, F.lit('":'), value)
+
+
 def replies(t: Tables) -> DataFrame:
-    """One reply text per chunk, with the faults that real replies have.
+    """One reply text per chunk, with the faults that real replies have; each rule of the contract is broken by some.
 
-    Numbers as text, nulls, Markdown fences, missing items, unknown and unreadable indexes,
-    cut texts, absent fields and values outside the agreed lists. Lists stay short: a user has
-    one row per tag, a chunk two users.
+    Numbers as text, nulls, fractions, values out of range, Markdown fences, missing and repeated items,
+    unknown and unreadable indexes, cut texts, absent fields and candidates, and values outside the
+    agreed lists. Lists stay short: a user has one row per tag, a chunk two users.
     """
     key = F.col("key")
     tagged = t.view(RUNS_SMALL).groupBy("key").agg(
@@ -201,28 +204,47 @@ def replies(t: Tables) -> DataFrame:
     more = tagged.withColumns({"top": top, "second": second})
     has_two = F.size("second") > 0
 
+    def filled(entries, names, when):
+        """The entries and, for some, the rest of the names with a score of 0."""
+        rest = F.array_except(F.array(*[F.lit(n) for n in names]), F.transform("m", lambda x: x["tag"]))
+        rest = F.when(when, rest).otherwise(F.array().cast("array<string>"))
+        return F.concat(entries, F.transform(rest, lambda n: _entry(n, F.lit("0"))))
+
+    def odd(name: str, *faults):
+        """The entry of a name nobody has, for keys with a fault."""
+        value = F
+        for when, text in faults:
+            value = value.when(when, F.array(F.lit(f'"{name}":{text}')))
+        return value.otherwise(F.array().cast("array<string>"))
+
     def recheck(tag: str):
-        own = F.coalesce(F.filter("m", lambda x: x["tag"] == tag)[0]["score1"], F.lit(0))
+        own = F.coalesce(F.get(F.filter("m", lambda x: x["tag"] == tag), 0)["score1"], F.lit(0))
         told = F.when(key % 41 == 0, "MAYBE").when(own >= 80, "LIKELY_SPECIFIC_ALGORITHM").when(
             own >= 60, "REVIEW_NEEDED"
         ).otherwise("KEEP_ORIGINAL")
-        block = F.struct(
-            F.map_from_entries(F.transform("m", lambda x: F.struct(x["tag"], x["score2"]))).alias("candidate_scores"),
-            told.alias("recheck_decision"), F.when(key % 3 != 0, "because").alias("recheck_reason"),
+        graph = "GRAPH" in BROAD[tag]
+        faults = [((key % 59 == 10), "120"), ((key % 61 == 11), "7.5")] if graph else []
+        given = F.transform("m", lambda x: _entry(x["tag"], x["score2"].cast("string")))
+        given = filled(given, [c for c in BROAD[tag] if c != "GRAPH"], key % 6 == 0)
+        if graph:
+            given = F.concat(given, odd("GRAPH", *faults, (key % 6 == 0, "0")))
+        block = F.concat(
+            F.lit(f'"{recheck_field(tag)}":{{"candidate_scores":{{'), F.array_join(given, ","), F.lit('},"recheck_decision":"'), told,
+            F.lit('"'), F.when(key % 3 != 0, ',"recheck_reason":"because"').otherwise(""), F.lit("},"),
         )
-        return F.when(key % 13 != 1, block).alias(f"{tag}_recheck")
+        return F.when(key % 13 != 1, block).otherwise("")
 
+    first_tag = F.when(key % 53 == 9, "BOGUS").otherwise(F.col("top.tag"))
     body = F.to_json(F.struct(
-        F.when(key % 11 == 3, "x").when(key % 19 == 5, "7").otherwise((key % 2).cast("string")).alias("solution_index"),
         F.when(key % 8 != 5, F.col("top.tag")).alias("primary_algorithm"),
         F.col("second").alias("secondary_algorithms"),
         has_two.alias("is_composite"),
-        F.when(has_two & (key % 29 == 0), F.array(F.col("top.tag"), F.col("second")[0], F.lit("extra")))
-        .when(has_two, F.array(F.col("top.tag"), F.col("second")[0]))
+        F.when(has_two & (key % 29 == 0), F.array(F.col("top.tag"), F.get("second", 0), F.lit("extra")))
+        .when(has_two, F.array(F.col("top.tag"), F.get("second", 0)))
         .otherwise(F.array().cast("array<string>")).alias("composite_algorithm"),
         F.transform(
             F.slice("m", F.lit(1), F.when(key % 31 == 0, 2).otherwise(3)),
-            lambda x: F.struct(x["tag"].alias("tag"), F.when(key % 37 != 0, x["score1"]).alias("score")),
+            lambda x, i: F.struct(F.when(i == 0, first_tag).otherwise(x["tag"]).alias("tag"), F.when(key % 37 != 0, x["score1"]).alias("score")),
         ).alias("top_3_algorithms"),
         F.when(key % 23 == 0, "SURE").when(key % 7 != 2, _level(F.col("top.score1"))).alias("confidence"),
         F.concat(F.lit("about "), key.cast("string")).alias("solution_summary"),
@@ -230,17 +252,21 @@ def replies(t: Tables) -> DataFrame:
         *[F.lit("told").alias(f) for f in (
             "time_complexity_reasoning", "classification_reason", "rejected_candidates", "uncertain_points",
             "compared_with_other_solutions")],
-        *[recheck(tag) for tag in BROAD],
     ))
 
     def score(x):
         quoted = F.concat(F.lit('"'), x["score1"].cast("string"), F.lit('"'))
-        value = F.when(key % 5 == 0, quoted).when(key % 7 == 0, "null").otherwise(x["score1"].cast("string"))
-        return F.concat(F.lit('"'), x["tag"], F.lit('":'), value)
+        return _entry(x["tag"], F.when(key % 5 == 0, quoted).when(key % 7 == 0, "null").otherwise(x["score1"].cast("string")))
 
+    scores = filled(F.transform("m", score), [tag for tag in TAGS if tag != "UNKNOWN"], key % 4 == 0)
+    scores = F.concat(scores, odd("UNKNOWN", (key % 43 == 6, "150"), (key % 47 == 8, "85.5"), (key % 4 == 0, "0")))
+    number = (key % 2).cast("string")
+    index = F.when(key % 11 == 3, '"x"').when(key % 19 == 5, '"7"').when(key % 10 == 1, F.concat(F.lit('"'), number, F.lit('"'))).otherwise(number)
     item = F.concat(
-        F.lit('{"algorithm_scores":{'), F.array_join(F.transform("m", score), ","), F.lit("},"), F.substring(body, 2, 1 << 30)
+        F.lit('{"solution_index":'), index, F.lit(',"algorithm_scores":{'), F.array_join(scores, ","), F.lit("},"),
+        *[recheck(tag) for tag in BROAD], F.substring(body, 2, 1 << 30),
     )
+    item = F.when(key % 29 == 7, F.concat(item, F.lit(","), item)).otherwise(item)
     chunked = more.select(F.floor(key / 2).cast("bigint").alias("chunk_id"), key, F.when(key % 17 != 0, item).alias("item"))
     whole = chunked.groupBy("chunk_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("item").isNotNull(), F.struct("key", "item")))).alias("items")
@@ -260,15 +286,16 @@ def replies(t: Tables) -> DataFrame:
 REPLY_CHECK = f"""
 with runs as ({RUNS_SMALL}),
 users as (select distinct key, key // 2 as chunk_id, key % 2 as solution_index from runs),
-sent as (select * from users where chunk_id % 13 <> 0 and key % 17 <> 0),
+sent as (select *, case when key % 29 = 7 then 2 else 1 end as copies from users where chunk_id % 13 <> 0 and key % 17 <> 0),
 good as (select * from sent where key % 11 <> 3 and key % 19 <> 5),
-tags(tag, i) as (values ('click', 0), ('error', 1), ('purchase', 2), ('signup', 3), ('view', 4)),
+tags as (select * from {TAG_ROWS}),
 m as (select runs.*, row_number() over (partition by key order by score1 desc, tag) as rk,
   case when key % 5 <> 0 and key % 7 = 0 then 0 else score1 end as s from runs),
 tops as (select key, tag as top, score1 as top_score from m where rk = 1),
 seconds as (select key, string_agg(tag, ' | ' order by rk) as second, min(rk) as first_rk from m
   where rk > 1 and score1 >= 60 group by key),
-grid as (select u.key, t.tag, t.i, coalesce(m.s, 0) as s, coalesce(m.score1, 0) as raw, coalesce(m.score2, 0) as s2
+grid as (select u.key, t.tag, t.i, case when t.tag <> 'UNKNOWN' then coalesce(m.s, 0) when u.key % 43 = 6 then 150
+    when u.key % 47 = 8 then 85 else 0 end as s, coalesce(m.score1, 0) as raw, coalesce(m.score2, 0) as s2
   from users u cross join tags t left join m on m.key = u.key and m.tag = t.tag)"""
 
 

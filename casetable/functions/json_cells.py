@@ -82,3 +82,22 @@ def truthy(col: Column) -> Column:
     """A loosely typed flag as read from a string map: absent, null, false, 0 and empty are false."""
     text = F.lower(strip_text(col))
     return ~F.coalesce(text, F.lit("")).isin("", "false", "0", "0.0", "null", "none", "[]", "{}")
+
+
+def variant_kind(value: Column) -> Column:
+    """What a variant was written as: object, list, text, flag, null, whole or fraction; null for none.
+
+    ``whole`` and ``fraction`` tell numbers apart by their value, so 5.0 is whole.
+    """
+
+    def kind(v: Column) -> Column:
+        name = F.schema_of_variant(v)
+        number = F.try_variant_get(v, "$", "double")
+        return (
+            F.when(v.isNull(), F.lit(None).cast("string"))
+            .when(name.startswith("OBJECT"), "object").when(name.startswith("ARRAY"), "list").when(name == "STRING", "text")
+            .when(name == "BOOLEAN", "flag").when(name == "VOID", "null")
+            .when(number == F.floor(number), "whole").otherwise("fraction")
+        )
+
+    return let(value, kind)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -128,14 +129,47 @@ def _replace_word(old: str, new: str):
     return body
 
 
+def closed_words(words: Mapping[str, str]) -> dict[str, str] | None:
+    """What each word becomes when all replacements have been made in turn, or None if a key is no single word.
+
+    A replacement may hold words that are replaced later on; these are followed here, once.
+    """
+    if not all(re.fullmatch(r"\w+", old) for old in words):
+        return None
+    out, turn = {}, list(words.items())
+    for at, (old, new) in enumerate(turn):
+        for later, newer in turn[at + 1:]:
+            new = re.sub(rf"\b{re.escape(later)}\b", lambda _: newer, new)
+        out[old] = new
+    return out
+
+
+def _look_up(closed: Mapping[str, str], word: Column) -> Column:
+    """The replacement of a word, or null: by its checksum a word falls to one of many small maps."""
+    n = 1 << (2 * len(closed)).bit_length()
+    parts: list[list[str]] = [[] for _ in range(n)]
+    for old, new in closed.items():
+        parts[zlib.crc32(old.encode()) % n] += [old, new]
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    maps = F.array(*[F.create_map(*[F.lit(x) for x in part]) if part else none for part in parts])
+    return F.try_element_at(F.get(maps, F.pmod(F.crc32(word), F.lit(n)).cast("int")), word)
+
+
 def replace_words(col: Column, words: Mapping[str, str]) -> Column:
-    """Whole-word replacements, one after the other; word edges follow Unicode letters.
+    """Whole-word replacements, as if made one after the other; word edges follow Unicode letters.
 
-    Most texts lack most words, so a plain search comes before each pattern.
+    The text is read once, as runs of word characters and of others, and each word is looked up: the cost
+    does not grow with the dictionary. Keys that are no single words are replaced one after the other.
     """
-    for old, new in words.items():
-        col = let(col, _replace_word(old, new))
-    return col
+    if not words:
+        return col
+    closed = closed_words(words)
+    if closed is None:
+        for old, new in words.items():
+            col = let(col, _replace_word(old, new))
+        return col
+    runs = F.regexp_extract_all(col, F.lit(r"(?U)(\w+|\W+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda w: F.coalesce(_look_up(closed, w), w)), "")
 
 
 def preview_text(col: Column, n: int = 50) -> Column:

@@ -7,10 +7,11 @@ sort-merge join at run time (`spark.sql.adaptive.skewJoin.enabled`), see ``join_
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from casetable.functions.json_cells import is_list_literal, strip_fence, whole_json
 from casetable.functions.text import fill_status, loose_int, number_or_null
@@ -29,6 +30,47 @@ def join_spread(df: DataFrame, grouped: DataFrame, keys: Sequence[str], how: str
     ).drop("_spread")
 
 
+_TIE_BITS = 60
+
+
+def place_number(df: DataFrame, order: str, ties: Sequence[str], last: bool = False) -> Column:
+    """The place of a row as one number of fixed width: a missing order behind all others, then the order,
+    then a hash of the other columns. The smallest number comes first, with ``last`` the highest order."""
+    kind, value = df.schema[order].dataType, F.col(order)
+    if isinstance(kind, T.TimestampType):
+        value = F.unix_micros(value)
+    elif isinstance(kind, T.DateType):
+        value = F.unix_date(value)
+    elif not isinstance(kind, T.IntegralType):
+        raise TypeError(f"the order must be whole numbers, dates or timestamps, not {kind.simpleString()}")
+    value = value.cast("bigint")
+    value = F.bitwise_not(value) if last else value  # falls as the order rises, without overflow
+    tie = F.xxhash64(*ties).bitwiseAND(F.lit((1 << _TIE_BITS) - 1)) if ties else F.lit(0).cast("bigint")
+    upper = (value.cast("decimal(20,0)") + F.lit(Decimal(1 << 63))) * F.lit(Decimal(1 << _TIE_BITS))
+    late = F.lit(Decimal(1 << (64 + _TIE_BITS)))
+    return (F.coalesce(upper, late) + tie.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
+def first_rows(df: DataFrame, keys: Sequence[str], order: str, last: bool = False, where: Column | None = None) -> DataFrame:
+    """One whole row for each key, null keys included: that with the lowest order, or the highest with ``last``.
+
+    Two phases. Keys and places, a number of fixed width, are aggregated by hashing, however wide the rows
+    are; then the rows are fetched by key and place, which Spark does without moving them where few keys are
+    left. Ties go by a hash of the other columns, rows repeated whole count once, and a missing order comes
+    last. ``where`` names the rows that may win.
+    """
+    ties = [c for c in df.columns if c not in keys and c != order]
+    placed = df.withColumn("_place", place_number(df, order, ties, last))
+    placed = placed if where is None else placed.where(where)
+    best = placed.groupBy(*keys).agg(F.min("_place").alias("_best"))
+    best = best.select(*[F.col(k).alias(f"_best_{i}") for i, k in enumerate(keys)], "_best")
+    same = F.col("_place") == F.col("_best")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_best_{i}"))
+    # the place is a join key as well, so the rows of a hot key are spread by it
+    return placed.join(best, same).select(*df.columns).distinct()
+
+
 def semi_by_id(df: DataFrame, ids: DataFrame, key: str, id_col: str | None = None) -> DataFrame:
     return df.join(ids.select(F.col(id_col or key).alias(key)), key, "left_semi")
 
@@ -55,17 +97,15 @@ def enrich(df: DataFrame, lookup: DataFrame, keys: Sequence[str]) -> DataFrame:
 def overlay(base: DataFrame, over: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Non-null overlay values win; unknown keys and columns of the overlay are ignored.
 
-    A key that comes twice in the overlay stops the job.
+    A key that comes twice in the overlay stops the job; keys that are null match nothing.
     """
     shared = [c for c in over.columns if c in base.columns and c not in keys]
-    once = F.when(F.count(F.lit(1)) == 1, F.lit(True)).otherwise(
+    # keys are counted on their own; the overlay's cells are only moved by the joins
+    once = over.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    told = F.when(F.col("_n") == 1, F.lit(True)).otherwise(
         F.raise_error(F.lit("overlay key is not unique")).cast("boolean")
     )
-    unique = (
-        over.groupBy(*keys)
-        .agg(*[F.min(c).alias(f"_over_{c}") for c in shared], once.alias("_once"))
-        .where(F.col("_once"))
-    )
+    unique = over.select(*keys, *[F.col(c).alias(f"_over_{c}") for c in shared]).join(once, list(keys)).where(told).drop("_n")
     joined = join_spread(base, unique, keys, "left")
     return joined.select(
         *[F.coalesce(F.col(f"_over_{c}"), F.col(c)).alias(c) if c in shared else F.col(c) for c in base.columns]
@@ -76,11 +116,11 @@ def overlay_replace(
     base: DataFrame, over: DataFrame, keys: Sequence[str], cols: Sequence[str], order: str
 ) -> DataFrame:
     """The overlay's named columns always win, nulls included; its last row by ``order`` counts."""
-    last = over.groupBy(*keys).agg(F.max(F.struct(order, *cols)).alias("_last"))
+    last = first_rows(over.select(*keys, order, *cols), keys, order, last=True)
+    last = last.select(*keys, *[F.col(c).alias(f"_over_{c}") for c in cols], F.lit(True).alias("_hit"))
     joined = join_spread(base, last, keys, "left")
-    hit = F.col("_last").isNotNull()
     return joined.select(
-        *[F.when(hit, F.col(f"_last.{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c) for c in base.columns]
+        *[F.when(F.col("_hit"), F.col(f"_over_{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c) for c in base.columns]
     )
 
 
@@ -98,10 +138,14 @@ def coverage_counts(coverage: DataFrame) -> DataFrame:
     return coverage.groupBy("side").agg(F.count(F.lit(1)).alias("n"))
 
 
-def pair_runs(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of two runs side by side; columns other than the keys end in 1 and 2."""
+def pair_runs(a: DataFrame, b: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
+    """Rows of two runs side by side; columns other than the keys end in 1 and 2.
+
+    With ``order`` a run may hold a key more than once, and its last row counts.
+    """
 
     def tagged(df: DataFrame, n: int) -> DataFrame:
+        df = df if order is None else first_rows(df, keys, order, last=True).drop(order)
         return df.select(*[F.col(c) if c in keys else F.col(c).alias(f"{c}{n}") for c in df.columns])
 
     return tagged(a, 1).join(tagged(b, 2), list(keys))
@@ -117,50 +161,77 @@ def first_filled(
     later shards hold. Returns kept rows and rejects with their ``reason``: broken, partial
     or all_empty. Ids the base shard lacks are in neither.
     """
-    payload = [c for c in shards.columns if c not in (key, rank)]
     sound = F.lit(True)
     for c in list_cols:
         sound = sound & is_list_literal(F.col(c))
     is_base, status = F.col(rank) == base, fill_status([F.col(c) for c in cols])
-    judged = shards.select(key, rank, *payload, status.alias("_status"), (is_base & ~sound).alias("_broken"))
-    full = (F.col("_status") == "all") & (F.col(rank) >= base)
-    merged = judged.groupBy(key).agg(
-        F.max(F.when(is_base, F.col("_status"))).alias("_base"),
-        F.max("_broken").alias("_broken"),
-        F.min(F.when(full, F.struct(rank, *payload))).alias("_row"),
-    ).where(F.col("_base").isNotNull())
-    reason = (
-        F.when(F.col("_broken"), "broken")
-        .when(F.col("_base") == "partial", "partial")
-        .when(F.col("_row").isNull(), "all_empty")
+    full = (status == "all") & (F.col(rank) >= base)
+    # flags and a place of fixed width are aggregated by hashing; the rows are fetched by key and place
+    ties = [c for c in shards.columns if c not in (key, rank)]
+    judged = shards.select(
+        key, is_base.cast("int").alias("_is_base"), (is_base & ~sound).cast("int").alias("_broken"),
+        (is_base & (status == "partial")).cast("int").alias("_partial"),
+        F.when(full, place_number(shards, rank, ties)).alias("_place"),
     )
-    outcome = merged.withColumn("reason", reason)
-    kept = outcome.where(F.col("reason").isNull()).select(key, "_row.*")
-    return kept.select(*shards.columns), outcome.where(F.col("reason").isNotNull()).select(key, "reason")
+    merged = judged.groupBy(key).agg(
+        F.max("_is_base").alias("_is_base"), F.max("_broken").alias("_broken"), F.max("_partial").alias("_partial"),
+        F.min("_place").alias("_best"),
+    ).where(F.col("_is_base") == 1)
+    reason = F.when(F.col("_broken") == 1, "broken").when(F.col("_partial") == 1, "partial").when(F.col("_best").isNull(), "all_empty")
+    outcome = merged.select(F.col(key).alias("_key"), "_best", reason.alias("reason"))
+    wanted = outcome.where(F.col("reason").isNull()).drop("reason")
+    rows = shards.where(full).withColumn("_place", place_number(shards, rank, ties))
+    kept = rows.join(wanted, (F.col("_place") == F.col("_best")) & F.col(key).eqNullSafe(F.col("_key"))).select(*shards.columns).distinct()
+    return kept, outcome.where(F.col("reason").isNotNull()).select(F.col("_key").alias(key), "reason")
+
+
+#: Solutions and cases of a problem that one task combines, each.
+GRID_BLOCK = 1024
 
 
-def execution_grid(sols: DataFrame, cases: DataFrame, max_order: int | None = None) -> DataFrame:
+def execution_grid(
+    sols: DataFrame, cases: DataFrame, max_order: int | None = None, block: int = GRID_BLOCK
+) -> DataFrame:
     """What to run: every case of a problem with each of its solutions, or the first ``max_order``.
 
     Problems without solutions or without cases drop out. Columns come along as given: hand in
-    keys only where texts can be looked up later. With ``max_order`` the grid is at
-    most that many times the cases, as the filter goes below the join.
+    keys only where texts can be looked up later. A problem with many of both is dealt over tasks on
+    both sides: its solutions fall into blocks, its cases as well, and each pair of blocks is a join key.
+    A row is repeated once for each block of the other side, ordinary problems have one of each.
     """
     first = sols if max_order is None else sols.where(F.col("solution_order") <= max_order)
-    return first.join(cases, "problem_id")
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        n = F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int")
+        return df.groupBy("problem_id").agg(n.alias(name))
+
+    sizes = blocks(first, "_rows").join(blocks(cases, "_cols"), "problem_id")
+
+    def dealt(df: DataFrame, order: str, own: str, other: str, name: str, other_name: str) -> DataFrame:
+        held = join_spread(df, sizes, ["problem_id"])
+        return held.select(
+            *df.columns, F.pmod(F.xxhash64(order), F.col(own)).cast("int").alias(name),
+            F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other_name),
+        )
+
+    left = dealt(first, "solution_order", "_rows", "_cols", "_row", "_col")
+    right = dealt(cases, "testcase_order", "_cols", "_rows", "_col", "_row")
+    return left.join(right, ["problem_id", "_row", "_col"]).drop("_row", "_col")
 
 
 def align_reply(requests: DataFrame, items: DataFrame, chunk: str = "chunk_id") -> tuple[DataFrame, DataFrame]:
     """Reply items matched to the rows asked for, and one status row per chunk.
 
     ``requests`` has one row per (chunk, solution_index); ``items`` one per reply item, its
-    ``solution_index`` still text. Items without a readable or known index are left out; a
-    chunk is ok when as many items matched as were asked for. Matched rows of a chunk that
-    is not ok are kept all the same.
+    ``solution_index`` still text. Items without a readable or known index are left out; of items
+    with one index the first by ``item_no`` counts. A chunk is ok when as many indexes matched as
+    were asked for. Matched rows of a chunk that is not ok are kept all the same.
     """
     raw = F.lower(F.trim(F.col("solution_index")))
     index = F.when((raw == "true") | number_or_null(F.col("solution_index")).isNotNull(), loose_int(F.col("solution_index")))
     readable = items.withColumn("solution_index", index).where(F.col("solution_index").isNotNull())
+    firsts = readable.groupBy(chunk, "solution_index").agg(F.min("item_no").alias("item_no"))
+    readable = readable.join(firsts, [chunk, "solution_index", "item_no"]).drop("item_no")
     rows = requests.join(readable, [chunk, "solution_index"])
     asked = requests.groupBy(chunk).agg(F.count(F.lit(1)).alias("asked"))
     parsed = rows.groupBy(chunk).agg(F.count(F.lit(1)).alias("parsed"))

@@ -9,20 +9,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from casetable.functions.text import canonical_id, has_all_digits
-from casetable.session import settle
+from casetable.session import ranged, settle
 
 _IN_PARTITION = (1 << 33) - 1
 
 
 def assign_ids(df: DataFrame, order: Sequence[str], name: str = "id") -> DataFrame:
-    """Ids 1..n in the given order, without a one-partition sort.
+    """Ids 1..n in the given order, without a one-partition sort: one range shuffle, then ``number_rows``."""
+    return number_rows(ranged(df, *order).sortWithinPartitions(*order), name)
 
-    One range shuffle; a row's id is its place in its sorted partition plus the size of the
-    partitions before it. Only the partition sizes, one row each, are added up in one place.
+
+def number_rows(df: DataFrame, name: str = "id") -> DataFrame:
+    """Ids 1..n in the order in which the rows stand.
+
+    A row's id is its place in its partition plus the size of the partitions before it. Only the
+    partition sizes, one row each, are added up in one place.
     """
-    placed = settle(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn(
-        "_at", F.monotonically_increasing_id()
-    )
+    placed = settle(df).withColumn("_at", F.monotonically_increasing_id())
     placed = placed.withColumns(
         {"_part": F.shiftright("_at", 33), "_place": F.col("_at").bitwiseAND(F.lit(_IN_PARTITION))}
     )

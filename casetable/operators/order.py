@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from casetable.functions.text import canonical_id
-from casetable.session import settle
+from casetable.operators.joins import first_rows
+from casetable.session import ranged, settle
 
 
 def range_blocks(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -22,7 +23,7 @@ def range_blocks(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     The ranges come from a sample, so the rows are settled before their partition is used.
     """
-    return settle(df.repartitionByRange(*keys)).withColumn("_block", F.spark_partition_id().cast("bigint"))
+    return settle(ranged(df, *keys)).withColumn("_block", F.spark_partition_id().cast("bigint"))
 
 
 def width_blocks(df: DataFrame, key: str, width: int) -> DataFrame:
@@ -85,13 +86,9 @@ def sort_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def dedup_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Of the rows with equal keys, null keys included, the one with the lowest order.
 
-    An aggregate rather than a window: copies shrink before the shuffle, however many
-    there are. Rows without an order come last; remaining ties go by the other columns.
+    Rows without an order come last; remaining ties go by a hash of the other columns.
     """
-    rest = [c for c in df.columns if c not in keys and c != order]
-    pick = F.min(F.struct(F.col(order).isNull().alias("_late"), F.col(order), *rest)).alias("_pick")
-    kept = df.groupBy(*keys).agg(pick)
-    return kept.select(*[F.col(c) if c in keys else F.col(f"_pick.{c}") for c in df.columns])
+    return first_rows(df, keys, order)
 
 
 def union_shards(shards: Sequence[DataFrame]) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from casetable.operators.order import running
+from casetable.session import settle
 
 
 def corpus_totals(df: DataFrame) -> DataFrame:
@@ -57,10 +60,14 @@ def range_filter(df: DataFrame, col: str, lo: float, hi: float) -> DataFrame:
 
 
 def histogram(df: DataFrame, col: str, width: int) -> DataFrame:
-    """Rows per bin of ``width``, bins counted from the minimum; bins without rows are left out."""
-    low = df.agg(F.min(col)).scalar()
-    bin_no = F.floor((F.col(col) - low) / width).cast("bigint")
-    counted = df.where(F.col(col).isNotNull()).groupBy(bin_no.alias("bin_no")).agg(F.count(F.lit(1)).alias("n"))
+    """Rows per bin of ``width``, bins counted from the minimum; bins without rows are left out.
+
+    The table is read once, to count each value; the minimum and the bins come from these counts.
+    """
+    counts = settle(df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
+    low = counts.agg(F.min("_v")).scalar()
+    bin_no = F.floor((F.col("_v") - low) / width).cast("bigint")
+    counted = counts.groupBy(bin_no.alias("bin_no")).agg(F.sum("_n").alias("n"))
     start = (low + F.col("bin_no") * width).cast("double")
     return counted.select("bin_no", start.alias("bin_start"), (start + width).alias("bin_end"), "n")
 
@@ -80,12 +87,21 @@ def merge_examples(rejects: DataFrame, key: str, k: int = 10) -> DataFrame:
     )
 
 
-def dedup_report(before: DataFrame, after: DataFrame) -> DataFrame:
-    n = F.count(F.lit(1))
-    left = after.agg(n).scalar()
-    return before.agg(n.alias("before")).select(
-        "before", left.alias("after"), (F.col("before") - left).alias("removed")
-    )
+def dedup_report(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows before and after ``dedup_first`` by these keys, and how many go: one scan, keys only."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    one = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("before"), F.count(F.lit(1)).alias("after"))
+    return one.select("before", "after", (F.col("before") - F.col("after")).alias("removed"))
+
+
+def write_counted(df: DataFrame, path: str, **measures: Column) -> dict:
+    """Write a table and return measures of it, taken while it is written and not by a second scan.
+
+    ``rows`` is always among them.
+    """
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in measures.items()]).write.mode("overwrite").parquet(path)
+    return seen.get
 
 
 def log_stats(log: DataFrame, run: str = "run") -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casetable import vocab as V
-from casetable.functions.json_cells import strip_fence, truthy, whole_json
+from casetable.functions.json_cells import strip_fence, truthy, variant_kind, whole_json
 from casetable.functions.score_sets import first_highest, score_vector
 from casetable.functions.text import (
-    equals_number, first_match_label, join_list, join_pairs, line_count, loose_int, solution_key,
+    equals_number, first_match_label, join_list, join_pairs, line_count, solution_key,
 )
 
 # Text fields of a reply item.
@@ -43,13 +43,13 @@ def parse_items(
     replies: DataFrame, broad: Mapping[str, Sequence[str]] = V.BROAD_CANDIDATES,
     chunk: str = "chunk_id", reply: str = "reply", asked: str | None = None,
 ) -> DataFrame:
-    """One row per reply item. Where ``asked`` is 1 the reply may be the bare item itself."""
+    """One row per reply item, ``item_no`` from 0. Where ``asked`` is 1 the reply may be the bare item itself."""
     item, text = item_schema(broad), strip_fence(F.col(reply))
     items = whole_json(text, f"struct<solutions:array<{item}>>", {})["solutions"]
     if asked is not None:
         items = F.when(F.col(asked) == 1, F.coalesce(items, F.array(whole_json(text, item, {})))).otherwise(items)
-    return replies.select(chunk, F.explode(items).alias("_item")).where(F.col("_item").isNotNull()).select(
-        chunk, "_item.*"
+    return replies.select(chunk, F.posexplode(items).alias("item_no", "_item")).where(F.col("_item").isNotNull()).select(
+        chunk, "item_no", "_item.*"
     )
 
 
@@ -140,39 +140,106 @@ def recheck_rows(
 
 
 def contract_check(
-    items: DataFrame, status: DataFrame, tags: Sequence[str], broad: Mapping[str, Sequence[str]],
-    combination: int = 2,
+    replies: DataFrame, status: DataFrame, tags: Sequence[str] = V.SCORE_TAGS,
+    broad: Mapping[str, Sequence[str]] = V.BROAD_CANDIDATES, reply: str = "reply", combination: int = 2,
 ) -> DataFrame:
     """Violations per rule of the reply contract, rules without any included.
 
-    One aggregate over the items and one over the chunks; nothing is exploded.
+    Replies are read as variants, which keep the type that each value was written with: a number as text is
+    no number here. ``unreadable`` and ``reply_length`` count replies, the other rules the items that break
+    them at least once. One pass over the replies.
     """
-    vocabulary = F.array(*[F.lit(t) for t in tags])
-    scores, n_top = F.map_values("algorithm_scores"), F.size("top_3_algorithms")
-
-    def unknown(col: Column) -> Column:
-        return F.size(F.array_except(F.filter(col, lambda t: t.isNotNull()), vocabulary)) > 0
-
-    decisions = [F.col(f"`{recheck_field(t)}`")["recheck_decision"] for t in broad]
-    bad_decision = F.lit(False)
-    for d in decisions:
-        bad_decision = bad_decision | (d.isNotNull() & ~d.isin(*V.DECISIONS))
-    needed = [
-        "solution_index", "algorithm_scores", "primary_algorithm", *LIST_FIELDS, "is_composite",
-        "top_3_algorithms", "confidence", *TEXT_FIELDS, *[recheck_field(t) for t in broad],
-    ]
-    lacking = F.lit(False)
-    for name in needed:
-        lacking = lacking | F.col(f"`{name}`").isNull()
+    items = replies.withColumn("_reply", F.try_parse_json(strip_fence(F.col(reply))))
+    listed = F.try_variant_get("_reply", "$.solutions", "array<variant>")
+    read = items.select(
+        F.when(F.col("_reply").isNull() | listed.isNull(), 1).otherwise(0).alias("_bad"), F.posexplode_outer(listed).alias("_at", "_item")
+    ).select("_bad", F.coalesce("_at", F.lit(0)).alias("_at"), F.try_variant_get("_item", "$", "map<string,variant>").alias("f"))
+
+    def field(name: str) -> Column:
+        return F.try_element_at("f", F.lit(name))
+
+    def as_list(value: Column) -> Column:
+        return F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>"))
+
+    def as_map(value: Column) -> Column:
+        return F.try_variant_get(value, "$", "map<string,variant>")
+
+    def text(value: Column) -> Column:
+        return F.when(variant_kind(value) == "text", F.try_variant_get(value, "$", "string"))
+
+    allowed = F.array(*[F.lit(t) for t in tags])
+
+    def foreign(values: Column) -> Column:
+        """Texts that are no tags."""
+        return F.size(F.array_except(F.filter(F.transform(values, text), lambda t: t.isNotNull()), allowed)) > 0
+
+    def lacking(value: Column, names: Sequence[str]) -> Column:
+        return value.isNotNull() & (F.size(F.array_except(F.array(*[F.lit(n) for n in names]), F.map_keys(value))) > 0)
+
+    def not_a_number(v: Column) -> Column:
+        return ~variant_kind(v).isin("whole", "fraction")
+
+    def fraction(v: Column) -> Column:
+        return variant_kind(v) == "fraction"
+
+    def outside(v: Column) -> Column:
+        return ~not_a_number(v) & ~F.try_variant_get(v, "$", "double").between(0, 100)
+
+    def any_value(value: Column, rule) -> Column:
+        return F.coalesce(F.exists(F.map_values(value), rule), F.lit(False))
+
+    kinds = {
+        "solution_index": "whole", "algorithm_scores": "object", "primary_algorithm": "text", "is_composite": "flag",
+        "top_3_algorithms": "list", "confidence": "text", **{f: "list" for f in LIST_FIELDS}, **{f: "text" for f in TEXT_FIELDS},
+        **{recheck_field(t): "object" for t in broad},
+    }
+    missing, mistyped = F.lit(False), F.lit(False)
+    for name, kind in kinds.items():
+        missing = missing | field(name).isNull()
+        mistyped = mistyped | F.coalesce(variant_kind(field(name)) != kind, F.lit(False))
+    scores, tops = as_map(field("algorithm_scores")), as_list(field("top_3_algorithms"))
+    blocks = {t: as_map(field(recheck_field(t))) for t in broad}
+    given = {t: as_map(F.try_element_at(b, F.lit("candidate_scores"))) for t, b in blocks.items()}
+
+    def any_block(rule) -> Column:
+        out = F.lit(False)
+        for t in broad:
+            out = out | F.coalesce(rule(t), F.lit(False))
+        return out
+
+    def listed_in(value: Column, choices: Sequence[str]) -> Column:
+        return F.coalesce(~text(value).isin(*choices), F.lit(False))
+
+    def score_of(entry: Column) -> Column:
+        return F.try_variant_get(entry, "$.score", "variant")
+
+    def candidates(rule):
+        def held(t: str) -> Column:
+            return F.exists(F.map_entries(given[t]), lambda e: e["key"].isin(*broad[t]) & rule(e["value"]))
+
+        return any_block(held)
+
     item_rules = {
-        "score_range": F.exists(scores, lambda v: ~loose_int(v).between(0, 100)),
-        "tag_vocabulary": unknown(F.map_keys("algorithm_scores")) | unknown(F.array("primary_algorithm"))
-        | unknown(F.col("secondary_algorithms")) | unknown(F.col("composite_algorithm")),
-        "top_three": n_top.isNull() | (n_top != 3),
-        "decision_list": bad_decision,
-        "confidence_list": F.col("confidence").isNotNull() & ~F.col("confidence").isin(*V.CONFIDENCE_LEVELS),
-        "fields_present": lacking,
-        "combination_size": F.size("composite_algorithm") > combination,
+        "field_missing": missing,
+        "field_type": mistyped,
+        "score_missing": lacking(scores, tags),
+        "score_type": any_value(scores, not_a_number),
+        "score_whole": any_value(scores, fraction),
+        "score_range": any_value(scores, outside),
+        "tag_vocabulary": (F.size(F.array_except(F.coalesce(F.map_keys(scores), F.array().cast("array<string>")), allowed)) > 0)
+        | foreign(F.array(field("primary_algorithm"))) | foreign(as_list(field("secondary_algorithms")))
+        | foreign(as_list(field("composite_algorithm"))),
+        "top_three_size": F.size(tops) != 3,
+        "top_three_tag": foreign(F.transform(tops, lambda e: F.try_variant_get(e, "$.tag", "variant"))),
+        "top_three_score": F.exists(tops, lambda e: F.coalesce(not_a_number(score_of(e)) | fraction(score_of(e)) | outside(score_of(e)), F.lit(True))),
+        "confidence_list": listed_in(field("confidence"), V.CONFIDENCE_LEVELS),
+        "combination_size": F.size(as_list(field("composite_algorithm"))) > combination,
+        "decision_list": any_block(lambda t: listed_in(F.try_element_at(blocks[t], F.lit("recheck_decision")), V.DECISIONS)),
+        "candidate_missing": any_block(lambda t: blocks[t].isNotNull() & F.coalesce(lacking(given[t], broad[t]), F.lit(True))),
+        "candidate_type": candidates(not_a_number),
+        "candidate_whole": candidates(fraction),
+        "candidate_range": candidates(outside),
+        "reason_missing": any_block(lambda t: blocks[t].isNotNull() & F.try_element_at(blocks[t], F.lit("recheck_reason")).isNull()),
     }
 
     def counted(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
@@ -180,4 +247,6 @@ def contract_check(
         pairs = F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("violations")) for n in rules])
         return one.select(F.inline(pairs))
 
-    return counted(items, item_rules).unionByName(counted(status, {"reply_length": ~F.col("ok")}))
+    here = F.col("f").isNotNull()
+    rules = {"unreadable": (F.col("_bad") == 1) & (F.col("_at") == 0), **{n: here & c for n, c in item_rules.items()}}
+    return counted(read, rules).unionByName(counted(status, {"reply_length": ~F.col("ok")}))

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -59,6 +60,28 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes that a block of a range partitioning should hold at most, as far as Spark can tell.
+BLOCK_BYTES = 256 << 20
+
+
+def input_bytes(df: DataFrame) -> int:
+    """The bytes of the tables a plan reads, as Spark's statistics have them after columns are pruned."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(size for size in sizes if size < 1 << 62)  # Spark's word for unknown is the largest long
+
+
+def ranged(df: DataFrame, *keys: str, block_bytes: int | None = None) -> DataFrame:
+    """Partitions by ranges of the keys: as many as the session says, more where these would be too large.
+
+    The session's number does not grow with the data; that of large inputs follows their size.
+    """
+    needed = -(-input_bytes(df) // (block_bytes or BLOCK_BYTES))
+    if needed > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df.repartitionByRange(needed, *keys)
+    return df.repartitionByRange(*keys)
+
+
 def _file_system(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
@@ -78,3 +101,29 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that this library wrote."""
     at, files = _file_system(spark, path)
     files.delete(at, True)
+
+
+def files(spark: SparkSession, path: str) -> list[str]:
+    """The files right below a path, by name."""
+    at, system = _file_system(spark, path)
+    return sorted(s.getPath().toString() for s in system.listStatus(at) if s.isFile()) if system.exists(at) else []
+
+
+def create_note(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file; False if there is one already, which the store decides."""
+    at, system = _file_system(spark, path)
+    try:
+        out = system.create(at, False)
+    except Py4JJavaError as e:
+        if "AlreadyExists" in str(e.java_exception):
+            return False
+        raise
+    try:
+        out.write(text.encode())
+    finally:
+        out.close()
+    return True
+
+
+def read_note(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+
+from casetable.session import create_note, files, read_note, remove
 
 ROWS_PER_FILE = 2_000_000
 
@@ -35,27 +37,39 @@ def write_report(
     write_table(_fixed(recheck, recheck_columns), f"{path}/recheck")
 
 
-def _versions(spark: SparkSession, path: str) -> int:
-    try:
-        log = spark.read.schema("version bigint").parquet(f"{path}/versions")
-    except AnalysisException:
-        return 0
-    return log.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+class SnapshotConflict(Exception):
+    """Another writer published first."""
 
 
-def publish(df: DataFrame, path: str) -> int:
-    """Replace what readers see as a whole.
+def _versions(spark: SparkSession, path: str) -> dict[int, str]:
+    """The published versions and the folders of their rows."""
+    listed = {int(p.rsplit("/", 1)[1]): p for p in files(spark, f"{path}/versions") if p.rsplit("/", 1)[1].isdigit()}
+    return {n: read_note(spark, p) for n, p in listed.items()}
 
-    The rows go to a folder of their own; readers switch once its number is in ``versions``,
-    which is written last. A failed write is never seen. One writer at a time.
-    """
-    spark = df.sparkSession
-    version = _versions(spark, path) + 1
-    write_table(df, f"{path}/data-{version}")
-    # one number, known on the driver
-    spark.range(version, version + 1).toDF("version").coalesce(1).write.mode("append").parquet(f"{path}/versions")
-    return version
 
+def publish(df: DataFrame, path: str, keep: int = 2, based_on: int | None = None) -> int:
+    """Replace what readers see as a whole; returns the number of the new version.
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/data-{_versions(spark, path)}")
+    The rows go to a folder of their own. A small file named after the version then makes them seen; it is
+    only created if there is none, so of two writers that start from one version the second gets a
+    ``SnapshotConflict`` and its rows are removed. ``based_on`` is the version the rows were made from, the
+    newest at the start by default. A failed write is never seen. The last ``keep`` versions stay.
+    """
+    spark = df.sparkSession
+    before = max(_versions(spark, path), default=0) if based_on is None else based_on
+    folder = f"data-{uuid.uuid4().hex}"
+    write_table(df, f"{path}/{folder}")
+    if not create_note(spark, f"{path}/versions/{before + 1}", folder):
+        remove(spark, f"{path}/{folder}")
+        raise SnapshotConflict(f"version {before + 1} of {path} is there already")
+    for number, old in _versions(spark, path).items():
+        if number <= before + 1 - keep:
+            remove(spark, f"{path}/versions/{number}")
+            remove(spark, f"{path}/{old}")
+    return before + 1
+
+
+def read_snapshot(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The newest version, or one that is still kept."""
+    known = _versions(spark, path)
+    return spark.read.parquet(f"{path}/{known[max(known) if version is None else version]}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +82,33 @@ def test_replacements_run_in_order(one):
     assert one(cells, "string", lambda c: T.replace_words(c, words)) == ["bar codes éclair", "écode bar", "$1\\ abc $1\\", None, "code_1 bar-1"]
 
 
+def test_one_pass_equals_one_word_after_the_other(spark):
+    rng = random.Random(3)
+    words = {"the": "a cat", "cat": "dog", "dog": "the", "é": "e", "x1": "", "un_der": "und-er", "er": "$1 \\\\", "Über": "über"}
+    pieces = list(words) + [" ", "  ", "-", ".", "\n", "cats", "_", "9", "ü", "日本", "'", "THE"]
+    cells = ["".join(rng.choice(pieces) for _ in range(rng.randrange(30))) for _ in range(300)] + ["", None]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string")
+    assert T.closed_words(words) is not None
+    slow = F.col("c")
+    for old, new in words.items():
+        slow = T.let(slow, T._replace_word(old, new))
+    got = df.select("i", T.replace_words(F.col("c"), words).alias("got"), slow.alias("want")).collect()
+    assert all(r.got == r.want for r in got)
+    assert T.closed_words({"the": "a cat", "cat": "dog"}) == {"the": "a dog", "cat": "dog"} and T.closed_words({"a b": "c"}) is None
+
+
+def test_a_large_dictionary_costs_no_more(spark):
+    words = {f"w{i}": f"v{i}" for i in range(3000)}
+    df = spark.createDataFrame([("w1 w2999 w3000 x",)], "c string")
+    assert df.select(T.replace_words(F.col("c"), words)).first()[0] == "v1 v2999 w3000 x"
+
+
+def test_variant_kinds(one):
+    cells = ['{"a":1}', "[1]", '"5"', "true", "null", "5", "5.0", "5.5", "1e3", None]
+    want = ["object", "list", "text", "flag", "null", "whole", "whole", "fraction", "whole", None]
+    assert one(cells, "string", lambda c: J.variant_kind(F.try_parse_json(c))) == want
+
+
 def test_override_of_single_ids(spark):
     from casetable.operators.cleaning import replace_literals
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from casetable.sources import sinks, tables as S
 
@@ -49,14 +50,42 @@ def test_snapshot_is_replaced_as_a_whole(spark, tmp_path):
     path = str(tmp_path / "snap")
     assert sinks.publish(spark.range(5), path) == 1
     seen = sinks.read_snapshot(spark, path)
-    sinks.write_table(spark.range(99), f"{path}/data-2")  # a write that never finished
+    sinks.write_table(spark.range(99), f"{path}/data-unfinished")  # a write that never finished
     assert sinks.read_snapshot(spark, path).count() == 5
     assert sinks.publish(spark.range(3), path) == 2
     assert sinks.read_snapshot(spark, path).count() == 3 and seen.count() == 5
+    assert sinks.read_snapshot(spark, path, 1).count() == 5
     with pytest.raises(ValueError):
         sinks.write_table(spark.range(1), path, fmt="xlsx")
 
 
+def test_of_two_writers_one_wins_and_the_other_is_told(spark, tmp_path):
+    path = str(tmp_path / "snap")
+    base = sinks.publish(spark.range(5), path)
+    assert sinks.publish(spark.range(6), path, based_on=base) == 2
+    with pytest.raises(sinks.SnapshotConflict):
+        sinks.publish(spark.range(7), path, based_on=base)
+    assert sinks.read_snapshot(spark, path).count() == 6
+    assert len([p for p in (tmp_path / "snap").iterdir() if p.name.startswith("data-")]) == 2  # the loser's rows are gone
+
+
+def test_old_snapshots_are_removed(spark, tmp_path):
+    path = str(tmp_path / "snap")
+    for n in range(1, 6):
+        assert sinks.publish(spark.range(n), path, keep=3) == n
+    kept = [p for p in (tmp_path / "snap").iterdir() if p.name.startswith("data-")]
+    assert len(kept) == 3 and [sinks.read_snapshot(spark, path, v).count() for v in (3, 4, 5)] == [3, 4, 5]
+    with pytest.raises(KeyError):
+        sinks.read_snapshot(spark, path, 2)
+
+
+def test_measures_are_taken_while_a_table_is_written(spark, tmp_path):
+    from casetable.operators.profile import write_counted
+
+    seen = write_counted(spark.range(10), str(tmp_path / "t"), even=F.count_if(F.col("id") % 2 == 0))
+    assert seen == {"rows": 10, "even": 5} and spark.read.parquet(str(tmp_path / "t")).count() == 10
+
+
 def test_report_has_fixed_columns(spark, tmp_path):
     sinks.write_report(spark.range(2), spark.range(1).toDF("k"), str(tmp_path), ["id", "absent"], ["k"])
     assert spark.read.parquet(f"{tmp_path}/scores").columns == ["id", "absent"]

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from casetable.drills import all_queries
 from casetable.drills.base import Tables
 from casetable.operators import joins, judge, keys as K, order as O
-from casetable.session import settle, shared_dir
+from casetable.session import input_bytes, ranged, settle, shared_dir
+from casetable.sources.tables import read_corpus
 
 SF = "/root/testdata/sf0.001"
 
@@ -138,13 +139,83 @@ def test_top_k_per_group_is_cut_before_the_shuffle(spark):
 
 
 def test_filters_and_columns_reach_the_scan(spark):
-    plan = all_queries()["A2_read_nested_parquet"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    corpus = read_corpus(spark, f"{SF}/documents.parquet", ["doc_id", "lang", "source", "n_chars", "absent"])
+    plan = corpus.where("lang = 'en' and n_chars > 1000")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(lang,en)" in plan and "GreaterThan(n_chars,1000)" in plan
     assert re.search(r"ReadSchema: struct<doc_id:bigint,lang:string,source:string,n_chars:bigint>", plan)
     plan = all_queries()["F5_all_pass"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in plan and "l_shipdate" not in plan
 
 
+@pytest.mark.parametrize("name", ["G2_dedup_first", "E4_overlay_update", "E5_overlay_replace", "E9_first_filled_rows", "E7_pair_runs"])
+def test_winners_are_found_by_hashing(spark, name):
+    """Rows are never sorted to aggregate them, however wide they are."""
+    plan = all_queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_copies_of_one_row_meet_in_parts(spark, tiny_limits):
+    """A third of all rows is one row; its copies are dealt over tasks, and one is left."""
+    rows = _hot_results(spark).select(
+        "problem_id", F.when(F.col("problem_id") == 0, 7).otherwise(F.col("testcase_order")).cast("bigint").alias("n"), F.lit("x" * 50).alias("t")
+    )
+    got = joins.first_rows(rows, ["problem_id"], "n")
+    assert got.count() == 500 and got.where("problem_id = 0").first().n == 7
+
+
+def test_the_grid_of_a_hot_problem_is_dealt_over_tasks(spark):
+    """One problem holds a third of both tables: 300 solutions and 400 cases of 900 and 1200."""
+
+    def table(n, order):
+        hot = F.col("id") % 3 == 0
+        return spark.range(n).select(F.when(hot, 0).otherwise(F.col("id") % 40 + 1).alias("problem_id"), F.col("id").alias(order))
+
+    sols, cases = table(900, "solution_order"), table(1200, "testcase_order")
+    want = sols.join(cases, "problem_id").orderBy("problem_id", "solution_order", "testcase_order").collect()
+    got = joins.execution_grid(sols, cases, block=50)
+    assert got.orderBy("problem_id", "solution_order", "testcase_order").collect() == want and len(want) > 120_000
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        parts = joins.execution_grid(sols, cases, block=50).where("problem_id = 0").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(k)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(parts) > 8 and max(r["count"] for r in parts) < 120_000 / 3
+    assert joins.execution_grid(sols.limit(0), cases).count() == 0
+
+
+@pytest.mark.parametrize("mega", [1, 4])
+def test_blocks_follow_the_size_of_the_input(spark, tmp_path, mega):
+    """The largest block holds a bounded number of bytes at either size."""
+    spark.range(mega * 100_000).select("id", F.md5(F.col("id").cast("string")).alias("t")).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    size = input_bytes(df)
+    block = 400_000
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        ranges = ranged(df, "id", block_bytes=block)
+        counts = [r["count"] for r in ranges.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert size > mega * 2_000_000 and len(counts) >= size // block
+    assert max(counts) * size / (mega * 100_000) < 2 * block
+    assert K.assign_ids(df, ["t"], "n").agg(F.max("n")).first()[0] == mega * 100_000
+
+
+def test_a_report_of_removed_rows_reads_its_table_once(spark):
+    plan = all_queries()["F30_dedup_report"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
+def test_a_histogram_reads_its_table_once(spark):
+    plan = all_queries()["F4_histogram_lines"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan  # the values are counted by then
+
+
 def test_cells_are_parsed_once(spark):
     plan = all_queries()["D3_explode_cases"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("from_json") == 2  # the JSON reading and the literal reading behind it

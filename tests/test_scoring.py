@@ -168,3 +168,57 @@ def test_compare_runs_plan(spark):
         assert {n: t.count() > 0 for n, t in tables.items()} == dict.fromkeys(tables, True)
     finally:
         pairs.unpersist()
+
+
+def good_item(index=1, tags=("A", "B", "C", "x"), broad=("A",)):
+    """An item that keeps every rule."""
+    held = {f: "told" for f in SC.TEXT_FIELDS}
+    return {
+        "solution_index": index, "algorithm_scores": {t: 50 for t in tags}, "primary_algorithm": "A", "secondary_algorithms": ["B"],
+        "is_composite": True, "composite_algorithm": ["A", "B"], "top_3_algorithms": [{"tag": t, "score": 100} for t in "ABC"],
+        "confidence": "LOW", **held,
+        **{SC.recheck_field(b): {"candidate_scores": {"x": 0}, "recheck_decision": "KEEP_ORIGINAL", "recheck_reason": ""} for b in broad},
+    }
+
+
+def broken(spark, *replies):
+    df = spark.createDataFrame([(str(i), r if isinstance(r, str) else json.dumps(r)) for i, r in enumerate(replies)], "chunk_id string, reply string")
+    status = spark.createDataFrame([("0", True), ("1", False)], "chunk_id string, ok boolean")
+    got = {r.rule: r.violations for r in SC.contract_check(df, status, ["A", "B", "C", "x"], {"A": ["x"]}).collect()}
+    assert got.pop("reply_length") == 1
+    return {rule: n for rule, n in got.items() if n}
+
+
+def test_a_reply_that_keeps_the_contract(spark):
+    assert broken(spark, {"solutions": [good_item(), good_item(2)]}, {"solutions": []}) == {}
+
+
+def test_each_rule_of_the_contract(spark):
+    def changed(**fields):
+        item = good_item()
+        for name, value in fields.items():
+            if value is None:
+                del item[name]
+            else:
+                item[name] = value
+        return {"solutions": [item]}
+
+    scores = {"A": 1, "B": 2, "C": 3, "x": 4}
+    block = good_item()["a_recheck"]
+    cases = {
+        "field_missing": changed(confidence=None), "field_type": changed(solution_index="1"), "score_missing": changed(algorithm_scores={"A": 1, "B": 1, "C": 1}),
+        "score_type": changed(algorithm_scores={**scores, "A": "1"}), "score_whole": changed(algorithm_scores={**scores, "A": 1.5}),
+        "score_range": changed(algorithm_scores={**scores, "A": 101}), "tag_vocabulary": changed(secondary_algorithms=["Z"]),
+        "top_three_size": changed(top_3_algorithms=[{"tag": "A", "score": 1}] * 2), "top_three_tag": changed(top_3_algorithms=[{"tag": t, "score": 1} for t in "ABZ"]),
+        "top_three_score": changed(top_3_algorithms=[{"tag": "A"}, {"tag": "B", "score": 1}, {"tag": "C", "score": 1}]),
+        "confidence_list": changed(confidence="SURE"), "combination_size": changed(composite_algorithm=["A", "B", "C"]),
+        "decision_list": changed(a_recheck={**block, "recheck_decision": "MAYBE"}), "candidate_missing": changed(a_recheck={**block, "candidate_scores": {}}),
+        "candidate_type": changed(a_recheck={**block, "candidate_scores": {"x": "5"}}), "candidate_whole": changed(a_recheck={**block, "candidate_scores": {"x": 5.5}}),
+        "candidate_range": changed(a_recheck={**block, "candidate_scores": {"x": -1}}),
+        "reason_missing": changed(a_recheck={k: v for k, v in block.items() if k != "recheck_reason"}),
+    }
+    found = broken(spark, *cases.values())
+    assert found == {rule: 1 for rule in cases}
+    assert broken(spark, "{cut", "[1]", "5", '{"solutions": 7}') == {"unreadable": 4}
+    assert broken(spark, changed(algorithm_scores={**scores, "Q": 1})) == {"tag_vocabulary": 1}
+    assert broken(spark, {"solutions": [1, None, good_item()]}) == {}  # items that are no objects count by length only

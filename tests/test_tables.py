@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,9 +208,55 @@ def test_scatter(spark):
 
 def test_sample_k_and_review(spark):
     df = spark.range(50)
-    picked = [r.picked for r in Q.sample_k(df, list("abcdef"), 3, 1, "id").collect()]
+    items = spark.createDataFrame([(x,) for x in "abcdef"] + [("a",), (None,)], "item string")
+    picked = [r.picked for r in Q.sample_k(df, items, 3, 1, "id", "item").collect()]
     assert all(len(set(p)) == 3 for p in picked) and len({tuple(p) for p in picked}) > 10
+    again = {r.id: r.picked for r in Q.sample_k(df.repartition(7), items, 3, 1, "id", "item").collect()}
+    assert again == {r.id: r.picked for r in Q.sample_k(df, items, 3, 1, "id", "item").collect()}
+    assert all(sorted(r.picked) == list("abcdef") for r in Q.sample_k(df, items, 9, 1, "id", "item").collect())  # all there are
+    assert {tuple(r.picked) for r in Q.sample_k(df, items.limit(0), 3, 1, "id", "item").collect()} == {()}
+    keyless = spark.createDataFrame([(None, 1), (4, 2), (4, 3)], "id long, x int")
+    got = {r.x: r.picked for r in Q.sample_k(keyless, items, 2, 1, "id", "item").collect()}
+    assert got[1] == [] and got[2] == got[3] and len(got[2]) == 2
+    counts = Counter(x for r in Q.sample_k(spark.range(6000), items, 3, 1, "id", "item").collect() for x in r.picked)
+    assert all(2700 < n < 3300 for n in counts.values())  # every item is as likely
     cases = spark.createDataFrame([(1, i, "true" if i % 2 else None) for i in range(60)], "problem_id long, testcase_order int, range_validation string")
     problems = spark.createDataFrame([(1, "q")], "id long, question string")
     text, counts, shown = R.review_split(problems, cases, "1.0", k=15)
     assert text.count() == 1 and rows(counts, "state") == [("ERROR", 30), ("TRUE", 30)] and shown.count() == 30
+
+
+def test_winners_by_every_kind_of_order(spark):
+    data = [(1, 5, "2024-01-02", "2024-01-02 00:00:01", "a"), (1, -3, "2024-01-01", "2024-01-03 00:00:01", "b"), (1, None, None, None, "c"),
+            (None, 2, "2020-01-01", "2020-01-01 00:00:00", "d"), (None, 2, "2020-01-01", "2020-01-01 00:00:00", "d"), (2, None, None, None, "e"),
+            (3, 2**63 - 1, "2020-01-01", "2020-01-01 00:00:00", "f"), (3, -(2**63), "2020-01-02", "2020-01-01 00:00:01", "g")]
+    df = spark.createDataFrame(data, "k int, n long, d string, ts string, v string").withColumns({"d": F.col("d").cast("date"), "ts": F.col("ts").cast("timestamp")})
+
+    def won(order, last=False):
+        return {r.k: r.v for r in J.first_rows(df, ["k"], order, last).collect()}
+
+    assert won("n") == {1: "b", None: "d", 2: "e", 3: "g"} and won("n", True) == {1: "a", None: "d", 2: "e", 3: "f"}
+    assert won("d") == {1: "b", None: "d", 2: "e", 3: "f"} and won("ts", True) == {1: "b", None: "d", 2: "e", 3: "g"}
+    assert J.first_rows(df, ["k"], "n").count() == 4
+    tied = spark.createDataFrame([(1, 1, str(i)) for i in range(50)], "k int, n int, v string")
+    assert J.first_rows(tied, ["k"], "n").count() == 1
+    with pytest.raises(TypeError):
+        J.first_rows(df, ["k"], "v")
+
+
+def test_last_row_of_a_repeated_run_key_counts(spark):
+    a = spark.createDataFrame([("x", 1, "old"), ("x", 2, "new"), ("y", 1, "a")], "key string, row int, p string")
+    b = spark.createDataFrame([("x", 5, "b5"), ("x", 9, "b9"), ("z", 1, "c")], "key string, row int, p string")
+    assert rows(J.pair_runs(a, b, ["key"], "row")) == [("x", "new", "b9")]
+
+
+def test_an_index_given_twice_counts_once(spark):
+    requests = spark.createDataFrame([("c", 1), ("c", 2)], "chunk_id string, solution_index long")
+    items = spark.createDataFrame([("c", 0, "1", "first"), ("c", 1, "1", "again"), ("c", 2, "x", "?")], "chunk_id string, item_no int, solution_index string, t string")
+    got, status = J.align_reply(requests, items)
+    assert rows(got.select("solution_index", "t")) == [(1, "first")] and rows(status) == [("c", 2, 1, False)]
+
+
+def test_dedup_report_counts_null_keys(spark):
+    df = spark.createDataFrame([(1,), (1,), (None,), (None,), (2,)], "k int")
+    assert rows(P.dedup_report(df, ["k"])) == [(5, 3, 2)] and rows(P.dedup_report(df.limit(0), ["k"])) == [(0, 0, 0)]
