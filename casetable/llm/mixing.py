@@ -2,20 +2,21 @@
 
 A text is coded as its lower-cased words, one end byte after each word and one more end at the
 close. Every byte is a path of binary decisions in a Huffman tree (few decisions for common bytes),
-and each decision is predicted by several hashed-context predictors: the tree node alone with one,
-two and three bytes before it in the word, and with the whole word so far. A predictor's table
-holds how often each branch was taken in the training texts.
-
-Their predictions are mixed in the logistic domain by weights that a gate, the byte's place in
-the word, selects. The weights start equal and follow the coding error after every word, while the
-text is read; a last adaptive stage corrects the mixed probability by what has happened at about
-that probability so far. Both start anew every ``SEGMENT`` words, so segments of many texts are
-read side by side in one task. Before each decision the probabilities of its two branches add to 1,
-so a text's score is the log10 of a probability over all texts.
-
-Training counts come from the table of all training words with their counts. Texts are held as
-blocks of word numbers with a vocabulary of their own; the corpus counts of a block's words reach it
-by one join per word of the block, never per word of the text.
+and each decision is predicted by several hashed-context predictors: the tree node with two, three and
+five bytes before it in the word, with the word so far (past six bytes with the last four), and with
+three bytes, the place in the word and the word before, as far as that is a short one. A predictor's
+table holds how often each branch was taken in the training texts.
+
+Their predictions are mixed in the logistic domain by weights that a gate selects: whether two of
+the longer contexts were ever met, and whether a word begins. The weights follow the coding error every
+few words, all along the text; a last adaptive stage corrects the mixed probability by what has
+happened at about that probability so far. Before each decision the probabilities of its two branches
+add to 1, so a text's score is the log10 of a probability over all texts. Texts are read side by
+side in one task, each with weights of its own.
+
+Texts are held as blocks of word numbers with a vocabulary of their own. The corpus counts of a block's
+words reach it by one exchange of the block's distinct words, dealt by a hash into parts of bounded
+size, never of the words of the text.
 """
 
 from __future__ import annotations
@@ -31,25 +32,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casetable.llm.common import stored
-from casetable.operators.joins import join_spread
+from casetable.llm.spans import LOWER, as_binary, buffers, gathered, joined, runs
+from casetable.llm.words import text_slices
 
-#: Predictors and entries of each one's table.
-CONTEXTS = 4
-SLOT_BITS = 20
-#: Bytes of text in a block, and words in a segment.
+#: Predictors that see the word only, all predictors, and entries of each one's table.
+IN_WORD, CONTEXTS = 4, 5
+SLOT_BITS = 22
+#: Bytes of text in a block; of a long text all.
 BLOCK_BYTES = 4 << 20
-SEGMENT = 256
-#: Distinct words whose decisions are laid out at once.
-PORTION = 8192
-#: Segments read side by side.
-LANES = 2048
+#: Distinct words of all blocks in a part of the exchange.
+PART_WORDS = 500_000
+#: Bytes of blocks from which one task gathers its share of the tables, at least.
+TABLE_BYTES = 256 << 20
+#: Words laid out at once, words of a text between two updates of its weights, and texts read side by side.
+PORTION, STEP, LANES = 8192, 8, 512
 END = 0  # closes a word; also the only byte of the closing end
-#: Weights at the start of a segment, and how fast they and the corrections follow the error.
-START = np.array([0.0, 0.05, 0.15, 0.85], np.float32)
-RATE = np.float32(0.002)
-FIX_RATE = np.float32(0.005)
-GATES = 4
-BUCKETS = 8
+#: A word before with more bytes is any long word.
+SHORT = 4
+#: Weights at the start of a text, the same for every gate, in the order of the contexts; how fast they and the
+#: corrections follow the error.
+GATES, BUCKETS = 8, 8
+START = np.tile(np.array([0.0, 0.1, 0.4, 0.3, 0.4], np.float32), (GATES, 1))
+RATE, FIX_RATE = np.float32(0.003), np.float32(0.01)
+#: Branches that a context is taken to have seen of each kind before any.
+PRIOR = 0.1
+#: Log odds are kept in steps of one part of so many.
+SHARP = 10
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -61,57 +72,119 @@ def held_out(doc_id: Column) -> Column:
 
 _BLOCK = pa.schema([
     ("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("n_words", pa.list_(pa.int64())),
-    ("words", pa.list_(pa.binary())), ("train", pa.list_(pa.int64())), ("numbers", pa.binary()),
+    ("words", pa.binary()), ("lengths", pa.binary()), ("train", pa.binary()), ("numbers", pa.binary()), ("n_distinct", pa.int64()),
 ])
 _BLOCK_DDL = (
-    "block long, doc_id array<long>, held array<boolean>, n_words array<long>, words array<binary>, train array<long>, "
-    "numbers binary"
+    "block long, doc_id array<long>, held array<boolean>, n_words array<long>, words binary, lengths binary, train binary, "
+    "numbers binary, n_distinct long"
 )
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32 as compressed bytes."""
+    return pa.compress(numbers.astype("<u4").tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), "<u4").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
 def word_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Texts as blocks: per text its number of words, per block its distinct words, their counts in
-    training texts, and all words as numbers into that list. A long text is a block of its own."""
+    """Texts as blocks: per text its number of words, per block its distinct words one after the other with their
+    lengths, their counts in training texts, and all words as numbers into that list."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     rows = rows.select("id", held_out(F.col("id")).alias("held"), "text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
-        ids, held, sizes, numbers, places, size = [], [], [], [], {}, 0
-
-        def out():
-            words = list(places)
-            counts = np.zeros(len(words) + 1, np.int64)
-            for part, is_held in zip(numbers, held):
-                if not is_held:
-                    np.add.at(counts, part, 1)
-            flat = np.concatenate(numbers) if numbers else np.zeros(0, np.uint32)
-            return pa.RecordBatch.from_arrays([
-                pa.array([v], f.type) for v, f in zip(
-                    (number, ids, held, sizes, words, counts[:-1].tolist(), flat.astype("<u4").tobytes()), _BLOCK
-                )
-            ], schema=_BLOCK)
-
         for batch in batches:
-            for i in range(batch.num_rows):
-                text = batch.column(2)[i].as_py() or ""
-                words = text.encode().lower().split()
-                ids.append(batch.column(0)[i].as_py())
-                held.append(batch.column(1)[i].as_py())
-                sizes.append(len(words))
-                add = places.setdefault
-                numbers.append(np.array([add(w, len(places)) for w in words], np.uint32))
-                size += len(text)
-                if size >= block_bytes:
-                    yield out()
-                    number += 1
-                    ids, held, sizes, numbers, places, size = [], [], [], [], {}, 0
-        if ids:
-            yield out()
+            at = 0
+            for part in text_slices(batch.column(2), block_bytes):
+                raw, offsets = buffers(part)
+                start, stop, first = runs(raw, offsets, ~_SPACE)
+                place, bounds = gathered(raw, start, stop)
+                coded = as_binary(LOWER[raw[place]], bounds).dictionary_encode()
+                words = coded.dictionary.cast(pa.large_binary())
+                ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
+                data = words.buffers()[2]
+                blob = data.to_pybytes()[ends[0]:ends[-1]] if len(words) and data is not None else b""
+                numbers, n_words = coded.indices.to_numpy().astype(np.int64), np.diff(first)
+                ids, held = batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part))
+                at += len(part)
+                told = np.repeat(~held.to_numpy(zero_copy_only=False).astype(bool), n_words)
+                train = np.bincount(numbers[told], minlength=len(words))
+                row = (number, ids.to_pylist(), held.to_pylist(), n_words.tolist(), blob, _packed(np.diff(ends)), _packed(train), _packed(numbers), len(words))
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _BLOCK)], schema=_BLOCK)
+                number += 1
 
     return rows.mapInArrow(build, _BLOCK_DDL)
 
 
+class Words:
+    """The distinct words of a block in one buffer."""
+
+    def __init__(self, blob: bytes, lengths: np.ndarray):
+        self.data, self.ends = np.frombuffer(blob, np.uint8), np.concatenate([[0], np.cumsum(lengths)])
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def part_of(self, parts: int) -> np.ndarray:
+        """The part of the exchange that each word belongs to, from its bytes."""
+        if not len(self):
+            return np.zeros(0, np.int64)
+        at = np.arange(len(self.data)) - np.repeat(self.ends[:-1], np.diff(self.ends))
+        mixed = (self.data.astype(np.uint64) + np.uint64(1)) * ((at.astype(np.uint64) * np.uint64(2) + np.uint64(1)) * _MIX)
+        total = np.add.reduceat(mixed ^ (mixed >> np.uint64(31)), self.ends[:-1]) * np.uint64(0xD6E8FEB86659FD93)
+        return ((total >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+
+
+# ---------------------------------------------------------------- corpus counts of a block's words
+
+
+def corpus_counts(blocks: DataFrame, parts: int) -> DataFrame:
+    """``block, part, counts, distinct, total``: how often each word of a block that belongs to a part comes in
+    all training texts, in the block's order; the last two, once a part, are its training words."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, blob, lengths, train, n in zip(*(c.to_pylist() for c in batch.columns)):
+                words = Words(blob, _unpacked(lengths, n))
+                train, part = _unpacked(train, n), words.part_of(parts)
+                order = np.argsort(part, kind="stable")
+                cuts = np.searchsorted(part[order], np.arange(parts + 1))
+                rows = []
+                for p in np.flatnonzero(np.diff(cuts)):
+                    some = order[cuts[p]:cuts[p + 1]]
+                    place, bounds = gathered(words.data, words.ends[some], words.ends[some + 1])
+                    rows.append((int(p), block, words.data[place].tobytes(), _packed(np.diff(bounds)), _packed(train[some]), len(some)))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()))
+                    ], ["part", "block", "words", "lengths", "train", "n"])
+
+    def count(group: pa.Table) -> pa.Table:
+        sizes = group["n"].to_pylist()
+        lengths = np.concatenate([_unpacked(x, n) for x, n in zip(group["lengths"].to_pylist(), sizes)])
+        train = np.concatenate([_unpacked(x, n) for x, n in zip(group["train"].to_pylist(), sizes)])
+        data = np.frombuffer(b"".join(group["words"].to_pylist()), np.uint8)
+        codes = as_binary(data, np.concatenate([[0], np.cumsum(lengths)])).dictionary_encode().indices.to_numpy()
+        total = np.zeros(codes.max(initial=-1) + 1, np.int64)
+        np.add.at(total, codes, train)
+        known, cuts = total[codes], np.cumsum([0, *sizes])
+        first = np.arange(len(sizes)) == 0
+        return pa.table({
+            "block": group["block"], "part": group["part"],
+            "counts": pa.array([known[a:b].astype("<i8").tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
+            "distinct": pa.array(np.where(first, (total > 0).sum(), 0)), "total": pa.array(np.where(first, total.sum(), 0)),
+        })
+
+    sent = blocks.select("block", "words", "lengths", "train", "n_distinct").mapInArrow(
+        send, "part long, block long, words binary, lengths binary, train binary, n long"
+    )
+    return sent.groupBy("part").applyInArrow(count, "block long, part long, counts binary, distinct long, total long")
+
+
 # ---------------------------------------------------------------- the decision tree of bytes
 
 
@@ -130,20 +203,33 @@ def byte_tree(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         node += 1
     flat = [step for path in paths for step in reversed(path)]
     starts = np.concatenate([[0], np.cumsum([len(p) for p in paths])])
-    return starts, np.array([n for n, _ in flat], np.uint64), np.array([b for _, b in flat], np.float32)
+    return starts, np.array([n for n, _ in flat], np.uint64), np.array([b for _, b in flat], bool)
 
 
 class Decisions:
-    """The decisions of a list of words, word after word: context slots, branches and gates."""
-
-    def __init__(self, words: list[bytes], tree, slot_bits: int = SLOT_BITS):
+    """The decisions of a list of words, word after word: context slots, branches, whether the word begins, and what
+    the context of the word before is hashed with. ``whole`` tells short words apart."""
+
+    def __init__(self, words: Words, tree, slot_bits: int = SLOT_BITS):
+        parts = [self._portion(words, at, min(at + PORTION, len(words)), tree, slot_bits) for at in range(0, len(words), PORTION)]
+        kinds = (np.int64, bool, bool, np.uint32, np.uint32, np.int64)
+        self.slots = [joined([p[0][k] for p in parts], np.uint32) for k in range(IN_WORD)]
+        self.branch, self.begins, self.base, self.whole, self.per_word = (joined([p[i] for p in parts], kinds[i]) for i in range(1, 6))
+        self.first = np.cumsum(self.per_word) - self.per_word
+
+    @staticmethod
+    def _portion(words: Words, begin: int, end: int, tree, slot_bits: int):
         starts, nodes, branches = tree
-        data = np.frombuffer(b"".join(w + bytes([END]) for w in words), np.uint8)
-        lengths = np.array([len(w) + 1 for w in words], np.int64)
-        first = np.repeat(np.cumsum(lengths) - lengths, lengths)
-        place = np.arange(len(data)) - first
-        back = [np.zeros(len(data), np.uint64)]
-        for k in (1, 2, 3):
+        ends = words.ends[begin:end + 1] - words.ends[begin]
+        lengths = np.diff(ends) + 1
+        last = np.cumsum(lengths) - 1
+        data = np.zeros(int(lengths.sum()), np.uint8)  # END is 0
+        inside = np.ones(len(data), bool)
+        inside[last] = False
+        data[inside] = words.data[words.ends[begin]:words.ends[end]]
+        place = np.arange(len(data)) - np.repeat(last + 1 - lengths, lengths)
+        back = []
+        for k in (1, 2, 3, 4, 5):
             before = np.zeros(len(data), np.uint64)
             before[k:] = data[:-k].astype(np.uint64) + np.uint64(1) if len(data) > k else 0
             before[place < k] = 0
@@ -151,236 +237,251 @@ class Decisions:
         so_far = np.zeros(len(data), np.uint64)
         at = np.flatnonzero(place == 1)
         while len(at):  # hash of the word so far, one byte further in each turn
-            so_far[at] = so_far[at - 1] * np.uint64(0x9E3779B97F4A7C15) + data[at - 1] + np.uint64(1)
+            so_far[at] = so_far[at - 1] * _MIX + data[at - 1] + np.uint64(1)
             at = at[at + 1 < len(data)] + 1
             at = at[place[at] > 1]
         m = np.uint64(0x100000001B3)
-        two = back[1] * m + back[2]
-        contexts = [back[1], two, two * m + back[3], so_far ^ (so_far >> np.uint64(29))]
+        two = back[0] * m + back[1]
+        three = two * m + back[2]
+        four = three * m + back[3]
+        far = np.where(place <= 6, so_far ^ (so_far >> np.uint64(29)), four ^ np.uint64(0x5BD1E995))
+        contexts = [two, three, four * m + back[4], far]
+        near = three * np.uint64(3) + np.minimum(place, 3).astype(np.uint64)
         steps = np.diff(starts)[data]
-        self.per_word = np.add.reduceat(steps, np.cumsum(lengths) - lengths) if len(words) else np.zeros(0, np.int64)
         rep = np.repeat(np.arange(len(data)), steps)
-        within = np.arange(len(rep)) - np.repeat(np.cumsum(steps) - steps, steps)
-        where = starts[data][rep] + within
-        self.branch = branches[where]
-        self.gate = np.minimum(place, GATES - 1).astype(np.int8)[rep]
+        where = starts[data][rep] + np.arange(len(rep)) - np.repeat(np.cumsum(steps) - steps, steps)
         node = nodes[where]
         shift = np.uint64(64 - slot_bits)
-        self.slots = [
+        slots = [
             (((c[rep] + np.uint64(k + 1)) * np.uint64(0xD6E8FEB86659FD93) + node * np.uint64(0xA0761D6478BD642F)
-              ^ (c[rep] << np.uint64(17))) * np.uint64(0xE7037ED1A0B428DB) >> shift).astype(np.int64)
+              ^ (c[rep] << np.uint64(17))) * np.uint64(0xE7037ED1A0B428DB) >> shift).astype(np.uint32)
             for k, c in enumerate(contexts)
         ]
+        base = ((near[rep] * np.uint64(0xBF58476D1CE4E5B9) + node * np.uint64(0x94D049BB133111EB)) >> np.uint64(32)).astype(np.uint32)
+        whole = ((so_far[last] * np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(32)).astype(np.uint32)
+        whole = np.where(lengths - 1 <= SHORT, whole, np.uint32(2))
+        return slots, branches[where], place[rep] == 0, base, whole, np.add.reduceat(steps, last + 1 - lengths)
+
+
+def with_before(base: np.ndarray, before: np.ndarray, slot_bits: int) -> np.ndarray:
+    """The slot of a decision with the word before."""
+    x = (base ^ (before * np.uint32(0x9E3779B1))) * np.uint32(0x85EBCA6B)
+    return ((x ^ (x >> np.uint32(15))) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - slot_bits)
+
+
+class Stream:
+    """The words of a block's texts in order, a closing end behind each text, and the word before each."""
+
+    def __init__(self, n_words: np.ndarray, numbers: np.ndarray, whole: np.ndarray):
+        self.sizes = n_words + 1
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.words = np.full(int(self.sizes.sum()), len(whole) - 1, np.int64)  # the empty word comes last
+        keep = np.ones(len(self.words), bool)
+        keep[self.begin + n_words] = False
+        self.words[keep] = numbers
+        self.before = np.zeros(len(self.words), np.uint32)
+        self.before[1:] = whole[self.words[:-1]]
+        self.before[self.begin] = 1
+
+
+def _laid_out(row: dict, tree, slot_bits: int) -> tuple[Words, Decisions, Stream]:
+    n = row["n_distinct"]
+    words = Words(row["words"], _unpacked(row["lengths"], n))
+    closed = Words(row["words"], np.append(np.diff(words.ends), 0))  # and the empty word
+    decisions = Decisions(closed, tree, slot_bits)
+    n_words = np.array(row["n_words"], np.int64)
+    return words, decisions, Stream(n_words, _unpacked(row["numbers"], int(n_words.sum())), decisions.whole)
+
+
+def _expand(words: np.ndarray, decisions: Decisions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the decisions of some words stand, the word of each, and where each word's decisions begin."""
+    count = decisions.per_word[words]
+    begins = np.cumsum(count) - count
+    row = np.repeat(np.arange(len(words)), count)
+    return np.arange(len(row)) + np.repeat(decisions.first[words] - begins, count), row, begins
 
 
 # ---------------------------------------------------------------- training
 
 
-def byte_counts(counts: DataFrame) -> np.ndarray:
-    """How often each byte comes in the training words; 256 numbers."""
-    schema = "byte int, n long"
+def byte_counts(blocks: DataFrame) -> np.ndarray:
+    """How often each byte comes in the training texts; 256 numbers."""
 
-    def tally(batches):
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(256)
         for batch in batches:
-            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
-            if words:
-                data = np.frombuffer(b"".join(words), np.uint8)
-                total += np.bincount(data, np.repeat(n, [len(w) for w in words]), 256)
-                total[END] += n.sum()
+            for blob, lengths, train, n, held in zip(*(c.to_pylist() for c in batch.columns)):
+                train = _unpacked(train, n)
+                total += np.bincount(np.frombuffer(blob, np.uint8), np.repeat(train, _unpacked(lengths, n)), 256)
+                total[END] += train.sum() + len(held) - sum(held)
         yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(total.astype(np.int64))], ["byte", "n"])
 
-    rows = counts.select("word", "n").mapInArrow(tally, schema).groupBy("byte").agg(F.sum("n").alias("n")).collect()
+    rows = blocks.select("words", "lengths", "train", "n_distinct", "held").mapInArrow(tally, "byte int, n long")
     out = np.zeros(256)
-    for r in rows:
+    for r in rows.groupBy("byte").agg(F.sum("n").alias("n")).collect():
         out[r.byte] = r.n
     return out
 
 
-def train_tables(counts: DataFrame, n_texts: int, tree, slot_bits: int = SLOT_BITS) -> np.ndarray:
-    """The predictors' tables: for each context and slot the log odds of the second branch.
+def add_block(total: np.ndarray, row: dict, tree, slot_bits: int) -> None:
+    """Count the branches of a block's training texts in ``total[context, 2 * slot + branch]``."""
+    _, d, stream = _laid_out(row, tree, slot_bits)
+    told = ~np.array(row["held"], bool)
+    train = np.append(_unpacked(row["train"], row["n_distinct"]), told.sum())
+    weight = np.repeat(train, d.per_word).astype(total.dtype)
+    for k in range(IN_WORD):
+        np.add.at(total[k], d.slots[k].astype(np.int64) * 2 + d.branch, weight)
+    tokens = np.flatnonzero(np.repeat(told, stream.sizes))
+    for at in range(0, len(tokens), 8 * PORTION):
+        some = tokens[at:at + 8 * PORTION]
+        where, word, _ = _expand(stream.words[some], d)
+        slot = with_before(d.base[where], stream.before[some][word], slot_bits)
+        np.add.at(total[IN_WORD], slot.astype(np.int64) * 2 + d.branch[where], total.dtype.type(1))
 
-    Tables have a fixed size, so their sum over tasks can meet on the driver.
+
+def train_tables(blocks: DataFrame, tree, size: int, slot_bits: int = SLOT_BITS) -> np.ndarray:
+    """The predictors' tables: for each context and slot the log odds of the second branch, 0 where never met.
+
+    Tables have a fixed size, so their sum over tasks can meet on the driver; a task gathers from blocks of
+    ``TABLE_BYTES`` or more, so that what is sent stays a small part of the input.
     """
-    width = 1 << slot_bits
-    part = 1 << 12
+    width, part = 2 << slot_bits, 1 << 14
+    part = min(part, width)
+    tasks = max(blocks.sparkSession.sparkContext.defaultParallelism, -(-size // TABLE_BYTES))
 
-    def tally(batches):
-        total = np.zeros((CONTEXTS, 2, width))
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((CONTEXTS, width), np.uint32)
         for batch in batches:
-            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
-            for at in range(0, len(words), PORTION):
-                _add(total, words[at:at + PORTION], n[at:at + PORTION].astype(float), tree, slot_bits)
+            for row in batch.to_pylist():
+                add_block(total, row, tree, slot_bits)
         flat = total.reshape(-1, part)
         used = np.flatnonzero(flat.any(axis=1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used.astype(np.int64)), pa.array([flat[i].astype("<f8").tobytes() for i in used], pa.binary())], ["part", "n"]
-        )
+        for at in range(0, len(used), 64):
+            some = used[at:at + 64]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([_packed(flat[i]) for i in some], pa.binary())], ["part", "n"])
 
     def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b, "<f8") for b in group["n"].to_pylist())
-        return pa.table({"part": group["part"][:1], "n": pa.array([total.tobytes()], pa.binary())})
+        total = sum(_unpacked(b, part) for b in group["n"].to_pylist()).reshape(-1, 2)
+        odds = np.log((total[:, 1] + PRIOR) / (total[:, 0] + PRIOR))
+        sharp = np.clip(np.round(odds * SHARP), -127, 127).astype(np.int8)
+        return pa.table({"part": group["part"][:1], "odds": pa.array([sharp.tobytes()], pa.binary())})
 
-    parts = counts.select("word", "n").mapInArrow(tally, "part long, n binary").groupBy("part").applyInArrow(
-        add, "part long, n binary"
-    )
-    total = np.zeros((CONTEXTS * 2 * width // part, part))
-    for r in parts.toLocalIterator():
-        total[r.part] = np.frombuffer(bytes(r.n), "<f8")
-    total = total.reshape(CONTEXTS, 2, width)
-    _add(total, [b""], np.array([float(n_texts)]), tree, slot_bits)
-    odds = np.log((total[:, 1] + 0.4) / (total[:, 0] + 0.4))
-    return np.ascontiguousarray(np.clip(odds, -12, 12).astype(np.float32))
-
-
-def _add(total: np.ndarray, words: list[bytes], n: np.ndarray, tree, slot_bits: int) -> None:
-    if not words:
-        return
-    d = Decisions(words, tree, slot_bits)
-    weight = np.repeat(n, d.per_word)
-    taken = d.branch > 0.5
-    for k in range(CONTEXTS):
-        total[k, 1] += np.bincount(d.slots[k][taken], weight[taken], total.shape[2])
-        total[k, 0] += np.bincount(d.slots[k][~taken], weight[~taken], total.shape[2])
+    columns = ["held", "n_words", "words", "lengths", "train", "numbers", "n_distinct"]
+    sums = blocks.select(*columns).coalesce(tasks).mapInArrow(tally, "part long, n binary").groupBy("part").applyInArrow(add, "part long, odds binary")
+    out = np.zeros((CONTEXTS * width // part, part // 2), np.int8)
+    for r in sums.toLocalIterator():  # bounded by slot_bits
+        out[r.part] = np.frombuffer(bytes(r.odds), np.int8)
+    return out.reshape(CONTEXTS, width // 2)
 
 
 # ---------------------------------------------------------------- scoring
 
 
-def mix(
-    stream: np.ndarray, begin: np.ndarray, length: np.ndarray, first: np.ndarray, steps: np.ndarray, odds: np.ndarray,
-    branch: np.ndarray, gate: np.ndarray,
-) -> np.ndarray:
-    """Bits of each lane, a run of words in the stream; longest lanes come first.
+def mix(x: np.ndarray, taken: np.ndarray, row: np.ndarray, begins_word: np.ndarray, weights: np.ndarray, fixes: np.ndarray) -> np.ndarray:
+    """Bits of decisions, one after the other by lane, and then the lanes' weights and corrections after them.
 
-    ``first`` and ``steps`` say where a word's decisions stand in ``odds``, the predictors' log odds of
-    the second branch, in ``branch``, whether it is taken, and in ``gate``. What is known before a
-    decision gives the probability of the second branch; the first branch has the rest of 1. The
-    weights and corrections of a lane follow after each word.
+    ``x`` holds the predictors' log odds of the second branch, ``taken`` whether it was taken. What is known
+    before gives the probability of the second branch; the first branch has the rest of 1.
     """
-    n = len(begin)
-    bits = np.zeros(n)
-    weights = np.tile(START, (n * GATES, 1))
-    fixes = np.zeros(n * BUCKETS, np.float32)
-    for column in range(int(length.max(initial=0))):
-        alive = int(np.searchsorted(-length, -column, "left"))
-        words = stream[begin[:alive] + column]
-        count = steps[words]
-        begins = np.cumsum(count) - count
-        row = np.repeat(np.arange(alive), count)
-        at = np.arange(len(row)) + np.repeat(first[words] - begins, count)
-        x, taken = odds.take(at, axis=0), branch.take(at)
-        key = row * GATES + gate.take(at)
-        z = np.einsum("ij,ij->i", x, weights.take(key, axis=0))
-        spot = row * BUCKETS + np.clip(z + np.float32(BUCKETS / 2), 0, BUCKETS - 1).astype(np.int64)
-        z = np.clip(z + fixes.take(spot), -14, 14)
-        e = np.exp(-z)
-        # taken: log2(1 + e); not taken: the same with z added, as 1 - 1 / (1 + e) = e / (1 + e)
-        bits[:alive] += np.add.reduceat(np.log1p(e) + np.where(taken, 0, z), begins)
-        error = taken - 1 / (1 + e)
-        runs = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
-        weights[key[runs]] += RATE * np.add.reduceat(error[:, None] * x, runs, axis=0)
-        fixes[:alive * BUCKETS] += FIX_RATE * np.bincount(spot, error, alive * BUCKETS).astype(np.float32)
-    return bits / math.log(2)
-
-
-def score_block(
-    n_words: np.ndarray, numbers: np.ndarray, words: list[bytes], tables: np.ndarray, tree, segment: int | None = SEGMENT
-) -> np.ndarray:
+    n = len(weights) // GATES
+    key = row * GATES + begins_word * 4 + (x[:, 2] != 0) * 2 + (x[:, 3] != 0)
+    z = np.einsum("ij,ij->i", x, weights.take(key, axis=0))
+    spot = row * BUCKETS + np.clip(z + np.float32(BUCKETS / 2), 0, BUCKETS - 1).astype(np.int64)
+    z = np.clip(z + fixes.take(spot), -14, 14)
+    e = np.exp(-z)
+    # taken: log(1 + e); not taken: the same with z added, as 1 - 1 / (1 + e) = e / (1 + e)
+    bits = np.log1p(e) + np.where(taken, 0, z)
+    error = (taken - 1 / (1 + e)).astype(np.float32)
+    for k in range(CONTEXTS):
+        weights[:, k] += RATE * np.bincount(key, error * x[:, k], n * GATES).astype(np.float32)
+    fixes += FIX_RATE * np.bincount(spot, error, n * BUCKETS).astype(np.float32)
+    return bits
+
+
+def score_texts(stream: Stream, d: Decisions, tables: np.ndarray, step: int = STEP) -> np.ndarray:
     """Bits of each text of a block, the end included."""
-    odds, branch, gate, steps = [], [], [], []
-    for at in range(0, len(words) + 1, PORTION):
-        d = Decisions((words + [b""])[at:at + PORTION], tree, tables.shape[1].bit_length() - 1)
-        odds.append(np.stack([tables[k][d.slots[k]] for k in range(CONTEXTS)], axis=1))
-        branch.append(d.branch > 0.5)
-        gate.append(d.gate)
-        steps.append(d.per_word)
-    odds, branch, gate, steps = map(np.concatenate, (odds, branch, gate, steps))
-    first = np.cumsum(steps) - steps
-    end = len(words)
-    sizes = n_words + 1
-    with_end = np.full(int(sizes.sum()), end, np.int64)
-    starts = np.cumsum(sizes) - sizes
-    keep = np.ones(len(with_end), bool)
-    keep[starts + n_words] = False
-    with_end[keep] = numbers
-    most = segment or int(sizes.max(initial=1))
-    parts = -(-sizes // most)
-    text_of = np.repeat(np.arange(len(sizes)), parts)
-    part = np.arange(len(text_of)) - np.repeat(np.cumsum(parts) - parts, parts)
-    begin = starts[text_of] + part * most
-    length = np.minimum(most, starts[text_of] + sizes[text_of] - begin)
-    order = np.argsort(-length, kind="stable")
-    total = np.zeros(len(sizes))
-    for at in range(0, len(order), LANES):
-        some = order[at:at + LANES]
-        np.add.at(total, text_of[some], mix(with_end, begin[some], length[some], first, steps, odds, branch, gate))
+    slot_bits = tables.shape[1].bit_length() - 1
+    odds = np.stack([tables[k].take(d.slots[k]) for k in range(IN_WORD)], axis=1) if len(d.branch) else np.zeros((0, IN_WORD), np.int8)
+    order = np.argsort(-stream.sizes, kind="stable")
+    total = np.zeros(len(stream.sizes))
+    for lane in range(0, len(order), LANES):
+        some = order[lane:lane + LANES]
+        begin, length = stream.begin[some], stream.sizes[some]
+        weights = np.tile(START, (len(some), 1))
+        fixes = np.zeros(len(some) * BUCKETS, np.float32)
+        bits = np.zeros(len(some))
+        for column in range(0, int(length[0]), step):
+            alive = int(np.searchsorted(-length, -column, "left"))  # the longest texts come first
+            count = np.minimum(length[:alive] - column, step)
+            of = np.repeat(np.arange(alive), count)
+            token = np.repeat(begin[:alive] + column - (np.cumsum(count) - count), count) + np.arange(len(of))
+            where, word, _ = _expand(stream.words[token], d)
+            x = np.empty((len(where), CONTEXTS), np.float32)
+            x[:, :IN_WORD] = odds.take(where, axis=0)
+            x[:, IN_WORD] = tables[IN_WORD].take(with_before(d.base.take(where), stream.before[token].take(word), slot_bits))
+            x *= np.float32(1 / SHARP)
+            row = of.take(word)
+            cost = mix(x, d.branch.take(where), row, d.begins.take(where), weights[:alive * GATES], fixes[:alive * BUCKETS])
+            bits[:alive] += np.bincount(row, cost, alive)
+        total[some] = bits / math.log(2)
     return total
 
 
 def score_documents(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES,
-    slot_bits: int = SLOT_BITS, segment: int | None = SEGMENT,
+    slot_bits: int = SLOT_BITS, step: int = STEP,
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte`` per row.
 
     Training texts are those with crc32(id as text) mod 7 other than 2; all are scored. Tokens are
-    the words, lower-cased in A-Z, and one end. The mixing weights start anew after ``segment`` words,
-    the same for texts of any length; None lets them follow through the whole text, at more cost. ``base_score`` is the add-one unigram log10
+    the words, lower-cased in A-Z, and one end. ``base_score`` is the add-one unigram log10
     probability, ``score`` that of the mixing model over the words with their ends. A null or
     empty text is the end alone. A null id counts as an empty text in the choice of training texts;
     repeated ids are rows of their own. Without training texts all counts are 0. An empty table gives
     no rows.
     """
     blocks = stored(word_blocks(docs, id_col, text_col, block_bytes), "blocks")
-    listed = blocks.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("at", "w")).select(
-        "block", "at", F.col("w.words").alias("word"), F.col("w.train").alias("n")
-    )
-    counts = stored(listed.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"), "counts")
-    words = counts.agg(F.count(F.lit(1)), F.sum("n")).first()
-    ends = blocks.select(F.explode("held").alias("held")).where("not held").count()
-    n_train = (words[1] or 0) + ends
-    n_distinct = words[0] + (1 if ends else 0)
-    tree = byte_tree(byte_counts(counts))
-    tables = train_tables(counts, ends, tree, slot_bits)
+    known = F.octet_length("words") + F.octet_length("lengths") + F.octet_length("train") + F.octet_length("numbers")
+    told = F.size("held") - F.size(F.filter("held", lambda x: x))
+    one = blocks.agg(F.sum("n_distinct").alias("words"), F.sum(known).alias("size"), F.sum(told).alias("ends")).first()
+    ends, parts = one.ends or 0, max(1, -(-(one.words or 0) // PART_WORDS))
+    counts = stored(corpus_counts(blocks, parts), "counts")
+    seen = counts.agg(F.sum("distinct").alias("words"), F.sum("total").alias("tokens")).first()
+    n_train, n_distinct = (seen.tokens or 0) + ends, (seen.words or 0) + (1 if ends else 0)
+    tree = byte_tree(byte_counts(blocks))
+    tables = train_tables(blocks, tree, one.size or 0, slot_bits)
     model = docs.sparkSession.sparkContext.broadcast((tables, tree))  # bounded by slot_bits
 
     # a block's words with their corpus counts; bounded by the block
-    known = join_spread(listed.select("block", "at", "word"), counts, ["word"]).groupBy("block").agg(
-        F.collect_list(F.struct("at", "n")).alias("known")
-    )
-    ready = blocks.join(known, "block", "left").select("doc_id", "held", "n_words", "words", "numbers", "known")
+    met = counts.groupBy("block").agg(F.collect_list(F.struct("part", "counts")).alias("known"))
+    ready = blocks.drop("train").join(met, "block", "left").drop("block")
     ddl = (
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, "
         "n_bytes long, bits_per_byte double"
     )
+    base = math.log10(n_train + n_distinct + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, tree = model.value
-        base = math.log10(n_train + n_distinct + 1)
         for batch in batches:
-            for i in range(batch.num_rows):
-                ids, held, n_words, words = (batch.column(c)[i].as_py() for c in range(4))
-                numbers = np.frombuffer(batch.column(4)[i].as_py(), "<u4").astype(np.int64)
-                corpus = np.zeros(len(words) + 1, np.int64)
-                known = batch.column(5)[i]
-                if known.is_valid and len(known.values):
-                    corpus[known.values.field("at").to_numpy()] = known.values.field("n").to_numpy()
-                n_words = np.array(n_words, np.int64)
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                words, decisions, stream = _laid_out(row, tree, slot_bits)
+                corpus, part = np.zeros(len(words) + 1, np.int64), words.part_of(parts)
+                for held in row["known"] or []:
+                    corpus[np.flatnonzero(part == held["part"])] = np.frombuffer(held["counts"], "<i8")
+                corpus[-1] = ends  # the empty word stands for the end
                 logs = np.log10(corpus + 1.0) - base
-                ends_at = np.cumsum(n_words)
-                per_known = np.concatenate([[0], np.cumsum(corpus[numbers] > 0)])
-                sizes = np.array([len(w) + 1 for w in words] + [1], np.int64)
-                per_size = np.concatenate([[0], np.cumsum(sizes[numbers])])
-                begins = ends_at - n_words
-                whole = np.array([math.fsum(logs[numbers[a:b]]) for a, b in zip(begins, ends_at)])
-                base_score = whole + (math.log10(ends + 1.0) - base)
-                bits = score_block(n_words, numbers, words, tables, tree, segment)
-                n_bytes = per_size[ends_at] - per_size[begins] + 1
+                stops = stream.begin + stream.sizes
+                tokens = stream.words
+                per_known = np.concatenate([[0], np.cumsum(corpus[tokens] > 0)])
+                per_size = np.concatenate([[0], np.cumsum(np.append(np.diff(words.ends), 0)[tokens] + 1)])
+                n_bytes = per_size[stops] - per_size[stream.begin]
+                bits = score_texts(stream, decisions, tables, step)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(n_words + 1),
-                    pa.array(per_known[ends_at] - per_known[begins] + int(ends > 0)),
-                    pa.array(np.full(len(ids), n_train, np.int64)), pa.array(base_score),
+                    pa.array(row["doc_id"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(stream.sizes),
+                    pa.array(per_known[stops] - per_known[stream.begin]), pa.array(np.full(len(bits), n_train, np.int64)),
+                    pa.array([math.fsum(logs[tokens[a:b]]) for a, b in zip(stream.begin, stops)]),
                     pa.array(-bits * math.log10(2)), pa.array(n_bytes), pa.array(bits / n_bytes),
                 ], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"])
 
