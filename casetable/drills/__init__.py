@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def _load() -> None:
     from casetable.drills import (  # noqa: F401
-        cell_drills, io_drills, join_drills, order_drills, run_drills, scoring_drills, table_drills,
+        cell_drills, io_drills, join_drills, order_drills, plan_drills, run_drills, scoring_drills, table_drills,
     )
 
 
