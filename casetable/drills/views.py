@@ -139,14 +139,22 @@ def pairs(t: Tables, size: str) -> DataFrame:
     tags = TAGS
     # a key has a row for each of its tags, so at most as many as there are tags
     scored = t.view(RUNS[size]).groupBy("key").agg(
-        *[F.map_from_entries(F.collect_list(F.struct("place", f"score{r}"))).alias(f"_{r}") for r in (1, 2)]
+        *[F.array_sort(F.collect_list(F.struct("place", F.col(f"score{r}").alias("score")))).alias(f"_{r}") for r in (1, 2)]
     )
 
-    def in_order(held):
-        places = F.sequence(F.lit(0), F.lit(len(tags) - 1))
-        return F.transform(places, lambda i: F.coalesce(F.try_element_at(held, i), F.lit(0).cast("bigint")))
+    def dense(held):
+        """The scores of all places; the entries are met in turn, as they are sorted by place."""
 
-    arrays = scored.select("key", *[in_order(F.col(f"_{r}")).alias(f"scores{r}") for r in (1, 2)])
+        def step(so_far, place):
+            entry = F.get(held, so_far["at"])
+            hit = F.coalesce(entry["place"] == place, F.lit(False))
+            score = F.when(hit, entry["score"]).otherwise(F.lit(0).cast("bigint"))
+            return F.struct(F.array_append(so_far["scores"], score).alias("scores"), (so_far["at"] + hit.cast("int")).alias("at"))
+
+        none = F.struct(F.array().cast("array<bigint>").alias("scores"), F.lit(0).alias("at"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(len(tags) - 1)), none, step)["scores"]
+
+    arrays = scored.select("key", *[dense(F.col(f"_{r}")).alias(f"scores{r}") for r in (1, 2)])
     tops = arrays.withColumns({f"_top{r}": first_highest(F.col(f"scores{r}"), tags) for r in (1, 2)})
     return tops.select(
         "key", "scores1", "scores2",

@@ -65,12 +65,10 @@ def score_gaps(a: Column, b: Column) -> Column:
 
 def first_highest(values: Column, tags: Sequence[str]) -> Column:
     """``struct(score, tag)`` of the highest value; the first of equals wins."""
-    ranked = F.transform(
-        values, lambda v, i: F.struct(v.alias("score"), (-i).alias("place"))
-    )
-    return let(
-        F.array_max(ranked),
-        lambda m: F.struct(
-            m["score"].alias("score"), F.get(tag_array(tags), -m["place"]).alias("tag")
-        ),
-    )
+
+    def pick(v: Column) -> Column:
+        return let(F.array_max(v), lambda m: F.struct(
+            m.alias("score"), F.get(tag_array(tags), (F.array_position(v, m) - 1).cast("int")).alias("tag")
+        ))
+
+    return let(values, pick)
