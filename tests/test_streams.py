@@ -7,6 +7,7 @@ import random
 import time
 
 import pytest
+from pyspark.errors import AnalysisException
 
 from casetable.operators.order import every_n_summary
 from casetable.sources.tables import LOG_SCHEMA, parse_log, read_log
@@ -36,6 +37,30 @@ def same_rows(got, want):
     return got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
 
 
+def until(condition, seconds=120):
+    """Wait for what a stream that goes on will bring about."""
+    end = time.time() + seconds
+    while not condition():
+        assert time.time() < end, "it did not come about"
+        time.sleep(0.5)
+
+
+def n_rows(spark, path):
+    try:
+        return spark.read.parquet(path).count()
+    except AnalysisException:
+        return 0
+
+
+@pytest.fixture(autouse=True)
+def one_state_partition(spark):
+    """Each partition of a state store takes a Python worker of its own in every batch."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def test_every_n_over_restarts_in_mid_group(spark, tmp_path):
     logs, out, state = tmp_path / "logs", str(tmp_path / "out"), str(tmp_path / "state")
     rnd = random.Random(1)
@@ -71,29 +96,27 @@ def test_a_stream_goes_on_until_it_is_stopped(spark, tmp_path):
     write(logs, "0", events(0, 15))
     query = S.stream_every_n(live(spark, logs), out, state, 5, trigger={"processingTime": "1 second"})
     try:
-        query.processAllAvailable()
+        until(lambda: n_rows(spark, out) == 2)
         assert query.isActive
         write(logs, "1", events(15, 40))
-        query.processAllAvailable()
+        until(lambda: n_rows(spark, out) == 7)
     finally:
         query.stop()
     assert same_rows(spark.read.parquet(out), every_n_summary(read_log(spark, str(logs)), 5))
 
 
 def test_a_finished_run_is_forgotten(spark, tmp_path):
-    """Behind the timer its positions begin anew; without one they go on."""
+    """Behind the timer its positions begin anew."""
     logs, out, state = tmp_path / "logs", str(tmp_path / "out"), str(tmp_path / "state")
     one = [e for e in events(0, 60) if e["run"] == "r1"]
     write(logs, "0", [*one[:7], {"event": "done", "run": "r1"}])
     query = S.stream_every_n(live(spark, logs), out, state, 5, trigger={"processingTime": "1 second"}, keep_ms=1)
     try:
-        query.processAllAvailable()
+        until(lambda: n_rows(spark, out) == 1)
         seen = query.lastProgress["batchId"]
-        until = time.time() + 60
-        while query.lastProgress["batchId"] < seen + 3 and time.time() < until:
-            time.sleep(0.5)
+        until(lambda: query.lastProgress["batchId"] >= seen + 3)
         write(logs, "1", one[7:12])
-        query.processAllAvailable()
+        until(lambda: n_rows(spark, out) == 2)
     finally:
         query.stop()
     assert sorted(r.done_so_far for r in spark.read.parquet(out).collect()) == [5, 5]
