@@ -84,7 +84,28 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("op9_jaccard_join")
+@query("op9_jaccard_join", r"""
+    with recursive t as (
+        select row_number() over () as row, doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+        from documents
+    ), s as (
+        select row, unnest(case when len(w) between 1 and 4 then [array_to_string(w, ' ')] else list_distinct(
+            list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end) as shingle from t
+    ), n as (
+        select row, count(*) as n from s group by row
+    ), p as (
+        select a.row as x, b.row as y, count(*) as shared from s a join s b on a.shingle = b.shingle and a.row < b.row group by all
+    ), l as (
+        select x, y from p join n a on a.row = x join n b on b.row = y where 100 * shared >= 80 * (a.n + b.n - shared)
+    ), e as (
+        select x, y from l union all select y, x from l
+    ), r(row, seen) as (
+        select row, row from t union select e.y, r.seen from r join e on e.x = r.row
+    )
+    select t.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(o.doc_id) as component_id
+    from t left join n using (row) join r on r.row = t.row join t o on o.row = r.seen group by t.row, t.doc_id
+""")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, folder, "documents"))
 
