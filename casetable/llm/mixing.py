@@ -7,8 +7,8 @@ five bytes before it in the word, with the word so far (past six bytes with the
 three bytes, the place in the word and the word before, as far as that is a short one. A predictor's
 table holds how often each branch was taken in the training texts.
 
-Their predictions are mixed in the logistic domain by weights that a gate selects: whether two of
-the longer contexts were ever met, and whether a word begins. The weights follow the coding error every
+Their predictions are mixed in the logistic domain by weights that a gate selects, whether a word
+begins. The weights follow the coding error every
 few words, all along the text; a last adaptive stage corrects the mixed probability by what has
 happened at about that probability so far. Before each decision the probabilities of its two branches
 add to 1, so a text's score is the log10 of a probability over all texts. Texts are read side by
@@ -45,15 +45,15 @@ PART_WORDS = 500_000
 #: Bytes of blocks from which one task gathers its share of the tables, at least.
 TABLE_BYTES = 256 << 20
 #: Words laid out at once, words of a text between two updates of its weights, and texts read side by side.
-PORTION, STEP, LANES = 8192, 8, 512
+PORTION, STEP, LANES = 8192, 16, 128
 END = 0  # closes a word; also the only byte of the closing end
 #: A word before with more bytes is any long word.
 SHORT = 4
 #: Weights at the start of a text, the same for every gate, in the order of the contexts; how fast they and the
 #: corrections follow the error.
-GATES, BUCKETS = 8, 8
-START = np.tile(np.array([0.0, 0.1, 0.4, 0.3, 0.4], np.float32), (GATES, 1))
-RATE, FIX_RATE = np.float32(0.003), np.float32(0.01)
+GATES, BUCKETS = 2, 8
+START = np.tile(np.array([[0.0], [0.1], [0.4], [0.3], [0.4]], np.float32), (1, GATES))
+RATE, FIX_RATE = np.float32(0.002), np.float32(0.01)
 #: Branches that a context is taken to have seen of each kind before any.
 PRIOR = 0.1
 #: Log odds are kept in steps of one part of so many.
@@ -331,12 +331,14 @@ def add_block(total: np.ndarray, row: dict, tree, slot_bits: int) -> None:
     weight = np.repeat(train, d.per_word).astype(total.dtype)
     for k in range(IN_WORD):
         np.add.at(total[k], d.slots[k].astype(np.int64) * 2 + d.branch, weight)
-    tokens = np.flatnonzero(np.repeat(told, stream.sizes))
-    for at in range(0, len(tokens), 8 * PORTION):
-        some = tokens[at:at + 8 * PORTION]
-        where, word, _ = _expand(stream.words[some], d)
-        slot = with_before(d.base[where], stream.before[some][word], slot_bits)
-        np.add.at(total[IN_WORD], slot.astype(np.int64) * 2 + d.branch[where], total.dtype.type(1))
+    tokens = np.repeat(told, stream.sizes)
+    n = len(d.whole)
+    pair, times = np.unique(stream.before[tokens].astype(np.int64) * n + stream.words[tokens], return_counts=True)
+    for at in range(0, len(pair), PORTION):
+        before, words = np.divmod(pair[at:at + PORTION], n)
+        where, word, _ = _expand(words, d)
+        slot = with_before(d.base[where], before.astype(np.uint32)[word], slot_bits)
+        np.add.at(total[IN_WORD], slot.astype(np.int64) * 2 + d.branch[where], times[at:at + PORTION].astype(total.dtype)[word])
 
 
 def train_tables(blocks: DataFrame, tree, size: int, slot_bits: int = SLOT_BITS) -> np.ndarray:
@@ -352,8 +354,8 @@ def train_tables(blocks: DataFrame, tree, size: int, slot_bits: int = SLOT_BITS)
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((CONTEXTS, width), np.uint32)
         for batch in batches:
-            for row in batch.to_pylist():
-                add_block(total, row, tree, slot_bits)
+            for at in range(batch.num_rows):  # one block at a time in Python's own memory
+                add_block(total, batch.slice(at, 1).to_pylist()[0], tree, slot_bits)
         flat = total.reshape(-1, part)
         used = np.flatnonzero(flat.any(axis=1))
         for at in range(0, len(used), 64):
@@ -380,34 +382,38 @@ def train_tables(blocks: DataFrame, tree, size: int, slot_bits: int = SLOT_BITS)
 def mix(x: np.ndarray, taken: np.ndarray, row: np.ndarray, begins_word: np.ndarray, weights: np.ndarray, fixes: np.ndarray) -> np.ndarray:
     """Bits of decisions, one after the other by lane, and then the lanes' weights and corrections after them.
 
-    ``x`` holds the predictors' log odds of the second branch, ``taken`` whether it was taken. What is known
-    before gives the probability of the second branch; the first branch has the rest of 1.
+    ``x`` holds the predictors' log odds of the second branch, a row for each predictor, ``taken`` whether it
+    was taken. What is known before gives the probability of the second branch; the first branch has
+    the rest of 1. ``weights`` has a column for each gate of each lane.
     """
-    n = len(weights) // GATES
-    key = row * GATES + begins_word * 4 + (x[:, 2] != 0) * 2 + (x[:, 3] != 0)
-    z = np.einsum("ij,ij->i", x, weights.take(key, axis=0))
+    key = row * GATES + begins_word
+    same = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])  # runs of decisions with one gate
+    gate, length = key[same], np.diff(same, append=len(key))
+    z = np.zeros(len(key), np.float32)
+    for k in range(CONTEXTS):
+        z += x[k] * np.repeat(weights[k].take(gate), length)
     spot = row * BUCKETS + np.clip(z + np.float32(BUCKETS / 2), 0, BUCKETS - 1).astype(np.int64)
-    z = np.clip(z + fixes.take(spot), -14, 14)
+    z = np.clip(z + fixes.take(spot), np.float32(-14), np.float32(14))
     e = np.exp(-z)
     # taken: log(1 + e); not taken: the same with z added, as 1 - 1 / (1 + e) = e / (1 + e)
-    bits = np.log1p(e) + np.where(taken, 0, z)
-    error = (taken - 1 / (1 + e)).astype(np.float32)
+    bits = np.log1p(e) + z * ~taken
+    error = taken - 1 / (1 + e)
     for k in range(CONTEXTS):
-        weights[:, k] += RATE * np.bincount(key, error * x[:, k], n * GATES).astype(np.float32)
-    fixes += FIX_RATE * np.bincount(spot, error, n * BUCKETS).astype(np.float32)
+        np.add.at(weights[k], gate, RATE * np.add.reduceat(error * x[k], same))
+    fixes += FIX_RATE * np.bincount(spot, error, len(fixes)).astype(np.float32)
     return bits
 
 
 def score_texts(stream: Stream, d: Decisions, tables: np.ndarray, step: int = STEP) -> np.ndarray:
     """Bits of each text of a block, the end included."""
     slot_bits = tables.shape[1].bit_length() - 1
-    odds = np.stack([tables[k].take(d.slots[k]) for k in range(IN_WORD)], axis=1) if len(d.branch) else np.zeros((0, IN_WORD), np.int8)
+    odds = [tables[k].take(d.slots[k]) for k in range(IN_WORD)]
     order = np.argsort(-stream.sizes, kind="stable")
     total = np.zeros(len(stream.sizes))
     for lane in range(0, len(order), LANES):
         some = order[lane:lane + LANES]
         begin, length = stream.begin[some], stream.sizes[some]
-        weights = np.tile(START, (len(some), 1))
+        weights = np.tile(START, (1, len(some)))
         fixes = np.zeros(len(some) * BUCKETS, np.float32)
         bits = np.zeros(len(some))
         for column in range(0, int(length[0]), step):
@@ -416,12 +422,13 @@ def score_texts(stream: Stream, d: Decisions, tables: np.ndarray, step: int = ST
             of = np.repeat(np.arange(alive), count)
             token = np.repeat(begin[:alive] + column - (np.cumsum(count) - count), count) + np.arange(len(of))
             where, word, _ = _expand(stream.words[token], d)
-            x = np.empty((len(where), CONTEXTS), np.float32)
-            x[:, :IN_WORD] = odds.take(where, axis=0)
-            x[:, IN_WORD] = tables[IN_WORD].take(with_before(d.base.take(where), stream.before[token].take(word), slot_bits))
+            x = np.empty((CONTEXTS, len(where)), np.float32)
+            for k in range(IN_WORD):
+                x[k] = odds[k].take(where)
+            x[IN_WORD] = tables[IN_WORD].take(with_before(d.base.take(where), stream.before[token].take(word), slot_bits))
             x *= np.float32(1 / SHARP)
             row = of.take(word)
-            cost = mix(x, d.branch.take(where), row, d.begins.take(where), weights[:alive * GATES], fixes[:alive * BUCKETS])
+            cost = mix(x, d.branch.take(where), row, d.begins.take(where), weights[:, :alive * GATES], fixes[:alive * BUCKETS])
             bits[:alive] += np.bincount(row, cost, alive)
         total[some] = bits / math.log(2)
     return total

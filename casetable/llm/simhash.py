@@ -128,9 +128,9 @@ def within_radius(distinct: DataFrame, radius: int = RADIUS, blocks: int | None
     Rows are to be distinct. More ``blocks`` than the radius and one make longer fronts, fewer to
     compare, and more tables; the pairs are the same.
     """
-    blocks = blocks or radius + 1
-    if not radius < blocks <= BITS or blocks < 2 and BITS > 64:
-        raise ValueError("blocks must be more than the radius, and two at least")
+    blocks = blocks or max(radius + 1, 2)
+    if not max(radius, 1) < blocks <= BITS:
+        raise ValueError("blocks must be more than the radius, and two at least")  # a block's bits are one number
     cuts = [BITS * i // blocks for i in range(blocks + 1)]
     spans = list(zip(cuts, cuts[1:]))
     own = [_block([F.col(h) for h in HASHES], *s) for s in spans]

@@ -117,7 +117,7 @@ def one_by_one(words, tables, tree):
     """The model read word by word and decision by decision in plain Python, one text."""
     row = block([words])
     _, d, stream = M._laid_out(row, tree, 10)
-    weights, fix = [[float(w) for w in gate] for gate in M.START], [0.0] * M.BUCKETS
+    weights, fix = [[float(w) for w in gate] for gate in M.START.T], [0.0] * M.BUCKETS
     bits = 0.0
     for at in range(0, len(stream.words), M.STEP):
         change, change_fix = [[0.0] * M.CONTEXTS for _ in range(M.GATES)], [0.0] * M.BUCKETS
@@ -127,7 +127,7 @@ def one_by_one(words, tables, tree):
                 slots = [int(d.slots[k][i]) for k in range(M.IN_WORD)]
                 slots.append(int(M.with_before(d.base[i:i + 1], stream.before[token:token + 1], 10)[0]))
                 x = [float(tables[k][s]) / M.SHARP for k, s in enumerate(slots)]
-                g = 4 * bool(d.begins[i]) + 2 * (x[2] != 0) + (x[3] != 0)
+                g = int(d.begins[i])
                 z = sum(a * b for a, b in zip(x, weights[g]))
                 b = int(min(max(z + M.BUCKETS / 2, 0), M.BUCKETS - 1))
                 p = 1 / (1 + math.exp(-min(max(z + fix[b], -14), 14)))
@@ -151,7 +151,7 @@ def test_lanes_equal_reading_one_by_one(model, monkeypatch):
     want = [one_by_one(t, tables, tree) for t in texts]
     for lanes in (512, 2):
         monkeypatch.setattr(M, "LANES", lanes)
-        assert M.score_texts(stream, d, tables) == pytest.approx(want, rel=2e-4)
+        assert M.score_texts(stream, d, tables) == pytest.approx(want, rel=1e-3)  # single precision
 
 
 def outcomes(x, per_step):
@@ -163,7 +163,7 @@ def outcomes(x, per_step):
         for at in range(0, len(x), per_step):
             part = slice(at, at + per_step)
             n = len(x[part])
-            cost += M.mix(x[part], taken[part], np.zeros(n, np.int64), np.arange(n) % 2 == 0, weights, fixes).sum()
+            cost += M.mix(x[part].T, taken[part], np.zeros(n, np.int64), np.arange(n) % 2 == 0, weights, fixes).sum()
         bits.append(cost / math.log(2))
     return np.array(bits)
 
