@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -122,52 +123,72 @@ class Model:
 
     # -- the walk
 
-    def walk(self, words: Sequence[str]) -> Iterator[list[int]]:
-        """Ids of each word; words come sorted."""
+    def walk(self, words: Sequence[str]) -> Iterator[list[str]]:
+        """The pieces of each word; words come sorted."""
         starts, states = [0], [0.0 if self.kind == UNIGRAM else ""]
+        extend = self.extend if self.kind == UNIGRAM else self.extend_merged
         previous = ""
         for word in words:
             if self.kind == BPE and word.startswith(MARK * 2):
                 # pieces of marks alone all score the same, so their order of merging is no local matter
-                yield self.spell(self.merged(word))
+                yield self.merged(word)
                 continue
-            shared, most = 0, min(len(word), len(previous))
-            while shared < most and word[shared] == previous[shared]:
-                shared += 1
+            shared = min(len(word), len(previous))
+            if word[:shared] != previous[:shared]:
+                shared = next(i for i, (a, b) in enumerate(zip(word, previous)) if a != b)
             del starts[shared + 1:], states[shared + 1:]
-            for end in range(shared + 1, len(word) + 1):
-                start, state = self.step(word, end, states)
-                starts.append(start)
-                states.append(state)
+            extend(word, shared, starts, states)
             previous = word
             pieces, end = [], len(word)
             while end:
-                pieces.append(word[starts[end]:end])
-                end = starts[end]
-            yield self.spell(pieces[::-1])
-
-    def step(self, word: str, end: int, states: list):
-        """Start and state of the last piece of the prefix up to ``end``."""
-        if word[end - 1] not in self.letters:
-            return end - 1, (states[end - 1] + self.low if self.kind == UNIGRAM else "")
-        starts, at, node = [], end - 1, self.tails.get(word[end - 1])
-        while node is not None:
-            if "" in node or at == end - 1:
+                start = starts[end]
+                pieces.append(word[start:end])
+                end = start
+            pieces.reverse()
+            yield pieces
+
+    def extend_merged(self, word: str, shared: int, starts: list[int], states: list[str]) -> None:
+        """Start and last piece of the one right split of every longer prefix, for a merge model."""
+        tails, letters, beside = self.tails, self.letters, self.beside
+        for end in range(shared + 1, len(word) + 1):
+            at = end - 1
+            if word[at] not in letters:
                 starts.append(at)
-            at -= 1
-            node = node.get(word[at]) if at >= 0 else None
-        if self.kind == BPE:
-            for start in reversed(starts):
-                if self.fits(states[start], word[start:end]):
-                    return start, word[start:end]
-            raise AssertionError(f"no right split of {word[:end]!r}")
-        best, place = None, end - 1
-        for start in reversed(starts):
-            i = self.ids.get(word[start:end])
-            score = states[start] + (self.low if i is None else self.scores[i])
-            if best is None or score > best:
-                best, place = score, start
-        return place, best
+                states.append("")
+                continue
+            begins, node = [at], tails.get(word[at])  # a character alone is a piece
+            while node is not None and at:
+                at -= 1
+                node = node.get(word[at])
+                if node is not None and "" in node:
+                    begins.append(at)
+            while begins:
+                start = begins.pop()  # the longest first
+                piece, last = word[start:end], states[start]
+                right = beside.get((last, piece))
+                if right or right is None and self.fits(last, piece):
+                    break
+            else:
+                raise AssertionError(f"no right split of {word[:end]!r}")
+            starts.append(start)
+            states.append(piece)
+
+    def extend(self, word: str, shared: int, starts: list[int], states: list[float]) -> None:
+        """Start of the last piece and score of the best split of every longer prefix, for a unigram model."""
+        for end in range(shared + 1, len(word) + 1):
+            at = place = end - 1
+            known = self.ids.get(word[at])
+            best = states[at] + (self.low if known is None else self.scores[known])
+            node = self.tails.get(word[at])
+            while node is not None and at:
+                at -= 1
+                node = node.get(word[at])
+                if node is not None and "" in node:
+                    score = states[at] + self.scores[self.ids[word[at:end]]]
+                    if score >= best:  # of equals the longest piece
+                        best, place = score, at
+            starts.append(place)
+            states.append(best)
 
     def spell(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
@@ -192,6 +213,11 @@ class Encoder:
     def __init__(self, model: Model):
         self.model = model
         self.known: dict[str, bytes] = {}
+        self.pieces = {p: struct.pack("<i", i) for p, i in model.ids.items()}
+
+    def packed(self, piece: str) -> bytes:
+        known = self.pieces.get(piece)
+        return known if known is not None else struct.pack(f"<{len(ids := self.model.spell([piece]))}i", *ids)
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -200,8 +226,11 @@ class Encoder:
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = sorted({w for words in split for w in words})
-        for word, ids in zip(new, self.model.walk(new)):
-            self.known[word] = np.array(ids, "<i4").tobytes()
+        for word, pieces in zip(new, self.model.walk(new)):
+            try:
+                self.known[word] = b"".join([self.pieces[p] for p in pieces])
+            except KeyError:  # a character outside the model
+                self.known[word] = b"".join(map(self.packed, pieces))
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
