@@ -62,13 +62,14 @@ def settle(df: DataFrame) -> DataFrame:
 
 #: Bytes that a block of a range partitioning should hold at most, as far as Spark can tell.
 BLOCK_BYTES = 256 << 20
+MOST_BLOCKS = 1_000_000
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The bytes of the tables a plan reads, as Spark's statistics have them after columns are pruned."""
+    """The bytes of the stored tables that a plan reads, by Spark's statistics; what is not stored counts as nothing."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
-    return sum(size for size in sizes if size < 1 << 62)  # Spark's word for unknown is the largest long
+    tables = [leaves.apply(i) for i in range(leaves.size())]
+    return sum(int(t.stats().sizeInBytes()) for t in tables if t.getClass().getSimpleName() in ("LogicalRelation", "DataSourceV2ScanRelation"))
 
 
 def ranged(df: DataFrame, *keys: str, block_bytes: int | None = None) -> DataFrame:
@@ -76,7 +77,7 @@ def ranged(df: DataFrame, *keys: str, block_bytes: int | None = None) -> DataFra
 
     The session's number does not grow with the data; that of large inputs follows their size.
     """
-    needed = -(-input_bytes(df) // (block_bytes or BLOCK_BYTES))
+    needed = min(-(-input_bytes(df) // (block_bytes or BLOCK_BYTES)), MOST_BLOCKS)
     if needed > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
         return df.repartitionByRange(needed, *keys)
     return df.repartitionByRange(*keys)
