@@ -37,9 +37,9 @@ from casetable.llm.words import text_slices
 
 #: Predictors that see the word only, all predictors, and entries of each one's table.
 IN_WORD, CONTEXTS = 4, 5
-SLOT_BITS = 22
+SLOT_BITS = 21
 #: Bytes of text in a block; of a long text all.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Distinct words of all blocks in a part of the exchange.
 PART_WORDS = 500_000
 #: Bytes of blocks from which one task gathers its share of the tables, at least.
