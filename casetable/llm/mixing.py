@@ -24,6 +24,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casetable.llm.common import stored
+from casetable.llm.common import rows_at_once, stored
 from casetable.llm.spans import LOWER, as_binary, buffers, gathered, joined, runs
 from casetable.llm.words import text_slices
 
@@ -44,11 +45,16 @@ BLOCK_BYTES = 2 << 20
 PART_WORDS = 500_000
 #: Bytes of blocks from which one task gathers its share of the tables, at least.
 TABLE_BYTES = 256 << 20
-#: Words laid out at once, words of a text between two updates of its weights, and texts read side by side.
-PORTION, STEP, LANES = 8192, 16, 128
+#: Blocks handed over to Python at once while tables are gathered; Spark's own bound is 64 MB, which costs several times
+#: as much outside of the heap while it is filled.
+BATCH_BLOCKS = 4
+#: Words laid out or read at once, words of a text between two updates of its weights, and texts read side by side.
+PORTION, STEP, LANES = 2048, 16, 128
 END = 0  # closes a word; also the only byte of the closing end
-#: A word before with more bytes is any long word.
-SHORT = 4
+#: A word before with more bytes is any long word, told by a number; a word so far with more is known by its last four.
+SHORT, LONG, NEAR = 4, np.uint32(2), 6
+#: Bytes by which words are put in order.
+PREFIX = 8
 #: Weights at the start of a text, the same for every gate, in the order of the contexts; how fast they and the
 #: corrections follow the error.
 GATES, BUCKETS = 2, 8
@@ -56,8 +62,11 @@ START = np.tile(np.array([[0.0], [0.1], [0.4], [0.3], [0.4]], np.float32), (1, G
 RATE, FIX_RATE = np.float32(0.002), np.float32(0.01)
 #: Branches that a context is taken to have seen of each kind before any.
 PRIOR = 0.1
-#: Log odds are kept in steps of one part of so many.
+#: Log odds are kept in steps of one part of so many; those mixed are kept within so much of 0.
 SHARP = 10
+LIMIT = np.float32(14)
+#: Decisions whose probabilities are multiplied before a logarithm is taken; their product is a double in any case.
+PRODUCT = 48
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -206,67 +215,169 @@ def byte_tree(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, np.array([n for n, _ in flat], np.uint64), np.array([b for _, b in flat], bool)
 
 
-class Decisions:
-    """The decisions of a list of words, word after word: context slots, branches, whether the word begins, and what
-    the context of the word before is hashed with. ``whole`` tells short words apart."""
+def by_prefix(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Words in the order of their first bytes, and how many bytes, the end counted, each has as the one before it."""
+    lengths = np.diff(words.ends)
+    key = np.zeros(len(words), np.uint64)
+    for k in range(PREFIX):
+        some = np.flatnonzero(lengths > k)
+        key[some] |= words.data[words.ends[some] + k].astype(np.uint64) << np.uint64(56 - 8 * k)
+    order = np.argsort(key, kind="stable")
+    key, size = key[order], lengths[order] + 1
+    shared = np.zeros(len(words), np.int64)
+    for k in range(PREFIX):
+        shared[1:] += (key[1:] ^ key[:-1]) >> np.uint64(56 - 8 * k) == 0
+    shared[1:] = np.minimum(shared[1:], np.minimum(size[1:], size[:-1]))
+    return order, shared
+
+
+class Portion:
+    """The decisions of some words, those of a common beginning once: the slots of the contexts in the word, branches,
+    what the context of the word before is hashed with, and of which ``byte`` they are. ``of`` are the decisions of one
+    word after the other, from ``first`` on, and ``source`` their bytes.
+    """
 
-    def __init__(self, words: Words, tree, slot_bits: int = SLOT_BITS):
-        parts = [self._portion(words, at, min(at + PORTION, len(words)), tree, slot_bits) for at in range(0, len(words), PORTION)]
-        kinds = (np.int64, bool, bool, np.uint32, np.uint32, np.int64)
-        self.slots = [joined([p[0][k] for p in parts], np.uint32) for k in range(IN_WORD)]
-        self.branch, self.begins, self.base, self.whole, self.per_word = (joined([p[i] for p in parts], kinds[i]) for i in range(1, 6))
-        self.first = np.cumsum(self.per_word) - self.per_word
-
-    @staticmethod
-    def _portion(words: Words, begin: int, end: int, tree, slot_bits: int):
+    def __init__(self, words: Words, some: np.ndarray, shared: np.ndarray, tree, slot_bits: int):
         starts, nodes, branches = tree
-        ends = words.ends[begin:end + 1] - words.ends[begin]
-        lengths = np.diff(ends) + 1
+        self.lengths = lengths = words.ends[some + 1] - words.ends[some] + 1
         last = np.cumsum(lengths) - 1
+        begin = last + 1 - lengths
         data = np.zeros(int(lengths.sum()), np.uint8)  # END is 0
         inside = np.ones(len(data), bool)
         inside[last] = False
-        data[inside] = words.data[words.ends[begin]:words.ends[end]]
-        place = np.arange(len(data)) - np.repeat(last + 1 - lengths, lengths)
-        back = []
-        for k in (1, 2, 3, 4, 5):
-            before = np.zeros(len(data), np.uint64)
-            before[k:] = data[:-k].astype(np.uint64) + np.uint64(1) if len(data) > k else 0
-            before[place < k] = 0
-            back.append(before)
-        so_far = np.zeros(len(data), np.uint64)
-        at = np.flatnonzero(place == 1)
-        while len(at):  # hash of the word so far, one byte further in each turn
-            so_far[at] = so_far[at - 1] * _MIX + data[at - 1] + np.uint64(1)
-            at = at[at + 1 < len(data)] + 1
-            at = at[place[at] > 1]
+        data[inside] = words.data[gathered(words.data, words.ends[some], words.ends[some + 1])[0]]
+        place = np.arange(len(data)) - np.repeat(begin, lengths)
+        shared = np.where(np.arange(len(some)) > 0, shared, 0)
+        new = place >= np.repeat(shared, lengths)
+        self.source = np.cumsum(new) - 1
+        for k in range(min(PREFIX, int(shared.max(initial=0)))):
+            have = np.flatnonzero(lengths > k)
+            at = begin[have] + k
+            self.source[at] = np.maximum.accumulate(np.where(shared[have] <= k, self.source[at], -1))
+        all_steps, steps = np.diff(starts)[data], np.diff(starts)[data[new]]
+        at = np.flatnonzero(new)
+        codes, place, data = data.astype(np.uint64) + np.uint64(1), place[at], data[at]
+        back, so_far = [], np.zeros(len(data), np.uint64)
+        for k in range(1, NEAR + 1):
+            back.append(codes.take(np.maximum(at - k, 0)) * (place >= k))
+            so_far += back[-1] * np.uint64(pow(int(_MIX), k - 1, 1 << 64))  # hash of the word so far, if not longer
         m = np.uint64(0x100000001B3)
         two = back[0] * m + back[1]
         three = two * m + back[2]
         four = three * m + back[3]
-        far = np.where(place <= 6, so_far ^ (so_far >> np.uint64(29)), four ^ np.uint64(0x5BD1E995))
+        far = np.where(place <= NEAR, so_far ^ (so_far >> np.uint64(29)), four ^ np.uint64(0x5BD1E995))
         contexts = [two, three, four * m + back[4], far]
         near = three * np.uint64(3) + np.minimum(place, 3).astype(np.uint64)
-        steps = np.diff(starts)[data]
-        rep = np.repeat(np.arange(len(data)), steps)
-        where = starts[data][rep] + np.arange(len(rep)) - np.repeat(np.cumsum(steps) - steps, steps)
-        node = nodes[where]
+        first = np.cumsum(steps) - steps
+        self.byte = byte = np.repeat(np.arange(len(data)), steps)
+        where = (starts[data] - first).take(byte)
+        where += np.arange(len(where))
+        in_slots = (nodes * np.uint64(0xA0761D6478BD642F)).take(where)
         shift = np.uint64(64 - slot_bits)
-        slots = [
-            (((c[rep] + np.uint64(k + 1)) * np.uint64(0xD6E8FEB86659FD93) + node * np.uint64(0xA0761D6478BD642F)
-              ^ (c[rep] << np.uint64(17))) * np.uint64(0xE7037ED1A0B428DB) >> shift).astype(np.uint32)
-            for k, c in enumerate(contexts)
-        ]
-        base = ((near[rep] * np.uint64(0xBF58476D1CE4E5B9) + node * np.uint64(0x94D049BB133111EB)) >> np.uint64(32)).astype(np.uint32)
-        whole = ((so_far[last] * np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(32)).astype(np.uint32)
-        whole = np.where(lengths - 1 <= SHORT, whole, np.uint32(2))
-        return slots, branches[where], place[rep] == 0, base, whole, np.add.reduceat(steps, last + 1 - lengths)
-
-
-def with_before(base: np.ndarray, before: np.ndarray, slot_bits: int) -> np.ndarray:
+        self.slots = []
+        for k, c in enumerate(contexts):  # what a byte's decisions share is computed once a byte
+            x = ((c + np.uint64(k + 1)) * np.uint64(0xD6E8FEB86659FD93)).take(byte)
+            x += in_slots
+            x ^= (c << np.uint64(17)).take(byte)
+            x *= np.uint64(0xE7037ED1A0B428DB)
+            x >>= shift
+            self.slots.append(x.view(np.int64))
+        x = (near * np.uint64(0xBF58476D1CE4E5B9)).take(byte)
+        x += (nodes * np.uint64(0x94D049BB133111EB)).take(where)
+        x >>= np.uint64(32)
+        self.base, self.branch = x.astype(np.uint32), branches.take(where)
+        self.of = _expand(first[self.source], all_steps)
+        self.first = (np.cumsum(all_steps) - all_steps)[begin]
+
+
+class Decisions:
+    """The decisions of a list of words: their number, that of a word's first byte, and all of them by portions of the words
+    in order; ``rank`` is a word's place there. All at once would take many times the bytes of the words."""
+
+    def __init__(self, words: Words, tree, slot_bits: int = SLOT_BITS):
+        self.words, self.tree, self.slot_bits = words, tree, slot_bits
+        steps = np.diff(tree[0])
+        ends = np.concatenate([[0], np.cumsum(steps.take(words.data))])[words.ends]
+        self.per_word = np.diff(ends) + steps[END]
+        self.in_first = np.full(len(words), steps[END])
+        some = np.flatnonzero(np.diff(words.ends))
+        self.in_first[some] = steps[words.data[words.ends[some]]]
+        self.order, self.shared = by_prefix(words)
+        self.rank = np.empty_like(self.order)
+        self.rank[self.order] = np.arange(len(words))
+
+    def portions(self) -> Iterator[tuple[int, np.ndarray, Portion]]:
+        """The rank of the first word, the words, and their decisions."""
+        for begin in range(0, len(self.words), PORTION):
+            here = slice(begin, begin + PORTION)
+            yield begin, self.order[here], Portion(self.words, self.order[here], self.shared[here], self.tree, self.slot_bits)
+
+    def pairs(self, words: np.ndarray, before: np.ndarray, **more) -> tuple[np.ndarray, ...]:
+        """Distinct words with the word before, by rank, as numbers; see ``np.unique``."""
+        return np.unique(self.rank[words] << 32 | before, **more)
+
+    def of_pairs(self, pairs: np.ndarray, begin: int, p: Portion) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of the pairs of a portion, some at a time: which, where their decisions stand, and for each pair the word before
+        and the number of decisions."""
+        at, stop = np.searchsorted(pairs, [begin << 32, begin + PORTION << 32])
+        for a in range(at, stop, PORTION):
+            here = slice(a, min(a + PORTION, stop))
+            rank = pairs[here] >> 32
+            count = self.per_word[self.order[rank]]
+            yield here, p.of.take(_expand(p.first[rank - begin], count)), pairs[here].astype(np.uint32), count
+
+    @cached_property
+    def whole(self) -> dict[str, np.ndarray]:
+        """All decisions, one word after the other by rank."""
+        parts = [(np.stack(p.slots)[:, p.of], p.base[p.of], p.branch[p.of]) for _, _, p in self.portions()]
+        return {"slots": np.concatenate([x[0] for x in parts], axis=1), "base": joined([x[1] for x in parts]), "branch": joined([x[2] for x in parts])}
+
+    @property
+    def slots(self) -> np.ndarray:
+        return self.whole["slots"]
+
+    @property
+    def base(self) -> np.ndarray:
+        return self.whole["base"]
+
+    @property
+    def branch(self) -> np.ndarray:
+        return self.whole["branch"]
+
+    @cached_property
+    def first(self) -> np.ndarray:
+        """Where a word's decisions begin among all."""
+        count = self.per_word[self.order]
+        return (np.cumsum(count) - count)[self.rank]
+
+    @property
+    def begins(self) -> np.ndarray:
+        """Whether a decision is of a word's first byte."""
+        out = np.zeros(len(self.branch), bool)
+        out[_expand(self.first, self.in_first)] = True
+        return out
+
+
+def short_words(words: Words) -> np.ndarray:
+    """What tells a short word from others where it stands before a word; the same for all longer ones."""
+    lengths = np.diff(words.ends)
+    so_far = np.zeros(len(words), np.uint64)
+    for k in range(SHORT):
+        some = np.flatnonzero((lengths > k) & (lengths <= SHORT))
+        so_far[some] = so_far[some] * _MIX + words.data[words.ends[some] + k] + np.uint64(1)
+    whole = ((so_far * np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(32)).astype(np.uint32)
+    return np.where(lengths <= SHORT, whole, LONG)
+
+
+def with_before(base: np.ndarray, before: np.ndarray | np.uint32, slot_bits: int) -> np.ndarray:
     """The slot of a decision with the word before."""
-    x = (base ^ (before * np.uint32(0x9E3779B1))) * np.uint32(0x85EBCA6B)
-    return ((x ^ (x >> np.uint32(15))) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - slot_bits)
+    with np.errstate(over="ignore"):
+        x = base ^ (before * np.uint32(0x9E3779B1))
+    x *= np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0xC2B2AE35)
+    x >>= np.uint32(32 - slot_bits)
+    return x
 
 
 class Stream:
@@ -285,20 +396,18 @@ class Stream:
 
 
 def _laid_out(row: dict, tree, slot_bits: int) -> tuple[Words, Decisions, Stream]:
-    n = row["n_distinct"]
-    words = Words(row["words"], _unpacked(row["lengths"], n))
-    closed = Words(row["words"], np.append(np.diff(words.ends), 0))  # and the empty word
-    decisions = Decisions(closed, tree, slot_bits)
-    n_words = np.array(row["n_words"], np.int64)
-    return words, decisions, Stream(n_words, _unpacked(row["numbers"], int(n_words.sum())), decisions.whole)
+    """A block's words, the decisions of these and of the empty word, and its texts."""
+    lengths, n_words = _unpacked(row["lengths"], row["n_distinct"]), np.array(row["n_words"], np.int64)
+    closed = Words(row["words"], np.append(lengths, 0))
+    stream = Stream(n_words, _unpacked(row["numbers"], int(n_words.sum())), short_words(closed))
+    return Words(row["words"], lengths), Decisions(closed, tree, slot_bits), stream
 
 
-def _expand(words: np.ndarray, decisions: Decisions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where the decisions of some words stand, the word of each, and where each word's decisions begin."""
-    count = decisions.per_word[words]
-    begins = np.cumsum(count) - count
-    row = np.repeat(np.arange(len(words)), count)
-    return np.arange(len(row)) + np.repeat(decisions.first[words] - begins, count), row, begins
+def _expand(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Where the decisions of some words stand, from where each word's first stands and their number."""
+    where = np.repeat(first - (np.cumsum(count) - count), count)
+    where += np.arange(len(where))
+    return where
 
 
 # ---------------------------------------------------------------- training
@@ -325,20 +434,24 @@ def byte_counts(blocks: DataFrame) -> np.ndarray:
 
 def add_block(total: np.ndarray, row: dict, tree, slot_bits: int) -> None:
     """Count the branches of a block's training texts in ``total[context, 2 * slot + branch]``."""
-    _, d, stream = _laid_out(row, tree, slot_bits)
+    words, d, stream = _laid_out(row, tree, slot_bits)
     told = ~np.array(row["held"], bool)
     train = np.append(_unpacked(row["train"], row["n_distinct"]), told.sum())
-    weight = np.repeat(train, d.per_word).astype(total.dtype)
-    for k in range(IN_WORD):
-        np.add.at(total[k], d.slots[k].astype(np.int64) * 2 + d.branch, weight)
     tokens = np.repeat(told, stream.sizes)
-    n = len(d.whole)
-    pair, times = np.unique(stream.before[tokens].astype(np.int64) * n + stream.words[tokens], return_counts=True)
-    for at in range(0, len(pair), PORTION):
-        before, words = np.divmod(pair[at:at + PORTION], n)
-        where, word, _ = _expand(words, d)
-        slot = with_before(d.base[where], before.astype(np.uint32)[word], slot_bits)
-        np.add.at(total[IN_WORD], slot.astype(np.int64) * 2 + d.branch[where], times[at:at + PORTION].astype(total.dtype)[word])
+    pairs, times = d.pairs(stream.words[tokens], stream.before[tokens], return_counts=True)
+    long = pairs & 0xFFFFFFFF == LONG
+    after_long = np.zeros(len(train), np.int64)
+    after_long[d.order[pairs[long] >> 32]] = times[long]
+    pairs, times = pairs[~long], times[~long].astype(total.dtype)
+    for begin, some, p in d.portions():
+        slots = [*p.slots, with_before(p.base, LONG, slot_bits).astype(np.int64)]
+        for count, of in ((train, range(IN_WORD)), (after_long, [IN_WORD])):
+            weight = np.bincount(p.source, np.repeat(count[some], p.lengths)).astype(total.dtype).take(p.byte)
+            for k in of:
+                np.add.at(total[k], slots[k] * 2 + p.branch, weight)
+        for here, where, before, count in d.of_pairs(pairs, begin, p):
+            slot = with_before(p.base.take(where), np.repeat(before, count), slot_bits)
+            np.add.at(total[IN_WORD], slot.astype(np.int64) * 2 + p.branch.take(where), np.repeat(times[here], count))
 
 
 def train_tables(blocks: DataFrame, tree, size: int, slot_bits: int = SLOT_BITS) -> np.ndarray:
@@ -371,43 +484,87 @@ def train_tables(blocks: DataFrame, tree, size: int, slot_bits: int = SLOT_BITS)
     columns = ["held", "n_words", "words", "lengths", "train", "numbers", "n_distinct"]
     sums = blocks.select(*columns).coalesce(tasks).mapInArrow(tally, "part long, n binary").groupBy("part").applyInArrow(add, "part long, odds binary")
     out = np.zeros((CONTEXTS * width // part, part // 2), np.int8)
-    for r in sums.toLocalIterator():  # bounded by slot_bits
-        out[r.part] = np.frombuffer(bytes(r.odds), np.int8)
+    with rows_at_once(blocks.sparkSession, BATCH_BLOCKS):
+        for r in sums.toLocalIterator():  # bounded by slot_bits
+            out[r.part] = np.frombuffer(bytes(r.odds), np.int8)
     return out.reshape(CONTEXTS, width // 2)
 
 
 # ---------------------------------------------------------------- scoring
 
 
-def mix(x: np.ndarray, taken: np.ndarray, row: np.ndarray, begins_word: np.ndarray, weights: np.ndarray, fixes: np.ndarray) -> np.ndarray:
-    """Bits of decisions, one after the other by lane, and then the lanes' weights and corrections after them.
+def follow(
+    x: np.ndarray, taken: np.ndarray, spot: np.ndarray, same: np.ndarray, gate: np.ndarray, length: np.ndarray,
+    weights: np.ndarray, fixes: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray]:
+    """The log odds z of the second branch of decisions, one after the other by lane, with exp(-z), and then the lanes'
+    weights and corrections after them.
 
     ``x`` holds the predictors' log odds of the second branch, a row for each predictor, ``taken`` whether it
     was taken. What is known before gives the probability of the second branch; the first branch has
-    the rest of 1. ``weights`` has a column for each gate of each lane.
+    the rest of 1. ``weights`` has a column for each gate of each lane, ``fixes`` some buckets for each lane,
+    from ``spot`` on. Runs of decisions with one ``gate`` begin at ``same``.
     """
-    key = row * GATES + begins_word
-    same = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])  # runs of decisions with one gate
-    gate, length = key[same], np.diff(same, append=len(key))
-    z = np.zeros(len(key), np.float32)
-    for k in range(CONTEXTS):
+    z = x[0] * np.repeat(weights[0].take(gate), length)
+    for k in range(1, CONTEXTS):
         z += x[k] * np.repeat(weights[k].take(gate), length)
-    spot = row * BUCKETS + np.clip(z + np.float32(BUCKETS / 2), 0, BUCKETS - 1).astype(np.int64)
-    z = np.clip(z + fixes.take(spot), np.float32(-14), np.float32(14))
+    spot = spot + np.clip(z + np.float32(BUCKETS / 2), 0, BUCKETS - 1).astype(np.int64)
+    z += fixes.take(spot)
+    np.clip(z, -LIMIT, LIMIT, out=z)
     e = np.exp(-z)
-    # taken: log(1 + e); not taken: the same with z added, as 1 - 1 / (1 + e) = e / (1 + e)
-    bits = np.log1p(e) + z * ~taken
     error = taken - 1 / (1 + e)
     for k in range(CONTEXTS):
         np.add.at(weights[k], gate, RATE * np.add.reduceat(error * x[k], same))
     fixes += FIX_RATE * np.bincount(spot, error, len(fixes)).astype(np.float32)
-    return bits
+    return z, e
+
+
+def mix(x: np.ndarray, taken: np.ndarray, row: np.ndarray, begins_word: np.ndarray, weights: np.ndarray, fixes: np.ndarray) -> np.ndarray:
+    """Bits of decisions, each alone, as ``follow`` reads them; ``row`` is the lane of each."""
+    key = row * GATES + begins_word
+    same = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])  # runs of decisions with one gate
+    z, e = follow(x, taken, row * BUCKETS, same, key[same], np.diff(same, append=len(key)), weights, fixes)
+    # taken: log(1 + e); not taken: the same with z added, as 1 - 1 / (1 + e) = e / (1 + e)
+    return np.log1p(e) + z * ~taken
+
+
+def bits_by_run(z: np.ndarray, e: np.ndarray, taken: np.ndarray, same: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """What ``mix`` gives, summed over each run. One logarithm for a product of many."""
+    parts = -(-length // PRODUCT)
+    first = np.cumsum(parts) - parts
+    cuts = np.repeat(same - first * PRODUCT, parts) + np.arange(parts.sum()) * PRODUCT
+    logs = np.log(np.multiply.reduceat(e.astype(np.float64) + 1, cuts))
+    return np.add.reduceat(logs, first) + np.add.reduceat((z * ~taken).astype(np.float64), same)
+
+
+def evidence(stream: Stream, d: Decisions, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the predictors know of the decisions of every word after every word that is before it in the block, eight
+    bytes each: their log odds and the branch; and where those of each word of the texts begin."""
+    pairs, which = d.pairs(stream.words, stream.before, return_inverse=True)
+    count = d.per_word[d.order[pairs >> 32]]
+    first = np.cumsum(count) - count
+    out = np.empty(int(count.sum()), np.uint64)
+    for begin, _, p in d.portions():
+        own = np.zeros((len(p.base), 8), np.int8)
+        for k in range(IN_WORD):
+            own[:, k] = tables[k].take(p.slots[k])
+        own[:, IN_WORD] = tables[IN_WORD].take(with_before(p.base, LONG, d.slot_bits))
+        own[:, CONTEXTS] = p.branch
+        own = own.view(np.uint64).ravel()
+        for here, where, before, count in d.of_pairs(pairs, begin, p):
+            got = own.take(where)
+            other = before != LONG
+            at = np.flatnonzero(np.repeat(other, count))
+            slot = with_before(p.base.take(where.take(at)), np.repeat(before[other], count[other]), d.slot_bits)
+            got.view(np.int8).reshape(-1, 8)[at, IN_WORD] = tables[IN_WORD].take(slot)
+            out[first[here.start]:first[here.start] + len(got)] = got
+    return out, first[which]
 
 
 def score_texts(stream: Stream, d: Decisions, tables: np.ndarray, step: int = STEP) -> np.ndarray:
     """Bits of each text of a block, the end included."""
-    slot_bits = tables.shape[1].bit_length() - 1
-    odds = [tables[k].take(d.slots[k]) for k in range(IN_WORD)]
+    known, first = evidence(stream, d, tables)
+    scale = np.float32(1 / SHARP)
     order = np.argsort(-stream.sizes, kind="stable")
     total = np.zeros(len(stream.sizes))
     for lane in range(0, len(order), LANES):
@@ -419,17 +576,28 @@ def score_texts(stream: Stream, d: Decisions, tables: np.ndarray, step: int = ST
         for column in range(0, int(length[0]), step):
             alive = int(np.searchsorted(-length, -column, "left"))  # the longest texts come first
             count = np.minimum(length[:alive] - column, step)
-            of = np.repeat(np.arange(alive), count)
-            token = np.repeat(begin[:alive] + column - (np.cumsum(count) - count), count) + np.arange(len(of))
-            where, word, _ = _expand(stream.words[token], d)
-            x = np.empty((CONTEXTS, len(where)), np.float32)
-            for k in range(IN_WORD):
-                x[k] = odds[k].take(where)
-            x[IN_WORD] = tables[IN_WORD].take(with_before(d.base.take(where), stream.before[token].take(word), slot_bits))
-            x *= np.float32(1 / SHARP)
-            row = of.take(word)
-            cost = mix(x, d.branch.take(where), row, d.begins.take(where), weights[:, :alive * GATES], fixes[:alive * BUCKETS])
-            bits[:alive] += np.bincount(row, cost, alive)
+            lanes = np.cumsum(count) - count
+            place = np.arange(int(count.sum()))
+            token = np.repeat(begin[:alive] + column - lanes, count) + place
+            words = stream.words[token]
+            # of each lane the first bytes of all words, then the other bytes, of which a closing end has none
+            heads = place + np.repeat(lanes, count)
+            rests = heads + np.repeat(count, count)
+            at, size = np.empty((2, 2 * len(token)), np.int64)
+            at[heads], size[heads] = first[token], d.in_first[words]
+            at[rests], size[rests] = at[heads] + size[heads], d.per_word[words] - size[heads]
+            runs = np.add.reduceat(size, np.stack([2 * lanes, 2 * lanes + count], axis=1).ravel())
+            gate = np.arange(2 * alive) ^ 1
+            gate, runs = gate[runs > 0], runs[runs > 0]
+            same = np.cumsum(runs) - runs
+            seen = known.take(_expand(at, size)).view(np.int8).reshape(-1, 8)
+            x = np.empty((CONTEXTS, len(seen)), np.float32)
+            for k in range(CONTEXTS):
+                np.multiply(seen[:, k], scale, out=x[k])
+            taken = seen[:, CONTEXTS].astype(bool)
+            spot = np.repeat(gate // GATES * BUCKETS, runs)
+            z, e = follow(x, taken, spot, same, gate, runs, weights[:, :alive * GATES], fixes[:alive * BUCKETS])
+            bits[:alive] += np.bincount(gate // GATES, bits_by_run(z, e, taken, same, runs), alive)
         total[some] = bits / math.log(2)
     return total
 

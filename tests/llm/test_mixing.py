@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -193,3 +194,48 @@ def test_the_tree_holds_every_byte():
     assert len(paths) == 256 and len(set(nodes.tolist())) == 255
     short = M.byte_tree(np.bincount([101] * 900, minlength=256))[0]
     assert short[102] - short[101] == 1
+
+
+def test_training_holds_the_decisions_of_few_words_at_once():
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(97, 123, rng.integers(6, 12)).tolist()) for _ in range(40_000)]
+    row = block([words])
+    tree = M.byte_tree(np.bincount(np.frombuffer(row["words"], np.uint8), minlength=256))
+    total = np.zeros((M.CONTEXTS, 2 << 10), np.uint32)
+    tracemalloc.start()
+    try:
+        M.add_block(total, row, tree, 10)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    decisions = int(total[0].sum())
+    assert decisions > 1_000_000 and peak < 20 * decisions  # laid out whole: over 40 bytes each
+
+
+def test_words_of_one_beginning_share_their_decisions():
+    words = sorted({b"a", b"ab", b"abc", b"abcdefgh", b"abcdefghi", b"abcdefghij", b"abd", b"b", b"a\x00", b"a\x00b", "é".encode(), b"z" * 300})
+    tree = M.byte_tree(np.ones(256, np.int64))
+    together, _ = M._laid_out(block([words]), tree, 12)[1:]
+    for i, word in enumerate(words):
+        alone = M._laid_out(block([[word]]), tree, 12)[1]
+        here, there = (slice(d.first[k], d.first[k] + d.per_word[k]) for d, k in ((together, i), (alone, 0)))
+        assert (together.slots[:, here] == alone.slots[:, there]).all() and (together.base[here] == alone.base[there]).all()
+        assert (together.branch[here] == alone.branch[there]).all() and (together.begins[here] == alone.begins[there]).all()
+        assert together.per_word[i] == sum(len(range(*tree[0][b:b + 2])) for b in [*word, M.END])
+
+
+def test_tables_are_gathered_from_few_blocks_at_once(spark, monkeypatch):
+    key, docs = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.read.parquet(f"{SF}/documents.parquet")
+    before, met = spark.conf.get(key), []
+    kind = type(docs)
+    monkeypatch.setattr(kind, "toLocalIterator", lambda self, *a, f=kind.toLocalIterator: met.append(spark.conf.get(key)) or f(self, *a))
+    blocks = M.word_blocks(docs, "doc_id", "text", 20_000)
+    M.train_tables(blocks, M.byte_tree(np.ones(256, np.int64)), 0, 10)
+    assert met == [str(M.BATCH_BLOCKS)] and spark.conf.get(key) == before
+
+    def sizes(batches):
+        for b in batches:
+            yield b.slice(0, 1).select(["n_distinct"]).set_column(0, "n_distinct", [b.num_rows])
+
+    with M.rows_at_once(spark, 3):
+        assert max(r.n_distinct for r in blocks.coalesce(1).mapInArrow(sizes, "n_distinct long").collect()) == 3
