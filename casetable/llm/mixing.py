@@ -65,8 +65,6 @@ PRIOR = 0.1
 #: Log odds are kept in steps of one part of so many; those mixed are kept within so much of 0.
 SHARP = 10
 LIMIT = np.float32(14)
-#: Decisions whose probabilities are multiplied before a logarithm is taken; their product is a double in any case.
-PRODUCT = 48
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -496,9 +494,8 @@ def train_tables(blocks: DataFrame, tree, size: int, slot_bits: int = SLOT_BITS)
 def follow(
     x: np.ndarray, taken: np.ndarray, spot: np.ndarray, same: np.ndarray, gate: np.ndarray, length: np.ndarray,
     weights: np.ndarray, fixes: np.ndarray,
-) -> tuple[np.ndarray, np.ndarray]:
-    """The log odds z of the second branch of decisions, one after the other by lane, with exp(-z), and then the lanes'
-    weights and corrections after them.
+) -> np.ndarray:
+    """Bits of decisions, one after the other by lane, and then the lanes' weights and corrections after them.
 
     ``x`` holds the predictors' log odds of the second branch, a row for each predictor, ``taken`` whether it
     was taken. What is known before gives the probability of the second branch; the first branch has
@@ -516,25 +513,17 @@ def follow(
     for k in range(CONTEXTS):
         np.add.at(weights[k], gate, RATE * np.add.reduceat(error * x[k], same))
     fixes += FIX_RATE * np.bincount(spot, error, len(fixes)).astype(np.float32)
-    return z, e
+    # taken: log(1 + e); not taken: the same with z added, as 1 - 1 / (1 + e) = e / (1 + e)
+    z *= ~taken
+    z += np.log1p(e)
+    return z
 
 
 def mix(x: np.ndarray, taken: np.ndarray, row: np.ndarray, begins_word: np.ndarray, weights: np.ndarray, fixes: np.ndarray) -> np.ndarray:
-    """Bits of decisions, each alone, as ``follow`` reads them; ``row`` is the lane of each."""
+    """Bits of decisions, as ``follow`` reads them; ``row`` is the lane of each."""
     key = row * GATES + begins_word
     same = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])  # runs of decisions with one gate
-    z, e = follow(x, taken, row * BUCKETS, same, key[same], np.diff(same, append=len(key)), weights, fixes)
-    # taken: log(1 + e); not taken: the same with z added, as 1 - 1 / (1 + e) = e / (1 + e)
-    return np.log1p(e) + z * ~taken
-
-
-def bits_by_run(z: np.ndarray, e: np.ndarray, taken: np.ndarray, same: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """What ``mix`` gives, summed over each run. One logarithm for a product of many."""
-    parts = -(-length // PRODUCT)
-    first = np.cumsum(parts) - parts
-    cuts = np.repeat(same - first * PRODUCT, parts) + np.arange(parts.sum()) * PRODUCT
-    logs = np.log(np.multiply.reduceat(e.astype(np.float64) + 1, cuts))
-    return np.add.reduceat(logs, first) + np.add.reduceat((z * ~taken).astype(np.float64), same)
+    return follow(x, taken, row * BUCKETS, same, key[same], np.diff(same, append=len(key)), weights, fixes)
 
 
 def evidence(stream: Stream, d: Decisions, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -577,27 +566,24 @@ def score_texts(stream: Stream, d: Decisions, tables: np.ndarray, step: int = ST
             alive = int(np.searchsorted(-length, -column, "left"))  # the longest texts come first
             count = np.minimum(length[:alive] - column, step)
             lanes = np.cumsum(count) - count
-            place = np.arange(int(count.sum()))
-            token = np.repeat(begin[:alive] + column - lanes, count) + place
+            of = np.repeat(np.arange(alive), count)
+            token = np.repeat(begin[:alive] + column - lanes, count) + np.arange(len(of))
             words = stream.words[token]
-            # of each lane the first bytes of all words, then the other bytes, of which a closing end has none
-            heads = place + np.repeat(lanes, count)
-            rests = heads + np.repeat(count, count)
-            at, size = np.empty((2, 2 * len(token)), np.int64)
-            at[heads], size[heads] = first[token], d.in_first[words]
-            at[rests], size[rests] = at[heads] + size[heads], d.per_word[words] - size[heads]
-            runs = np.add.reduceat(size, np.stack([2 * lanes, 2 * lanes + count], axis=1).ravel())
-            gate = np.arange(2 * alive) ^ 1
+            per_word, in_first = d.per_word[words], d.in_first[words]
+            where = _expand(first[token], per_word)
+            # of each word the first byte and then the others, of which a closing end has none
+            runs = np.stack([in_first, per_word - in_first], axis=1).ravel()
+            gate = np.stack([of * GATES + 1, of * GATES], axis=1).ravel()
             gate, runs = gate[runs > 0], runs[runs > 0]
             same = np.cumsum(runs) - runs
-            seen = known.take(_expand(at, size)).view(np.int8).reshape(-1, 8)
+            seen = known.take(where).view(np.int8).reshape(-1, 8)
             x = np.empty((CONTEXTS, len(seen)), np.float32)
             for k in range(CONTEXTS):
                 np.multiply(seen[:, k], scale, out=x[k])
             taken = seen[:, CONTEXTS].astype(bool)
-            spot = np.repeat(gate // GATES * BUCKETS, runs)
-            z, e = follow(x, taken, spot, same, gate, runs, weights[:, :alive * GATES], fixes[:alive * BUCKETS])
-            bits[:alive] += np.bincount(gate // GATES, bits_by_run(z, e, taken, same, runs), alive)
+            spot = np.repeat(of * BUCKETS, per_word)
+            cost = follow(x, taken, spot, same, gate, runs, weights[:, :alive * GATES], fixes[:alive * BUCKETS])
+            bits[:alive] += np.add.reduceat(cost.astype(np.float64), (np.cumsum(per_word) - per_word)[lanes])
         total[some] = bits / math.log(2)
     return total
 
