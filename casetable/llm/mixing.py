@@ -65,6 +65,8 @@ PRIOR = 0.1
 #: Log odds are kept in steps of one part of so many; those mixed are kept within so much of 0.
 SHARP = 10
 LIMIT = np.float32(14)
+#: Decisions whose probabilities are multiplied before a logarithm is taken; their product is a double in any case.
+PRODUCT = 48
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -494,8 +496,9 @@ def train_tables(blocks: DataFrame, tree, size: int, slot_bits: int = SLOT_BITS)
 def follow(
     x: np.ndarray, taken: np.ndarray, spot: np.ndarray, same: np.ndarray, gate: np.ndarray, length: np.ndarray,
     weights: np.ndarray, fixes: np.ndarray,
-) -> np.ndarray:
-    """Bits of decisions, one after the other by lane, and then the lanes' weights and corrections after them.
+) -> tuple[np.ndarray, np.ndarray]:
+    """The log odds z of the second branch of decisions, one after the other by lane, with exp(-z), and then the lanes'
+    weights and corrections after them.
 
     ``x`` holds the predictors' log odds of the second branch, a row for each predictor, ``taken`` whether it
     was taken. What is known before gives the probability of the second branch; the first branch has
@@ -513,17 +516,25 @@ def follow(
     for k in range(CONTEXTS):
         np.add.at(weights[k], gate, RATE * np.add.reduceat(error * x[k], same))
     fixes += FIX_RATE * np.bincount(spot, error, len(fixes)).astype(np.float32)
-    # taken: log(1 + e); not taken: the same with z added, as 1 - 1 / (1 + e) = e / (1 + e)
-    z *= ~taken
-    z += np.log1p(e)
-    return z
+    return z, e
 
 
 def mix(x: np.ndarray, taken: np.ndarray, row: np.ndarray, begins_word: np.ndarray, weights: np.ndarray, fixes: np.ndarray) -> np.ndarray:
-    """Bits of decisions, as ``follow`` reads them; ``row`` is the lane of each."""
+    """Bits of decisions, each alone, as ``follow`` reads them; ``row`` is the lane of each."""
     key = row * GATES + begins_word
     same = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])  # runs of decisions with one gate
-    return follow(x, taken, row * BUCKETS, same, key[same], np.diff(same, append=len(key)), weights, fixes)
+    z, e = follow(x, taken, row * BUCKETS, same, key[same], np.diff(same, append=len(key)), weights, fixes)
+    # taken: log(1 + e); not taken: the same with z added, as 1 - 1 / (1 + e) = e / (1 + e)
+    return np.log1p(e) + z * ~taken
+
+
+def bits_by_lane(z: np.ndarray, e: np.ndarray, taken: np.ndarray, lanes: np.ndarray, same: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """What ``mix`` gives, summed over each lane; these begin at ``lanes``. One logarithm for the product over a run."""
+    parts = -(-length // PRODUCT)  # more for a long word
+    first = np.cumsum(parts) - parts
+    cuts = np.repeat(same - first * PRODUCT, parts) + np.arange(parts.sum()) * PRODUCT
+    logs = np.log(np.multiply.reduceat(e.astype(np.float64) + 1, cuts))
+    return np.add.reduceat(logs, np.searchsorted(cuts, lanes)) + np.add.reduceat((z * ~taken).astype(np.float64), lanes)
 
 
 def evidence(stream: Stream, d: Decisions, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -582,8 +593,8 @@ def score_texts(stream: Stream, d: Decisions, tables: np.ndarray, step: int = ST
                 np.multiply(seen[:, k], scale, out=x[k])
             taken = seen[:, CONTEXTS].astype(bool)
             spot = np.repeat(of * BUCKETS, per_word)
-            cost = follow(x, taken, spot, same, gate, runs, weights[:, :alive * GATES], fixes[:alive * BUCKETS])
-            bits[:alive] += np.add.reduceat(cost.astype(np.float64), (np.cumsum(per_word) - per_word)[lanes])
+            z, e = follow(x, taken, spot, same, gate, runs, weights[:, :alive * GATES], fixes[:alive * BUCKETS])
+            bits[:alive] += bits_by_lane(z, e, taken, (np.cumsum(per_word) - per_word)[lanes], same, runs)
         total[some] = bits / math.log(2)
     return total
 
